@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "packing", "simhash", "quality_rules"]
+MODULES = ["url_filter", "packing", "simhash", "quality_rules", "syncmers"]
 
 
 def queries() -> dict:
