@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_filter", "packing", "simhash", "quality_rules", "syncmers", "bpe"]
+MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules"]
 
 
 def queries() -> dict:
