@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules"]
+MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules", "quality_classifier"]
 
 
 def queries() -> dict:
