@@ -21,6 +21,7 @@ tasks: the partition's number times 2^32 and a counter.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents
+from corvane.llm.common import byte_letters, documents
 
 SEQ_LEN = 4096
 GROUP_TOKENS = 1 << 20
@@ -40,16 +41,34 @@ END_ID = 2
 
 
 class _Words(dict):
-    """Ids (little-endian uint32) by word; what is missing is encoded and kept."""
+    """Ids (little-endian uint32) by word; what is missing is encoded and kept.
+
+    A word of letters below U+0130, where lower case and composition are plain, with full stops and
+    commas after it, has the ids of its lower-case letters (one piece, given to the tokenizer's model)
+    and then those of the punctuation (another piece). Any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
+        self.model, self.letters = tokenizer.model, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(".,")
+        if core.isalpha() and max(core) < "\u0130":
+            low = core.lower()
+            ids = self.get(low)
+            if ids is None:
+                piece = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+                ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+                if len(low) < 64:
+                    self[low] = ids
+            if len(core) < len(word):
+                ids += self[word[len(core) :]]
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) < 64:
             self[word] = ids
         return ids
