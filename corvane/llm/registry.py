@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules", "quality_classifier", "line_dedup"]
+MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules", "quality_classifier", "line_dedup", "suffix_dedup"]
 
 
 def queries() -> dict:
