@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules", "quality_classifier", "line_dedup", "suffix_dedup"]
 
 
@@ -11,7 +13,7 @@ def queries() -> dict:
     out: dict = {}
     for m in MODULES:
         out |= importlib.import_module(f"corvane.llm.{m}").QUERIES
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

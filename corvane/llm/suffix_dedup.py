@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import documents
@@ -129,9 +129,15 @@ def blocks(texts: list[bytes]):
         yield Block(parts)
 
 
+def _rows(table: pa.Table) -> list[tuple]:
+    """(id, text, extra) of a shard's documents in a fixed order, those without an id last."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "extra")), strict=True)
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or ""))
+
+
 def _shard(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and bytes of a shard's documents in a fixed order; those without an id are left out."""
-    rows = sorted((d, t) for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True) if d is not None)
+    """Ids and bytes of a shard's documents that have an id."""
+    rows = [r for r in _rows(table) if r[0] is not None]
     return [r[0] for r in rows], [r[1].encode("utf-8", "surrogatepass") for r in rows]
 
 
@@ -437,7 +443,7 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
         return _table(rows, ["shard", "bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def cut(key, table, reply):
-        names, types = ["doc_id", "kept", "spans"], [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        names, types = ["doc_id", "kept", "spans", "extra"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()]
         ids, texts = _shard(table)
         said = [(b, x) for b, x, kind in zip(*(reply.column(c).to_pylist() for c in ("bucket", "bits", "kind")), strict=True) if kind == 1]
         first_reply = reply.filter(pc.equal(reply.column("kind"), 0))
@@ -469,15 +475,15 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
                     np.add.at(m, p, 1)
                     np.add.at(m, p + LENGTH, -1)
         rows = []
-        for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
-            if i not in marks:
-                rows.append((d, t, []))
-                continue
-            gone = np.cumsum(marks[i])[:-1] > 0
-            edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
-            spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel()
-            rows.append((d, np.frombuffer(t, np.uint8)[~gone].tobytes(), spans.tolist()))
-        rows += [(None, t.encode("utf-8", "surrogatepass"), []) for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True) if d is None]
+        for i, (d, text, extra) in enumerate(_rows(table)):
+            t = text.encode("utf-8", "surrogatepass")
+            kept, spans = t, []
+            if i in marks:
+                gone = np.cumsum(marks[i])[:-1] > 0
+                edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
+                spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
+                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+            rows.append((d, kept, spans, extra))
         return _table(rows, names, types)
 
     told = "shard long, bucket long, bits binary, hot binary"
@@ -487,18 +493,37 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
     second = by_shard.cogroup(first.groupBy("shard")).applyInArrow(runs, "bucket long, shard long, sizes binary, ids binary, data binary")
     last = second.groupBy("bucket").applyInArrow(smaller, told)
     both = first.withColumn("kind", F.lit(0)).union(last.withColumn("kind", F.lit(1)))
-    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, kept binary, spans array<long>")
+    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, kept binary, spans array<long>, extra string")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
-    """Every row's id_col, ``kept`` (the remaining bytes) and ``spans`` (begin, end, begin, end... in bytes)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None, shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
+    """Every row's id_col, ``kept`` (the remaining bytes), ``spans`` (begin, end, begin, end... in bytes)
+    and ``extra`` (a text that goes along with the row; null unless given)."""
+    extra = F.lit(None) if extra is None else extra
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), extra.cast("string").alias("extra"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)))
     return _plan(base, shards, max(4, shards), hot_shards).withColumnRenamed("doc_id", id_col)
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes taken out of their texts; a character that is cut into is dropped.
+
+    The other columns travel with their row as JSON, so texts aren't joined again. Null texts become empty.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
+    out = repeats(docs, id_col, text_col, F.to_json(F.struct(*[F.col(c) for c in rest])) if rest else None)
+    whole = F.make_valid_utf8(F.col("kept").cast("string"))
+    whole = F.replace(whole, F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(whole)
+    columns = {c: F.col(f"x.{c}") for c in rest} | {id_col: F.col(id_col).cast(docs.schema[id_col].dataType), text_col: text}
+    if rest:
+        out = out.withColumn("x", F.from_json("extra", types))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats(documents(spark, sf_dir))
     removed = F.expr("CASE WHEN size(spans) = 0 THEN 0L ELSE aggregate(transform(sequence(0, size(spans) div 2 - 1), i -> get(spans, 2 * i + 1) - get(spans, 2 * i)), 0L, (a, x) -> a + x) END")

@@ -7,11 +7,11 @@ import xxhash
 from corvane.llm.simhash import ball_links, fingerprint, near_duplicates, op9_simhash, route_bits
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, k=3):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) / 2)
 
