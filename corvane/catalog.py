@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE.
-MODULES: list[str] = []
+MODULES: list[str] = ["ranking", "snippets"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
