@@ -39,7 +39,7 @@ from corvane.llm.common import documents
 LENGTH, K = 50, 24
 SPAN = LENGTH - K + 1  # 24-byte strings in a string
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 PART_BYTES = 2 << 20
 RUN = 64
 STRIDE = 32
@@ -69,7 +69,8 @@ class Block:
 
     def __init__(self, parts: list[tuple[int, int, bytes]]):
         """parts: (document's place in the shard, offset in its text, bytes)."""
-        self.bytes = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        self.raw = b"".join(p[2] for p in parts)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
         size = np.array([len(p[2]) for p in parts], np.int64)
         self.begin = np.cumsum(size) - size
         self.doc, self.offset, self.size = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64), size
@@ -151,22 +152,27 @@ def _by_bucket(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), np.append(at, len(keys))
 
 
-def _owners(ids: list, texts: list[bytes], buckets: int):
+def _scan(texts: list[bytes], buckets: int) -> list[tuple]:
+    """Per block: the block and its runs' start, strings, owner key and part."""
+    out = []
+    for b in blocks(texts):
+        start, n, owner, part = b.runs()
+        out.append((b, start, n, _keys(owner, buckets), part))
+    return out
+
+
+def _owners(ids: list, scanned: list[tuple]):
     """Distinct owner keys of a shard, sorted; and whether each is in two documents of the shard."""
     doc = np.array(ids, np.int64)
-    keys, docs = [], []
-    for b in blocks(texts):
-        _, _, owner, part = b.runs()
-        keys.append(_keys(owner, buckets))
-        docs.append(doc[b.doc[part]])
-    if not keys:
+    if not scanned:
         return np.empty(0, np.uint64), np.empty(0, bool)
-    k, d = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(k, kind="stable")
+    k = np.concatenate([f[3] for f in scanned])
+    d = np.concatenate([doc[f[0].doc[f[4]]] for f in scanned])
+    order = np.argsort(k)
     k, d = k[order], d[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-    if not len(first):
+    if not len(k):
         return np.empty(0, np.uint64), np.empty(0, bool)
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     return k[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
 
 
@@ -193,7 +199,8 @@ def _pieces(ids: list, texts: list[bytes], buckets: int, reply: pa.Table):
     Classes (distinct runs) are sorted by bucket and hash: bucket key, smallest id, strings, and the
     (block, position) where the class is found first.
     """
-    keys, _ = _owners(ids, texts, buckets)
+    scanned = _scan(texts, buckets)
+    keys, _ = _owners(ids, scanned)
     bucket, at = _by_bucket(keys)
     n_of = {int(b): int(at[i + 1] - at[i]) for i, b in enumerate(bucket)}
     shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
@@ -203,9 +210,7 @@ def _pieces(ids: list, texts: list[bytes], buckets: int, reply: pa.Table):
             shared[at[i] : at[i + 1]], hot[at[i] : at[i + 1]] = told[int(b)]
     doc = np.array(ids, np.int64)
     found = []
-    for k, b in enumerate(blocks(texts)):
-        start, n, owner, part = b.runs()
-        key = _keys(owner, buckets)
+    for b, start, n, key, part in scanned:
         i = np.searchsorted(keys, key)
         use = shared[i]
         single = use & hot[i]
@@ -248,7 +253,7 @@ def larsson_sadakane(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     # Zero padding equals zero bytes: the last 7 suffixes are put before longer ones by length below.
     k = key[sa]
     head = np.r_[True, k[1:] != k[:-1]]
@@ -261,7 +266,7 @@ def larsson_sadakane(text: np.ndarray) -> np.ndarray:
     step = 1 if len(np.unique(rank[short])) < len(short) or np.isin(rank[short], rank[: max(0, n - 7)]).any() else 8
     if step == 1:  # only with zero bytes near the end: refine from single bytes
         key = text.astype(np.int64)
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)
         k = key[sa]
         head = np.r_[True, k[1:] != k[:-1]]
         first = np.flatnonzero(head)
@@ -273,10 +278,11 @@ def larsson_sadakane(text: np.ndarray) -> np.ndarray:
     while len(todo):
         suffix, g = sa[todo], group[todo]
         nxt = rank[np.minimum(suffix + h, n)]
-        order = np.lexsort((nxt, g))
-        suffix, nxt, g = suffix[order], nxt[order], g[order]
+        pair = g * (n + 2) + nxt + 1
+        order = np.argsort(pair)
+        suffix, pair = suffix[order], pair[order]
         sa[todo] = suffix
-        head = np.r_[True, (g[1:] != g[:-1]) | (nxt[1:] != nxt[:-1])]
+        head = np.r_[True, pair[1:] != pair[:-1]]
         begin = np.flatnonzero(head)
         new = todo[begin][np.cumsum(head) - 1]
         rank[suffix] = new
@@ -305,15 +311,22 @@ def kasai(text: np.ndarray, sa: np.ndarray, most: int = LENGTH) -> np.ndarray:
     anchor = np.maximum.accumulate(np.where(follows, 0, i))
     at = np.flatnonzero(~follows | ((i - anchor) % STRIDE == 0))
     other, length = before[at], np.zeros(len(at), np.int64)
+    padded = np.concatenate([text, np.zeros(most + STRIDE + 8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n + most + STRIDE, np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | padded[j : j + len(key)]
     live = np.flatnonzero(other >= 0)
-    for k in range(most + STRIDE):
-        a, b = at[live] + k, other[live] + k
-        ok = (a < n) & (b < n)
-        ok[ok] = text[a[ok]] == text[b[ok]]
-        live = live[ok]
-        length[live] = k + 1
+    for k in range(0, most + STRIDE, 8):  # eight letters at a time
+        x = key[at[live] + k] ^ key[other[live] + k]
+        same = np.full(len(x), 8, np.int64)
+        apart = np.flatnonzero(x)
+        same[apart] = sum((x[apart] < (np.uint64(1) << np.uint64(64 - 8 * j))).astype(np.int64) for j in range(1, 8))
+        length[live] += same
+        live = live[x == 0]
         if not len(live):
             break
+    length = np.minimum(length, n - np.maximum(at, other))  # not beyond the end
+    length[other < 0] = 0
     counts = np.diff(np.append(at, n))
     plcp = np.repeat(length, counts) - (i - np.repeat(at, counts))
     return np.minimum(plcp, most)[sa]
@@ -326,10 +339,11 @@ def _strings(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out.view(f"S{LENGTH + 1}").ravel()
 
 
-def least_ids(runs: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For distinct runs with their smallest ids: of each of their strings, the smallest id that has it."""
-    counts = np.array([len(r) - LENGTH + 1 for r in runs], np.int64)
-    ends = np.cumsum([len(r) for r in runs])
+def least_ids(runs: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """For distinct runs with their smallest ids: of each of their strings in turn, the smallest id that has it."""
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    counts = sizes - LENGTH + 1
+    ends = np.cumsum(sizes)
     parts, a = [], 0
     while a < len(runs):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES, "right")))
@@ -338,7 +352,7 @@ def least_ids(runs: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     found, merged, known = [], None, None
     for a, b in parts:
         data = np.frombuffer(b"".join(runs[a:b]), np.uint8)
-        size, n = np.array([len(r) for r in runs[a:b]]), counts[a:b]
+        size, n = sizes[a:b], counts[a:b]
         begin = np.cumsum(size) - size
         start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         is_start = np.full(len(data), -1, np.int64)
@@ -349,14 +363,15 @@ def least_ids(runs: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         group = np.cumsum(~same) - 1
         use = is_start[sa] >= 0
         pos, group = is_start[sa[use]], group[use]
-        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        fresh = np.r_[True, group[1:] != group[:-1]]
+        head = np.flatnonzero(fresh)
         least = np.minimum.reduceat(owner[pos], head)
         of = np.empty(len(start), np.int64)
-        of[pos] = np.searchsorted(head, np.arange(len(pos)), "right") - 1
+        of[pos] = np.cumsum(fresh) - 1
         if len(parts) == 1:
-            return np.split(least[of], np.cumsum(n)[:-1])
+            return least[of]
         items = _strings(data, start[pos[head]])
-        found.append((items, of, n))
+        found.append((items, of))
         if merged is None:
             merged, known = items, least
             continue
@@ -365,10 +380,7 @@ def least_ids(runs: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         hit[hit] = merged[at[hit]] == items[hit]
         known[at[hit]] = np.minimum(known[at[hit]], least[hit])
         merged, known = np.insert(merged, at[~hit], items[~hit]), np.insert(known, at[~hit], least[~hit])
-    out = []
-    for items, of, n in found:
-        out += np.split(known[np.searchsorted(merged, items)][of], np.cumsum(n)[:-1])
-    return out
+    return np.concatenate([known[np.searchsorted(merged, items)][of] for items, of in found])
 
 
 def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFrame:
@@ -376,7 +388,7 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
 
     def owners(key, table):
         ids, texts = _shard(table)
-        keys, twice = _owners(ids, texts, buckets)
+        keys, twice = _owners(ids, _scan(texts, buckets))
         bucket, at = _by_bucket(keys)
         rows = [(int(b), key[0].as_py(), (keys[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), _pack(twice[i:j])) for b, i, j in zip(bucket, at[:-1], at[1:], strict=True)]
         return _table(rows, ["bucket", "shard", "keys", "twice"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
@@ -405,13 +417,10 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
         _, first, to, least = _classes(found)
         block_end = np.cumsum([len(f[1]) for f in found])
         which = np.searchsorted(block_end, first, "right")
-        local = first - np.concatenate([[0], block_end])[which]
-        data, size = [], np.zeros(len(first), np.int64)
-        for i, (w, p) in enumerate(zip(which.tolist(), local.tolist(), strict=True)):
-            f = found[w]
-            a, n = f[1][p], f[2][p] + LENGTH - 1
-            data.append(f[0].bytes[a : a + n].tobytes())
-            size[i] = n
+        begin = np.concatenate([f[1] for f in found])[first]
+        size = np.concatenate([f[2] for f in found])[first] + LENGTH - 1
+        raw = [f[0].raw for f in found]
+        data = [raw[w][a:z] for w, a, z in zip(which.tolist(), begin.tolist(), (begin + size).tolist(), strict=True)]
         bucket, at = np.unique(to, return_index=True)
         at = np.append(at, len(to))
         rows = [(int(b), key[0].as_py(), size[i:j].astype("<u2").tobytes(), least[i:j].astype("<i8").tobytes(), b"".join(data[i:j])) for b, i, j in zip(bucket, at[:-1], at[1:], strict=True)]
@@ -420,24 +429,22 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
     def smaller(key, table):
         shard = table.column("shard").to_pylist()
         place: dict[bytes, int] = {}
-        least: list[int] = []
         sent = []
         for size, ids, data in zip(*(table.column(c).to_pylist() for c in ("sizes", "ids", "data")), strict=True):
-            ids, at, own = np.frombuffer(ids, "<i8"), 0, []
-            for n, d in zip(np.frombuffer(size, "<u2").tolist(), ids.tolist(), strict=True):
-                run = data[at : at + n]
-                at += n
-                i = place.setdefault(run, len(least))
-                if i == len(least):
-                    least.append(d)
-                elif d < least[i]:
-                    least[i] = d
-                own.append(i)
-            sent.append((own, ids))
-        found = least_ids(list(place), np.array(least, np.int64))
+            ends = np.cumsum(np.frombuffer(size, "<u2").astype(np.int64))
+            runs = [data[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            sent.append((np.array([place.setdefault(r, len(place)) for r in runs], np.int64), np.frombuffer(ids, "<i8")))
+        least = np.full(len(place), np.iinfo(np.int64).max)
+        for own, ids in sent:
+            np.minimum.at(least, own, ids)
+        runs = list(place)
+        n = np.fromiter(map(len, runs), np.int64, len(runs)) - LENGTH + 1
+        at = np.cumsum(n) - n
+        found = least_ids(runs, least)
         rows = []
         for s, (own, ids) in zip(shard, sent, strict=True):
-            bits = np.concatenate([found[i] for i in own]) < np.repeat(ids, [len(found[i]) for i in own])
+            k = n[own]
+            bits = found[np.repeat(at[own], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)] < np.repeat(ids, k)
             if bits.any():
                 rows.append((s, key[0].as_py(), _pack(bits), None))
         return _table(rows, ["shard", "bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
