@@ -4,15 +4,16 @@ A line's tokens are its distinct words between blanks; lines of fewer than ``MIN
 alone. A line is removed if an earlier line (in order of document id, then line number) has a Jaccard
 similarity of ``SIMILARITY`` or more with it, both as they are in the input.
 
-1. Rarity: words are counted in a sketch of ``COUNTERS`` saturating counters over all rows; its size
-   is fixed, so it is broadcast. (count, hash) is one global order of all words, whatever collides.
+1. Rarity: words are counted in a sketch of ``COUNTERS`` counters over all rows, graded to a byte
+   each; its size is fixed, so it is broadcast. (count, hash) is one global order of all words, whatever collides.
 2. Each line's words are sorted, rarest first. Two similar lines share a word among their first
-   n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and a
-   64-bit signature. A word counted once can't be shared and isn't sent. Tasks send packed arrays,
+   n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and 128
+   parity bits. A word counted once can't be shared and isn't sent. Tasks send packed arrays,
    one row per bucket of words; exact repeats within a chunk are settled before.
 3. Within a word, later lines are compared with earlier ones: lengths, positions, then signatures
    (each differing bit is a differing word). A line gets at most ``FIRST`` candidates per word, the
-   earliest; if it had more and none of them is confirmed, a second round compares it with all.
+   earliest; if a word had more and none of the line's is confirmed, a second round compares the line
+   with all that have the word.
 4. Candidates' word sets (of lines that a Bloom filter of fixed size lets through) are joined and
    the Jaccard similarity is computed exactly.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ SIMILARITY = (4, 5)  # as a fraction, for exact whole-number arithmetic
 MIN_TOKENS = 5
 COUNTERS = 1 << 24
 CHUNKS = 64
-CHUNK_BYTES = 4 << 20
-FIRST = 4
+CHUNK_BYTES = 1 << 20
+FIRST = 16
 BUCKET_ROWS = 200_000
 BLOOM_BITS = 1 << 25
 
@@ -94,10 +96,11 @@ def _inverse() -> np.ndarray:
     return _INV_POW
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Words of whole texts in blocks: hash, document id, line number; and a running line key.
 
     A text longer than a block is cut at line feeds; a line longer than a block is taken in parts.
+    wanted: a function from document ids to the ones to read; others are passed over.
     """
 
     def made(docs, firsts, parts):
@@ -110,8 +113,11 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
     docs, firsts, parts, held = [], [], [], 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        if wanted is not None:
+            ok = wanted(np.array([d or 0 for d in ids], np.int64)).tolist()
+            ids = [d if x else None for d, x in zip(ids, ok, strict=True)]
         for i, doc in enumerate(ids):
-            text = texts[i].as_py()
+            text = texts[i].as_py() if doc is not None else None
             if doc is None or not text:
                 continue
             data, first = text.encode("utf-8", "surrogatepass"), 0
@@ -151,7 +157,7 @@ def _long(doc: int, data: bytes):
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Saturating counts (uint8) of all words by the low bits of their hash."""
+    """Counts of all words by the low bits of their hash, graded to a byte each (see ``_grade``)."""
     each = COUNTERS // CHUNKS
 
     def count(batches):
@@ -161,7 +167,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             slot, c = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(slot, np.arange(CHUNKS + 1) * each)
             rows = [(k, slot[a:b], c[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([(s - k * each).astype("<u4").tobytes() for k, s, _ in rows], pa.binary()), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for _, _, x in rows], pa.binary())], names=["chunk", "slots", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([(s - k * each).astype("<u4").tobytes() for k, s, _ in rows], pa.binary()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for _, _, x in rows], pa.binary())], names=["chunk", "slots", "counts"])
 
         for h, _, _ in blocks(batches):
             held.append((h & np.uint64(COUNTERS - 1)).astype(np.uint32))
@@ -172,27 +178,32 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         if n:
             yield emit()
 
-    def add(batches):  # any number of partial sketches of the chunks in this partition
+    def add(batches, last: bool = False):  # any number of partial sketches of the chunks in this partition
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, s, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                t = total.setdefault(k, np.zeros(each, np.uint8))
-                slot = np.frombuffer(s, "<u4")
-                t[slot] = np.minimum(t[slot].astype(np.int64) + np.frombuffer(c, np.uint8), 255)
+                t = total.setdefault(k, np.zeros(each, np.int64))
+                t[np.frombuffer(s, "<u4")] += np.frombuffer(c, "<u4")
         for k, t in total.items():
             slot = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot.astype("<u4").tobytes()], pa.binary()), pa.array([t[slot].tobytes()], pa.binary())], names=["chunk", "slots", "counts"])
+            n = _grade(t[slot]) if last else np.minimum(t[slot], (1 << 32) - 1).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot.astype("<u4").tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["chunk", "slots", "counts"])
 
     schema = "chunk int, slots binary, counts binary"
     partial = docs.select(id_col, text_col).mapInArrow(count, schema)
     # Partial sketches of a task are added up before and after the shuffle by chunk.
     out = np.zeros(COUNTERS, np.uint8)
-    for r in partial.mapInArrow(add, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():
+    for r in partial.mapInArrow(add, schema).repartition(CHUNKS, "chunk").mapInArrow(lambda b: add(b, True), schema).collect():
         at = np.frombuffer(r.slots, "<u4").astype(np.int64) + r.chunk * each
         out[at] = np.frombuffer(r.counts, np.uint8)
     return out
 
 
+def _grade(n: np.ndarray) -> np.ndarray:
+    """A count in one byte: itself up to 32, above eight steps for each doubling."""
+    return np.where(n <= 32, n, np.minimum(255, 32 + np.floor(8 * np.log2(np.maximum(n, 32) / 32)))).astype(np.uint8)
+
+
 def line_sets(h: np.ndarray, doc: np.ndarray, line: np.ndarray, counts: np.ndarray):
     """Distinct words of each line, rarest first: hash, count, line index; and per line: doc, line, start, n."""
     if not len(h):
@@ -201,8 +212,12 @@ def line_sets(h: np.ndarray, doc: np.ndarray, line: np.ndarray, counts: np.ndarr
     fresh = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]
     key = np.cumsum(fresh) - 1
     c = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    # One sort key: line, count, upper bits of the hash; ties of these are told apart by the full hash.
-    order = np.lexsort((h, (key.astype(np.uint64) << np.uint64(8)) | c))
+    # One sort key: line, count, upper half of the hash. Only if two hashes agree in that half is all of it sorted.
+    whole = (key.astype(np.uint64) << np.uint64(40)) | (c.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+    order = np.argsort(whole)
+    whole = whole[order]
+    if len(fresh) > 1 << 24 or ((whole[1:] == whole[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
+        order = np.lexsort((h, (key.astype(np.uint64) << np.uint64(8)) | c))
     h, key, c = h[order], key[order], c[order]
     keep = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])]
     h, key, c = h[keep], key[keep], c[keep]
@@ -217,15 +232,20 @@ def _prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-p * n // q) + 1
 
 
-def _signature(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduceat(np.left_shift(np.uint64(1), h >> np.uint64(58)), start) if len(h) else np.empty(0, np.uint64)
+def _signature(h: np.ndarray, start: np.ndarray, half: int) -> np.ndarray:
+    """One half of a line's 128 parity bits: a word flips one bit, so two lines differ by at least as many words as bits."""
+    bit = np.left_shift(np.uint64(1), (h >> np.uint64(57)) & np.uint64(63))
+    return np.bitwise_xor.reduceat(np.where((h >> np.uint64(63)) == half, bit, np.uint64(0)), start) if len(h) else np.empty(0, np.uint64)
 
 
-ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("doc", "<i8"), ("line", "<u4")])
+ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 
 
-def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Packed prefix rows by bucket, and settled exact repeats (bucket -1): bucket, rows."""
+def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col: str, tokens=None) -> DataFrame:
+    """Packed prefix rows by bucket, and settled exact repeats (bucket -1): bucket, rows.
+
+    tokens: a broadcast Bloom table of (token, bucket) pairs; only their rows are sent.
+    """
 
     def send(batches):
         table = counts.value
@@ -233,7 +253,7 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             h, c, key, ldoc, lline, start, n = line_sets(h, doc, line, table)
             if not len(h):
                 continue
-            sig = _signature(h, start)
+            sig, sig2 = _signature(h, start, 0), _signature(h, start, 1)
             same = np.add.reduceat(_mix(h), start)
             ok = n >= MIN_TOKENS
             # Exact repeats within the block: the earliest line stands for them.
@@ -249,8 +269,11 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             out = np.zeros(int(use.sum()), ROW)
             k, t = key[use], h[use]
             out["token"], out["n"], out["pos"], out["same"] = (t & np.uint64(0xFFFFFFFF)), n[k], pos[use], (same[k] >> np.uint64(32))
-            out["sig"], out["doc"], out["line"] = sig[k], ldoc[k], lline[k]
+            out["sig"], out["sig2"], out["doc"], out["line"] = sig[k], sig2[k], ldoc[k], lline[k]
             bucket = ((t >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
+            if tokens is not None:
+                some = _in_bloom(tokens.value, _ref_of(out["token"].astype(np.int64), bucket.astype(np.int64)))
+                out, bucket = out[some], bucket[some]
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
             ids, at = np.unique(bucket, return_index=True)
@@ -267,21 +290,26 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
 def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.ndarray:
     """Candidates (later line, earlier line, state) among the prefix rows of one bucket.
 
-    state 0: exact repeat; 1: candidate; 2: the line had more candidates than ``first`` for a word.
+    state 0: exact repeat; 1: candidate; 2: more than ``first`` candidates for the word in the place of the earlier line.
     """
     p, q = SIMILARITY
-    r = r[np.lexsort((r["line"], r["doc"], r["same"], r["sig"], r["n"], r["token"]))]
-    twin = np.r_[False, (r["token"][1:] == r["token"][:-1]) & (r["n"][1:] == r["n"][:-1]) & (r["sig"][1:] == r["sig"][:-1]) & (r["same"][1:] == r["same"][:-1])]
-    source = np.maximum.accumulate(np.where(twin, 0, np.arange(len(r))))
-    moved = twin & ((r["doc"] != r["doc"][source]) | (r["line"] != r["line"][source]))
-    out = [(r[moved], r[source[moved]], np.zeros(int(moved.sum()), np.int8))]
-    r = r[~twin]
-    r = r[np.lexsort((r["line"], r["doc"], r["token"]))]
+    r = r[np.lexsort((r["line"], r["doc"]))]
+    alike = _mix(r["sig"] ^ _mix((r["token"].astype(np.uint64) << np.uint64(32)) | r["same"]) ^ (r["n"].astype(np.uint64) * np.uint64(_BASE)))
+    order = np.argsort(alike, kind="stable")  # repeats of a line side by side, the earliest first
+    alike = alike[order]
+    twin = np.r_[False, alike[1:] == alike[:-1]] if len(r) else np.empty(0, bool)
+    source = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(r))))]
+    t = r[order]
+    # A repeat is told once, by its line's rarest word.
+    moved = twin & ((t["doc"] != r["doc"][source]) | (t["line"] != r["line"][source])) & (t["pos"] == 0)
+    out = [(t[moved], r[source[moved]], np.zeros(int(moved.sum()), np.int8))]
+    r = r[np.sort(order[~twin])]
+    r = r[np.argsort(r["token"], kind="stable")]
     head = np.r_[True, r["token"][1:] != r["token"][:-1]] if len(r) else np.empty(0, bool)
     begin = np.flatnonzero(head)
     begin_of = begin[np.cumsum(head) - 1] if len(r) else begin
     place = np.arange(len(r)) - begin_of  # how many earlier lines the word has
-    n, pos, sig = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"]
+    n, pos, sig, sig2 = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"], r["sig2"]
     found = np.zeros(len(r), np.int64)
     active = np.flatnonzero(place > 0)
     if only is not None:
@@ -292,7 +320,7 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
         a, b = n[i], n[j]
         need = -(-(a + b) * p // (p + q))
         ok = (q * np.minimum(a, b) >= p * np.maximum(a, b)) & (1 + np.minimum(a - pos[i] - 1, b - pos[j] - 1) >= need - np.minimum(pos[i], pos[j]))
-        ok &= np.bitwise_count(sig[i] ^ sig[j]) <= a + b - 2 * need
+        ok &= np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64) + np.bitwise_count(sig2[i] ^ sig2[j]) <= a + b - 2 * need
         ok &= (r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j])
         found[i[ok]] += 1
         full = ok & (found[i] > first)
@@ -304,6 +332,8 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     late, early, state = (np.concatenate([o[k] for o in out]) for k in range(3))
     made = np.zeros(len(late), [("d", "<i8"), ("l", "<i8"), ("d0", "<i8"), ("l0", "<i8"), ("s", "i1")])
     made["d"], made["l"], made["d0"], made["l0"], made["s"] = late["doc"], late["line"], early["doc"], early["line"], state
+    more = state == 2  # here the word is told instead of an earlier line
+    made["d0"][more], made["l0"][more] = late["token"][more], 0
     return np.unique(made)
 
 
@@ -327,6 +357,7 @@ def candidates(rows: DataFrame, first: int, only=None) -> DataFrame:
             ref = np.unique(_ref(packed))
             some = ref[_in_bloom(only.value, ref)]
         m = compare(packed, first, some)
+        m["l0"][m["s"] == 2] = key[0].as_py()
         return pa.table({k: m[k].astype(np.int32 if k == "s" else np.int64) for k in ("d", "l", "d0", "l0", "s")})
 
     # Settled repeats need no common bucket; they are spread by their content.
@@ -379,9 +410,11 @@ def sets_of(docs: DataFrame, counts, wanted, id_col: str, text_col: str) -> Data
     """Word sets of the lines that the Bloom filter lets through: d, l, words."""
 
     def of(batches):
-        for h, doc, line in blocks(batches):
-            ref = _ref_of(doc, line)
-            ok = _in_bloom(wanted.value, ref)
+        for h, doc, line in blocks(batches, lambda d: _in_bloom(wanted.value, _ref_of(d, np.full(len(d), -1)))):
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
+            ok = np.repeat(_in_bloom(wanted.value, _ref_of(doc[first], line[first])), np.diff(np.append(first, len(h))))
             h, c, key, ldoc, lline, start, n = line_sets(h[ok], doc[ok], line[ok], counts.value)
             if len(h):
                 ends = np.append(start, len(h)).astype(np.int32)
@@ -398,11 +431,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, counts, id_col: str, text_col:
     """Later lines (d, l) of the pairs whose Jaccard similarity is high enough."""
     spark = docs.sparkSession
     p, q = SIMILARITY
-    ends = pairs.select("d", "l").union(pairs.select("d0", "l0"))
+    ends = pairs.select("d", "l").union(pairs.select("d0", "l0")).distinct()
+    ends = ends.union(ends.select("d", F.lit(-1).cast("long")).distinct())  # and their documents
     wanted = spark.sparkContext.broadcast(bloom(ends))
-    sets = written(sets_of(docs, counts, wanted, id_col, text_col).dropDuplicates(["d", "l"]), "line-sets")
+    sets = written(sets_of(docs, counts, wanted, id_col, text_col), "line-sets")
     late, early = sets.withColumnRenamed("words", "a"), sets.toDF("d0", "l0", "b")
-    both = pairs.join(late, ["d", "l"]).join(early, ["d0", "l0"])
+    # Lines' sets are joined by place; the earlier line's set goes along with the pair.
+    both = pairs.join(early, ["d0", "l0"]).join(late, ["d", "l"])
     common = F.size(F.array_intersect("a", "b"))
     return both.where(q * common >= p * (F.size("a") + F.size("b") - common)).select("d", "l").distinct()
 
@@ -414,29 +449,41 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_buckets = max(8, int(size / 30 / BUCKET_ROWS) + 1)
     rows = prefix_rows(docs, counts, n_buckets, id_col, text_col)
-    found = written(candidates(rows, FIRST).distinct(), "line-candidates")
+    found = written(candidates(rows, FIRST), "line-candidates")
     settled = found.where("s = 0").select("d", "l").distinct()
-    pairs = found.where("s > 0").select("d", "l", "d0", "l0").distinct().join(settled, ["d", "l"], "left_anti")
-    gone = written(settled.union(_verified(pairs, docs, counts, id_col, text_col)).distinct(), "lines-gone")
-    # Lines with more candidates than were tried, none of them confirmed: compared with all.
-    open_ = written(found.where("s = 2").select("d", "l").distinct().join(gone, ["d", "l"], "left_anti"), "lines-open")
-    if open_.limit(1).count():
-        only = spark.sparkContext.broadcast(bloom(open_))
-        more = candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col).where("bucket >= 0"), 1 << 40, only)
-        pairs = written(more.where("s > 0").select("d", "l", "d0", "l0").distinct().join(open_, ["d", "l"]), "lines-more")
-        gone = gone.union(_verified(pairs, docs, counts, id_col, text_col)).distinct()
-    return gone
+    near = written(found.where("s > 0").join(settled, ["d", "l"], "left_anti").distinct(), "line-near")
+    pairs = written(near.where("s = 1").select("d", "l", "d0", "l0"), "line-pairs")
+    gone = written(settled.union(_verified(pairs, docs, counts, id_col, text_col)), "lines-gone")
+    # Lines with words that had more candidates, none of them confirmed: compared with all that have the word.
+    open_ = written(near.where("s = 2").join(gone, ["d", "l"], "left_anti"), "lines-open")
+    if not open_.limit(1).count():
+        return gone
+    only = spark.sparkContext.broadcast(bloom(open_))
+    tokens = spark.sparkContext.broadcast(bloom(open_.select(F.col("d0").alias("d"), F.col("l0").alias("l"))))
+    more = candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col, tokens).where("bucket >= 0"), 1 << 40, only)
+    pairs = written(more.where("s = 1").join(open_.select("d", "l").distinct(), ["d", "l"]).select("d", "l", "d0", "l0").distinct(), "lines-more")
+    return gone.union(_verified(pairs, docs, counts, id_col, text_col))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of their texts, and column ``removed_lines`` (a count)."""
-    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("d").alias("ld_id")).agg(F.collect_set(F.col("l").cast("int")).alias("ld_gone"))
-    out = docs.join(gone, docs[id_col] == gone.ld_id, "left")
-    lines = F.split(text_col, "\n")
-    out = out.withColumn("ld_lines", lines)
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(ld_lines) - 1), ld_gone), i -> get(ld_lines, i)), '\\n')")
+    lines = removed_lines(docs, id_col, text_col)
+    gone = written(lines.groupBy(F.col("d").alias("ld_id")).agg(F.collect_set(F.col("l").cast("int")).alias("ld_gone")), "lines-by-document")
+    hit = docs.sparkSession.sparkContext.broadcast(bloom(gone.select(F.col("ld_id").alias("d"), F.lit(0).cast("long").alias("l"))))
+
+    @F.pandas_udf("boolean")
+    def may_have(ids: pd.Series) -> pd.Series:
+        known = ids.notna()
+        return known & _in_bloom(hit.value, _ref_of(ids.fillna(0).to_numpy().astype(np.int64), np.zeros(len(ids), np.int64)))
+
+    # Only documents that a Bloom filter of fixed size lets through are shuffled with their texts.
+    marked = docs.withColumn("ld_hit", may_have(F.col(id_col).cast("long")))
+    some = marked.where("ld_hit")
+    out = some.join(gone, some[id_col] == gone.ld_id, "left").withColumn("ld_lines", F.split(text_col, "\n"))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(ld_lines) - 1), ld_gone), i -> get(ld_lines, i)), '\n')")
     out = out.withColumn("removed_lines", F.when(F.col("ld_gone").isNull(), 0).otherwise(F.size("ld_gone")).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("ld_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns, "removed_lines")
+    out = out.withColumn(text_col, F.when(F.col("ld_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns, "removed_lines")
+    return out.union(marked.where("not ld_hit").select(*docs.columns, F.lit(0).cast("long")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
