@@ -33,7 +33,7 @@ from corvane.llm.common import byte_letters, documents
 # Fixed value: the pattern that byte-level tokenizers cut text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class Vocabulary:
@@ -121,7 +121,7 @@ class Backtracker:
                         break
                     ok = pairs.get((last, token))
                     if ok is None:
-                        if len(pairs) > 2_000_000:
+                        if len(pairs) > 500_000:
                             pairs.clear()
                         ok = pairs[last, token] = self.compatible(last, token)
                     if ok:
