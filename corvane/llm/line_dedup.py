@@ -256,11 +256,12 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             sig, sig2 = _signature(h, start, 0), _signature(h, start, 1)
             same = np.add.reduceat(_mix(h), start)
             ok = n >= MIN_TOKENS
-            # Exact repeats within the block: the earliest line stands for them.
-            order = np.lexsort((lline, ldoc, n, sig, same))
+            # Exact repeats within the block: the earliest line stands for them. The same place in another row of its document is no repeat.
+            o = np.lexsort((lline, ldoc, n, sig, same))
+            alike = np.r_[False, (same[o[1:]] == same[o[:-1]]) & (sig[o[1:]] == sig[o[:-1]]) & (n[o[1:]] == n[o[:-1]])]
+            first = o[np.maximum.accumulate(np.where(alike, 0, np.arange(len(o))))]
             again = np.zeros(len(n), bool)
-            o = order
-            again[o[1:]] = (same[o[1:]] == same[o[:-1]]) & (sig[o[1:]] == sig[o[:-1]]) & (n[o[1:]] == n[o[:-1]])
+            again[o] = alike & ((ldoc[o] != ldoc[first]) | (lline[o] != lline[first]))
             again &= ok
             gone = np.zeros(int(again.sum()), ROW)
             gone["doc"], gone["line"] = ldoc[again], lline[again]

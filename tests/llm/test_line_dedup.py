@@ -82,6 +82,16 @@ def test_edge_cases(spark):
     assert got == [(0, line, 0), (1, "-", 0), (2, "", 0), (3, f"{line}\n\nshort line", 1), (4, "short line", 1), (4, "short line", 1), (9, "q" * 300_000, 1)]
 
 
+def test_repeated_rows_of_one_id(spark):
+    """Rows of one id and text in one block keep their lines; a repeat at another place still goes."""
+    text = "only here one two three four\nonly here five six seven eight"
+    again = "nowhere else a b c d e\nsome other words of this text\nnowhere else a b c d e"
+    rows = [(7, text), (7, text), (8, again), (8, again), (9, "some other words of this text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.d, r.l) for r in ld.removed_lines(docs).collect()}
+    assert got == slow(rows) == {(8, 2), (9, 0)}
+
+
 def F_text(df):
     from pyspark.sql import functions as F
 
