@@ -156,8 +156,11 @@ def _long(doc: int, data: bytes):
     yield h, np.full(len(h), doc, np.int64), line
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Counts of all words by the low bits of their hash, graded to a byte each (see ``_grade``)."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, read=blocks) -> np.ndarray:
+    """Counts of all words by the low bits of their hash, graded to a byte each (see ``_grade``).
+
+    read: what makes blocks of hashes of the batches, as ``blocks`` does.
+    """
     each = COUNTERS // CHUNKS
 
     def count(batches):
@@ -169,7 +172,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             rows = [(k, slot[a:b], c[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([(s - k * each).astype("<u4").tobytes() for k, s, _ in rows], pa.binary()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for _, _, x in rows], pa.binary())], names=["chunk", "slots", "counts"])
 
-        for h, _, _ in blocks(batches):
+        for h, _, _ in read(batches):
             held.append((h & np.uint64(COUNTERS - 1)).astype(np.uint32))
             n += len(h)
             if n > 1 << 22:

@@ -158,14 +158,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, one row per id; and rows without an id."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("nd_id")).distinct()
-    with_id = docs.join(kept, docs[id_col] == kept.nd_id).dropDuplicates(["nd_id"]).select(docs.columns)
-    return with_id.union(docs.where(F.col(id_col).isNull()))
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
