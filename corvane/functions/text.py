@@ -59,9 +59,10 @@ def structural_signature(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(shape, "[0-9]+", "num"), r"\s+", " "))
 
 
-def semantic_tokens(text: str | Column, most: int = 400) -> Column:
-    """Set of the first identifiers of a text."""
-    return F.array_distinct(F.slice(F.regexp_extract_all(F.lower(text), F.lit(IDENTIFIER), F.lit(0)), 1, most))
+def semantic_tokens(text: str | Column, most: int | None = 400) -> Column:
+    """Set of the first identifiers of a text, of all with ``most`` None."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(IDENTIFIER), F.lit(0))
+    return F.array_distinct(found if most is None else F.slice(found, 1, most))
 
 
 def jaccard(a: str | Column, b: str | Column, both_empty: float = 0.0) -> Column:

@@ -81,7 +81,7 @@ def project_stats(spark, d):
 def eval_metrics(spark, d):
     """Every benchmark item is a case: its passage is searched by its first eight tokens, expected are the documents that hold its start."""
     cases = table(spark, d, "benchmark").select("item_id", F.slice(T.task_tokens("text"), 1, 8).alias("tokens"), F.substring("text", 1, 60).alias("start"))
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", T.semantic_tokens("text", 100000).alias("words"), "text")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", T.semantic_tokens("text", None).alias("words"), "text")
     # Cases meet documents on their tokens; expected ones hold the passage's start.
     terms = cases.select("item_id", F.explode("tokens").alias("w"))
     pairs = docs.select("doc_id", F.explode("words").alias("w")).join(terms, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
