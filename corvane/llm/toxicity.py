@@ -12,6 +12,13 @@ Scoring: every whole text, in lower case, is cut into windows of ``WINDOW`` byte
 The summary is the mean, sum and largest of the lengths saved, and the rate of windows over the
 threshold. Scores need only the dictionaries and a few numbers, which have a fixed size.
 
+Bounds: the toxic content is at most ``TOXIC_BYTES`` of words of three letters or more that ``SEEN``
+toxic documents or more hold, ``ODDS`` times over-represented; toxicity in phrases of ordinary words,
+in short words or in words with digits isn't seen. The ordinary dictionary is trained on at most
+30,000 windows, drawn at random. With fewer than 80 uses of such words, fewer than 200 ordinary
+windows, calibration rows of one kind only, or too little text for zstandard, no dictionary is
+trained and every score is the share of toxic labels.
+
 Defined cases: null and empty texts have nothing saved and get the score of that. Labels without a
 document and null labels are ignored; without labels of both kinds every score is the share of
 toxic labels. Repeated rows get equal scores. Other columns are ignored.
