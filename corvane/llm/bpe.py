@@ -19,6 +19,7 @@ text. Repeated rows get equal results. Other columns are dropped. Texts are enco
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ from corvane.llm.common import byte_letters, documents
 # Fixed value: the pattern that byte-level tokenizers cut text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
+PAIRS = 400_000
+CHUNK = 1 << 22  # bytes of text whose ids are turned into texts at once
 
 
 class Vocabulary:
@@ -104,38 +107,38 @@ class Backtracker:
         if whole is not None:
             return [whole]
         n = len(piece)
-        longest, reach = [0] * n, [0] * n
+        longest = [0] * n
         for end, (i, size) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > reach[start]:
-                longest[start], reach[start] = i, size
+            longest[end + 1 - size] = i  # matches come by their ends, so a start keeps its longest
         pairs, shorter, length = self.pairs, self.shorter, self.length
         out: list[int] = []
-        live = [True] * (n + 1)
-        at, token = 0, longest[0]
-        while at < n:
-            last = out[-1] if out else -1
+        dead: set[int] = set()
+        at, token, last = 0, longest[0], -1
+        while True:
             while token >= 0:
-                if live[at + length[token]]:
+                if at + length[token] not in dead:
                     if last < 0:
                         break
-                    ok = pairs.get((last, token))
+                    pair = last << 32 | token
+                    ok = pairs.get(pair)
                     if ok is None:
-                        if len(pairs) > 500_000:
+                        if len(pairs) > PAIRS:
                             pairs.clear()
-                        ok = pairs[last, token] = self.compatible(last, token)
+                        ok = pairs[pair] = self.compatible(last, token)
                     if ok:
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                if at == n:
+                    return out
+                last, token = token, longest[at]
             else:
-                live[at] = False
-                token = out.pop()
-                at -= length[token]
-        return out
+                dead.add(at)
+                token = shorter[out.pop()]
+                at -= length[last]
+                last = out[-1] if out else -1
 
 
 class Encoder:
@@ -144,75 +147,100 @@ class Encoder:
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         import regex
 
-        self.vocab = Vocabulary(path)
+        self.vocab = _once(Vocabulary, path)
         self.bpe = Backtracker(self.vocab)
         self.cut = regex.compile(PATTERN).findall
-        self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.vocab.added, key=len, reverse=True)) + ")") if self.vocab.added else None
-        self.pieces: dict[str, bytes] = {}
-        self.words, self.limit = _Spaced(self, limit), limit
-
-    def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            ids = array("I", self.bpe(p.encode())).tobytes()
-            if len(p) < 64:
-                if len(self.pieces) >= self.limit:
-                    self.pieces.clear()
-                self.pieces[p] = ids
-        return ids
+        self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.vocab.added, key=len, reverse=True)) + ")")
+        self.pieces = _Recent(lambda p: array("I", self.bpe(p.encode())).tobytes(), limit)
+        self.words = _Recent(self.word, limit)
+
+    def word(self, w: str) -> bytes:
+        """Ids of a blank and what follows it up to the next."""
+        if w.isascii() and w.isalpha():  # one piece
+            return self.pieces[" " + w]
+        return b"".join(map(self.pieces.__getitem__, self.cut(" " + w)))
 
     def plain(self, text: str) -> bytes:
+        piece = self.pieces.__getitem__
         if "  " in text or text[-1:] == " ":
-            return b"".join(map(self.piece, self.cut(text)))
+            return b"".join(map(piece, self.cut(text)))
         first, *words = text.split(" ")
-        return b"".join(map(self.piece, self.cut(first))) + b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(piece, self.cut(first))) + b"".join(map(self.words.__getitem__, words))
 
     def __call__(self, text: str) -> bytes:
-        if self.added is None or not self.added.search(text):
+        if not any(t in text for t in self.vocab.added):
             return self.plain(text)
         added = self.vocab.added
         return b"".join(array("I", [added[t]]).tobytes() if t in added else self.plain(t) for t in self.added.split(text))
 
 
-class _Spaced(dict):
-    """Ids of a blank and what follows it up to the next."""
+class _Recent(dict):
+    """A cache of two generations of ``limit`` entries: what is asked for again outlives the turn to a new one."""
 
-    def __init__(self, encoder: Encoder, limit: int):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.encoder, self.limit = encoder, limit
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.encoder.piece, self.encoder.cut(" " + word)))
-        if len(word) < 64:
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
             if len(self) >= self.limit:
+                self.old = self.copy()
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
 
 
-class Decoder:
-    """Texts of ids: slices of one table of bytes at the tokens' offsets."""
+class Slices:
+    """Joined slices of one table of bytes at the offsets of ids."""
 
-    def __init__(self, path: str):
-        parts = Vocabulary(path).bytes
+    def __init__(self, parts: list[bytes]):
         self.size = np.fromiter(map(len, parts), np.int32, len(parts))
-        self.offset = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.offset = np.cumsum(self.size) - self.size
         self.table = np.frombuffer(b"".join(parts), np.uint8)
 
-    def __call__(self, ids: np.ndarray) -> str:
+    def __call__(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each id's end lies in them."""
         sizes = self.size[ids]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         if not len(ends):
-            return ""
-        where = np.repeat(self.offset[ids] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return self.table[where].tobytes().decode("utf-8", "replace")
+            return b"", ends
+        kind = np.int32 if ends[-1] + len(self.table) < 1 << 31 else np.int64
+        where = np.repeat((self.offset[ids] - (ends - sizes)).astype(kind), sizes)
+        where += np.arange(ends[-1], dtype=kind)
+        return self.table[where].tobytes(), ends
+
+
+class Decoder:
+    """Texts of ids: slices of one table of bytes at the tokens' offsets; and their decimal digits the same way."""
+
+    def __init__(self, path: str):
+        parts = _once(Vocabulary, path).bytes
+        self.bytes = Slices(parts)
+        self.digits = Slices([b"%d," % i for i in range(len(parts))])
+
+    def __call__(self, ids: np.ndarray) -> str:
+        return self.bytes(ids)[0].decode("utf-8", "replace")
+
+    def digests(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of the comma-joined ids and of the decoded text of each run of ``counts`` ids."""
+        last = np.cumsum(counts)
+        out = []
+        for slices, closing in ((self.digits, 1), (self.bytes, 0)):
+            data, ends = slices(ids)
+            stop = np.concatenate([[0], ends])[last].tolist()
+            parts = [data[a : max(a, b - closing)] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+            out.append(parts)
+        return [hashlib.sha256(x).hexdigest() for x in out[0]], [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in out[1]]
 
 
 _made: dict = {}
 
 
 def _once(kind, path: str):
-    """One encoder or decoder for a worker process."""
+    """One vocabulary, encoder or decoder for a worker process."""
     if (kind, path) not in _made:
         _made[kind, path] = kind(path)
     return _made[kind, path]
@@ -250,12 +278,33 @@ def decode(coded: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
     return coded.select(id_col, ids_col).mapInArrow(of, f"doc_id {id_type}, ids array<int>, text string").withColumnRenamed("doc_id", id_col)
 
 
+def digests(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, and SHA-256 of the comma-joined ids and of the text decoded from them: ``encode`` and
+    ``decode`` in one pass, so that neither ids nor texts leave the task.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _once(Encoder, tokenizer), _once(Decoder, tokenizer)
+        for b in batches:
+            texts, coded, held, begin = b.column(1), [], 0, 0
+            for i in range(b.num_rows):
+                text = texts[i].as_py() or ""
+                coded.append(encoder(text))
+                held += len(text)
+                if held > CHUNK or i == b.num_rows - 1:
+                    counts = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+                    ids_hash, text_hash = decoder.digests(np.frombuffer(b"".join(coded), np.uint32), counts)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(coded)), pa.array(counts), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    coded, held, begin = [], 0, i + 1
+
+    return docs.select(id_col, text_col).mapInArrow(of, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    out = decode(encode(documents(spark, sf_dir), path), path)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op5_bpe": op5_bpe}
