@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it while a column has it (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers write for each byte: itself if printable, else from 256 up."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -1,65 +1,61 @@
 """Line deduplication by an exact set-similarity join (prefix, length and positional filters).
 
-A line's tokens are its distinct words between blanks; lines of fewer than ``MIN_TOKENS`` are left
-alone. A line is removed if an earlier line (in order of document id, then line number) has a Jaccard
-similarity of ``SIMILARITY`` or more with it, both as they are in the input.
+A line's tokens are its distinct words between blanks. A line is removed if an earlier line (in order
+of document id, then line number) has a Jaccard similarity of ``SIMILARITY`` or more with it, both as
+they are in the input. Lines without a word stay.
 
-1. Rarity: words are counted in a sketch of ``COUNTERS`` counters over all rows, graded to a byte
-   each; its size is fixed, so it is broadcast. (count, hash) is one global order of all words, whatever collides.
+1. Rarity: words are counted in a sketch over all rows, graded to a byte each; it has a counter for
+   every ``TEXT_PER_COUNTER`` bytes of text, ``COUNTERS`` (64 MB) at most, so it is broadcast. (count,
+   hash) is one global order of all words, whatever collides.
 2. Each line's words are sorted, rarest first. Two similar lines share a word among their first
-   n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and 128
+   n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and 64
    parity bits. A word counted once can't be shared and isn't sent. Tasks send packed arrays,
-   one row per bucket of words; exact repeats within a chunk are settled before.
-3. Within a word, later lines are compared with earlier ones: lengths, positions, then signatures
-   (each differing bit is a differing word). A line gets at most ``FIRST`` candidates per word, the
-   earliest; if a word had more and none of the line's is confirmed, a second round compares the line
-   with all that have the word.
-4. Candidates' word sets (of lines that a Bloom filter of fixed size lets through) are joined and
-   the Jaccard similarity is computed exactly.
+   one row per bucket of words; exact repeats within a block are settled before. A word counted more
+   than ``HOT`` times is dealt into parts: each of its lines is the later one in one of them only.
+3. Within a word, later lines are compared with earlier ones of the neighbouring length classes:
+   signatures (each differing bit is a differing word), then lengths and positions. A line gets at most
+   ``FIRST`` candidates per word; if a word had more and none of the line's is confirmed, a second round
+   compares the line with all that have the word.
+4. Candidates' word sets (of lines that a Bloom filter lets through) are joined and the Jaccard
+   similarity is computed exactly.
 
 So groups of g near copies cost in proportion to g, and no pair that decides a removal is lost.
 
 Defined cases: null texts stay null and have no lines. Rows with equal ids stand for one document;
-their lines at equal places don't remove each other. Rows without an id are passed through. Lines
-without enough tokens stay. Other columns are kept by ``dedup_lines``. An empty table stays empty.
+their lines at equal places don't remove each other. Rows without an id are passed through. An empty
+table stays empty. ``dedup_lines`` keeps all columns as they are, whatever their names; its count is
+named ``removed_lines``, with underscores after it while the input has that name. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.common import documents, written
+from corvane.llm.common import documents, free_name, written
 
 SIMILARITY = (4, 5)  # as a fraction, for exact whole-number arithmetic
-MIN_TOKENS = 5
-COUNTERS = 1 << 24
-CHUNKS = 64
-CHUNK_BYTES = 1 << 20
-FIRST = 16
+COUNTERS = 1 << 26
+TEXT_PER_COUNTER = 64
+CHUNK = 1 << 20  # counters or bits that one task adds up
+BLOCK = 1 << 19
+LONG_BLOCK = 1 << 22
+LONG_WORD = 256
+FIRST = 4
+HOT = 1 << 17
 BUCKET_ROWS = 200_000
-BLOOM_BITS = 1 << 25
+LEAST_BUCKETS = 64
+BLOOM_BYTES = 1 << 25
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n + 1, _BASE, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_POW = _powers(CHUNK_BYTES)
-_INV = np.uint64(pow(_BASE, -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_BLANKS = [b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,112 +64,128 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line number of every word of a block of lines."""
-    b = np.frombuffer(data, np.uint8)
-    solid = ~_BLANK[b]
-    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # A word's hash is the sum of byte values times powers, relative to its start: the powers run from
-    # the block's start, so each word's sum is brought back by a power of the inverse.
-    if len(_POW) <= len(b):
-        raise ValueError("block too long")
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * _POW[: len(b)])])
-    h = (total[end] - total[start]) * _inverse()[start]
-    lines = np.cumsum(b == 10)
-    return _mix(h ^ (end - start).astype(np.uint64)), lines[start] if len(start) else np.empty(0, np.int64)
-
-
-_INV_POW: np.ndarray | None = None
-
-
-def _inverse() -> np.ndarray:
-    global _INV_POW
-    if _INV_POW is None:
-        out = np.full(CHUNK_BYTES + 1, _INV, np.uint64)
-        out[0] = 1
-        _INV_POW = np.cumprod(out)
-    return _INV_POW
-
-
-def blocks(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of whole texts in blocks: hash, document id, line number; and a running line key.
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first byte of every word between blanks, and the places of the line feeds."""
+    padded = data + bytes(8)
+    b = np.frombuffer(padded, np.uint8, len(data))
+    blank = (b == 32) | (b - np.uint8(9) < 5)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(b) and not blank[0]:
+        edge = np.concatenate([[0], edge])
+    if len(edge) % 2:
+        edge = np.append(edge, len(b))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    # Words are taken eight bytes at a time; what lies beyond a word's end is masked.
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = _mix(_mix(size.astype(np.uint64) * _ODD) ^ (eight[start] & _MASK[np.minimum(size, 8)]))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG_WORD:
+        h[more] = _mix(h[more] ^ (eight[start[more] + at] & _MASK[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return h, start, np.flatnonzero(b == 10)
+
+
+def _passed(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the marks lie at or before each of the places ``at``; both ascend."""
+    return np.cumsum(np.bincount(np.searchsorted(at, marks), minlength=len(at) + 1))[: len(at)]
+
+
+def _utf8(texts: pa.Array) -> list:
+    """The bytes of each text as views into Arrow's buffer; None for null."""
+    if not len(texts) or texts.buffers()[2] is None:
+        return [None if n else b"" for n in texts.is_null().to_pylist()]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    data = memoryview(texts.buffers()[2])
+    parts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [p if ok else None for p, ok in zip(parts, texts.is_valid().to_pylist(), strict=True)] if texts.null_count else parts
+
+
+def blocks(batches: Iterator[pa.RecordBatch], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of whole texts in blocks: hash, document id, line number. All words of a line are in one block.
 
-    A text longer than a block is cut at line feeds; a line longer than a block is taken in parts.
     wanted: a function from document ids to the ones to read; others are passed over.
     """
 
-    def made(docs, firsts, parts):
-        h, line = words(b"\n".join(parts))
-        counts = np.array([p.count(b"\n") + 1 for p in parts])
-        begin = np.cumsum(counts) - counts
-        part = np.searchsorted(begin, line, "right") - 1
-        return h, np.array(docs, np.int64)[part], line - begin[part] + np.array(firsts, np.int64)[part]
+    def made(docs, parts):
+        h, start, feeds = words(b"\n".join(parts))
+        begin = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+        part = _passed(begin[1:], start)
+        return h, np.array(docs, np.int64)[part], _passed(feeds, start) - np.searchsorted(feeds, begin)[part]
 
-    docs, firsts, parts, held = [], [], [], 0
+    docs, parts, held = [], [], 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        ids = batch.column(0).to_pylist()
         if wanted is not None:
             ok = wanted(np.array([d or 0 for d in ids], np.int64)).tolist()
             ids = [d if x else None for d, x in zip(ids, ok, strict=True)]
-        for i, doc in enumerate(ids):
-            text = texts[i].as_py() if doc is not None else None
-            if doc is None or not text:
+        for doc, data in zip(ids, _utf8(batch.column(1)), strict=True):
+            if doc is None or not data:
                 continue
-            data, first = text.encode("utf-8", "surrogatepass"), 0
-            if len(data) > CHUNK_BYTES // 2:
-                if docs:
-                    yield made(docs, firsts, parts)
-                    docs, firsts, parts, held = [], [], [], 0
-                yield from _long(doc, data)
+            if docs and held + len(data) > BLOCK:
+                yield made(docs, parts)
+                docs, parts, held = [], [], 0
+            if len(data) > BLOCK:
+                yield _long(doc, bytes(data))
                 continue
-            if held + len(data) + 1 > CHUNK_BYTES // 2:
-                yield made(docs, firsts, parts)
-                docs, firsts, parts, held = [], [], [], 0
             docs.append(doc)
-            firsts.append(first)
             parts.append(data)
             held += len(data) + 1
     if docs:
-        yield made(docs, firsts, parts)
+        yield made(docs, parts)
 
 
-def _long(doc: int, data: bytes):
-    """A very long text, whole lines at a time; all words of a line come in one block."""
-    hs, lines, first = [], [], 0
-    at, size = 0, CHUNK_BYTES - 1
+def _long(doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a long text, read in parts that end at blanks."""
+    hs, lines, first, at = [], [], 0, 0
     while at < len(data):
-        end = min(len(data), at + size)
-        if end < len(data):
-            cut = max(data.rfind(c, at, end) for c in (b"\n", b" "))
-            end = cut + 1 if cut > at else end
-        h, line = words(data[at:end])
+        end = at + LONG_BLOCK
+        while end < len(data):
+            cut = max(data.rfind(c, at, end) for c in _BLANKS)
+            if cut >= at:
+                end = cut + 1
+                break
+            end += LONG_BLOCK
+        h, start, feeds = words(data[at:end])
         hs.append(h)
-        lines.append(line + first)
-        first += data.count(b"\n", at, end)
+        lines.append(_passed(feeds, start) + first)
+        first += len(feeds)
         at = end
-    h, line = np.concatenate(hs), np.concatenate(lines)
-    yield h, np.full(len(h), doc, np.int64), line
+    h = np.concatenate(hs)
+    return h, np.full(len(h), doc, np.int64), np.concatenate(lines)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, read=blocks) -> np.ndarray:
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+
+
+def counters_for(size: int) -> int:
+    """Counters of a sketch of texts of so many bytes: a power of two, ``COUNTERS`` at most."""
+    return min(COUNTERS, max(1 << 16, 1 << (size // TEXT_PER_COUNTER).bit_length()))
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, counters: int, read=blocks) -> np.ndarray:
     """Counts of all words by the low bits of their hash, graded to a byte each (see ``_grade``).
 
     read: what makes blocks of hashes of the batches, as ``blocks`` does.
     """
-    each = COUNTERS // CHUNKS
+    each = min(counters, CHUNK)
+    chunks = counters // each
 
     def count(batches):
         held, n = [], 0
 
         def emit():
             slot, c = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(slot, np.arange(CHUNKS + 1) * each)
+            cut = np.searchsorted(slot, np.arange(chunks + 1) * each)
             rows = [(k, slot[a:b], c[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([(s - k * each).astype("<u4").tobytes() for k, s, _ in rows], pa.binary()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for _, _, x in rows], pa.binary())], names=["chunk", "slots", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([(s - k * each).astype("<u4").tobytes() for k, s, _ in rows], pa.binary()), pa.array([x.astype("<u4").tobytes() for _, _, x in rows], pa.binary())], names=["chunk", "slots", "counts"])
 
         for h, _, _ in read(batches):
-            held.append((h & np.uint64(COUNTERS - 1)).astype(np.uint32))
+            held.append((h & np.uint64(counters - 1)).astype(np.uint32))
             n += len(h)
             if n > 1 << 22:
                 yield emit()
@@ -181,22 +193,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, read=blocks) -> np.ndarr
         if n:
             yield emit()
 
-    def add(batches, last: bool = False):  # any number of partial sketches of the chunks in this partition
+    def add(batches):  # the partial sketches of this partition's chunks, one table for each chunk
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, s, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                t = total.setdefault(k, np.zeros(each, np.int64))
-                t[np.frombuffer(s, "<u4")] += np.frombuffer(c, "<u4")
+            for k, s, c in zip(*(b.column(i) for i in range(3)), strict=True):
+                t = total.setdefault(k.as_py(), np.zeros(each, np.int64))
+                t[np.frombuffer(s.as_buffer(), "<u4")] += np.frombuffer(c.as_buffer(), "<u4")
         for k, t in total.items():
             slot = np.flatnonzero(t)
-            n = _grade(t[slot]) if last else np.minimum(t[slot], (1 << 32) - 1).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot.astype("<u4").tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["chunk", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot.astype("<u4").tobytes()], pa.binary()), pa.array([_grade(t[slot]).tobytes()], pa.binary())], names=["chunk", "slots", "counts"])
 
     schema = "chunk int, slots binary, counts binary"
-    partial = docs.select(id_col, text_col).mapInArrow(count, schema)
-    # Partial sketches of a task are added up before and after the shuffle by chunk.
-    out = np.zeros(COUNTERS, np.uint8)
-    for r in partial.mapInArrow(add, schema).repartition(CHUNKS, "chunk").mapInArrow(lambda b: add(b, True), schema).collect():
+    out = np.zeros(counters, np.uint8)
+    for r in docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(count, schema).repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
         at = np.frombuffer(r.slots, "<u4").astype(np.int64) + r.chunk * each
         out[at] = np.frombuffer(r.counts, np.uint8)
     return out
@@ -207,6 +216,10 @@ def _grade(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 32, n, np.minimum(255, 32 + np.floor(8 * np.log2(np.maximum(n, 32) / 32)))).astype(np.uint8)
 
 
+#: The most that a graded count can stand for.
+_AT_MOST = np.array([g if g < 32 else 32 * 2 ** ((g - 31) / 8) for g in range(256)])
+
+
 def line_sets(h: np.ndarray, doc: np.ndarray, line: np.ndarray, counts: np.ndarray):
     """Distinct words of each line, rarest first: hash, count, line index; and per line: doc, line, start, n."""
     if not len(h):
@@ -214,13 +227,13 @@ def line_sets(h: np.ndarray, doc: np.ndarray, line: np.ndarray, counts: np.ndarr
         return h, e, e, e, e, e, e
     fresh = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]
     key = np.cumsum(fresh) - 1
-    c = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    c = counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
     # One sort key: line, count, upper half of the hash. Only if two hashes agree in that half is all of it sorted.
     whole = (key.astype(np.uint64) << np.uint64(40)) | (c.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
     order = np.argsort(whole)
     whole = whole[order]
-    if len(fresh) > 1 << 24 or ((whole[1:] == whole[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
-        order = np.lexsort((h, (key.astype(np.uint64) << np.uint64(8)) | c))
+    if key[-1] >= 1 << 24 or ((whole[1:] == whole[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
+        order = np.lexsort((h, c, key))
     h, key, c = h[order], key[order], c[order]
     keep = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])]
     h, key, c = h[keep], key[keep], c[keep]
@@ -235,19 +248,43 @@ def _prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-p * n // q) + 1
 
 
-def _signature(h: np.ndarray, start: np.ndarray, half: int) -> np.ndarray:
-    """One half of a line's 128 parity bits: a word flips one bit, so two lines differ by at least as many words as bits."""
-    bit = np.left_shift(np.uint64(1), (h >> np.uint64(57)) & np.uint64(63))
-    return np.bitwise_xor.reduceat(np.where((h >> np.uint64(63)) == half, bit, np.uint64(0)), start) if len(h) else np.empty(0, np.uint64)
+def _signature(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A line's 64 parity bits: a word flips one bit, so two lines differ by at least as many words as bits."""
+    return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h >> np.uint64(58)), start)
+
+
+ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("part", "<u2"), ("parts", "<u2")])
+PLACE = np.dtype([("doc", "<i8"), ("line", "<u4")])
+
+
+def pack(r: np.ndarray) -> bytes:
+    """Rows as bytes, field after field, so that they compress well."""
+    return b"".join(r[f].tobytes() for f in r.dtype.names)
 
 
-ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
+def unpack(parts: list[bytes], kind: np.dtype) -> np.ndarray:
+    out, at = np.zeros(sum(len(p) for p in parts) // kind.itemsize, kind), 0
+    for p in parts:
+        n, begin = len(p) // kind.itemsize, 0
+        for f in kind.names:
+            out[f][at : at + n] = np.frombuffer(p, kind[f], n, begin)
+            begin += n * kind[f].itemsize
+        at += n
+    return out
+
+
+def _ref_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return _mix(doc.astype(np.uint64) * _ODD + line.astype(np.uint64))
+
+
+def _ref(r: np.ndarray) -> np.ndarray:
+    return _ref_of(r["doc"], r["line"])
 
 
 def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col: str, tokens=None) -> DataFrame:
-    """Packed prefix rows by bucket, and settled exact repeats (bucket -1): bucket, rows.
+    """Packed prefix rows by bucket of their word; and exact repeats settled within a block: bucket, settled, rows.
 
-    tokens: a broadcast Bloom table of (token, bucket) pairs; only their rows are sent.
+    tokens: a broadcast Bloom table of words; only their rows are sent.
     """
 
     def send(batches):
@@ -256,93 +293,99 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             h, c, key, ldoc, lline, start, n = line_sets(h, doc, line, table)
             if not len(h):
                 continue
-            sig, sig2 = _signature(h, start, 0), _signature(h, start, 1)
-            same = np.add.reduceat(_mix(h), start)
-            ok = n >= MIN_TOKENS
+            sig, same = _signature(h, start), np.add.reduceat(_mix(h), start)
             # Exact repeats within the block: the earliest line stands for them. The same place in another row of its document is no repeat.
             o = np.lexsort((lline, ldoc, n, sig, same))
             alike = np.r_[False, (same[o[1:]] == same[o[:-1]]) & (sig[o[1:]] == sig[o[:-1]]) & (n[o[1:]] == n[o[:-1]])]
             first = o[np.maximum.accumulate(np.where(alike, 0, np.arange(len(o))))]
             again = np.zeros(len(n), bool)
             again[o] = alike & ((ldoc[o] != ldoc[first]) | (lline[o] != lline[first]))
-            again &= ok
-            gone = np.zeros(int(again.sum()), ROW)
+            gone = np.zeros(int(again.sum()), PLACE)
             gone["doc"], gone["line"] = ldoc[again], lline[again]
             pos = np.arange(len(h)) - start[key]
-            use = (ok & ~again)[key] & (pos < _prefix(n)[key]) & (c > 1)
-            out = np.zeros(int(use.sum()), ROW)
-            k, t = key[use], h[use]
-            out["token"], out["n"], out["pos"], out["same"] = (t & np.uint64(0xFFFFFFFF)), n[k], pos[use], (same[k] >> np.uint64(32))
-            out["sig"], out["sig2"], out["doc"], out["line"] = sig[k], sig2[k], ldoc[k], lline[k]
-            bucket = ((t >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
+            use = ~again[key] & (pos < _prefix(n)[key]) & (c > 1)
             if tokens is not None:
-                some = _in_bloom(tokens.value, _ref_of(out["token"].astype(np.int64), bucket.astype(np.int64)))
-                out, bucket = out[some], bucket[some]
+                use &= _in_bloom(tokens.value, _mix(h & np.uint64(0xFFFFFFFF)))
+            k, t = key[use], h[use]
+            parts = np.minimum(65535, np.ceil(_AT_MOST[c[use]] / HOT)).astype(np.int64)
+            copy = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            k, t, at, parts = (np.repeat(x, parts) for x in (k, t, pos[use], parts))
+            out = np.zeros(len(k), ROW)
+            out["token"], out["n"], out["pos"], out["same"] = t & np.uint64(0xFFFFFFFF), n[k], at, same[k] >> np.uint64(32)
+            out["sig"], out["doc"], out["line"], out["part"], out["parts"] = sig[k], ldoc[k], lline[k], copy, parts
+            bucket = (np.where(copy == 0, t >> np.uint64(32), _mix(t + copy.astype(np.uint64)) >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
             ids, at = np.unique(bucket, return_index=True)
-            parts = np.split(out, at[1:])
-            rows = [(int(b), p.tobytes()) for b, p in zip(ids, parts, strict=True)] if len(out) else []
+            rows = [(int(b), False, pack(p)) for b, p in zip(ids, np.split(out, at[1:]), strict=True)] if len(out) else []
             if len(gone):
-                rows.append((-1, gone.tobytes()))
+                rows.append((int(gone["doc"][0] % n_buckets), True, pack(gone)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "settled", "rows"])
 
-    return docs.select(id_col, text_col).mapInArrow(send, "bucket int, rows binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(send, "bucket int, settled boolean, rows binary")
 
 
 def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.ndarray:
     """Candidates (later line, earlier line, state) among the prefix rows of one bucket.
 
     state 0: exact repeat; 1: candidate; 2: more than ``first`` candidates for the word in the place of the earlier line.
+    only: whether each row may be the later line.
     """
     p, q = SIMILARITY
-    r = r[np.lexsort((r["line"], r["doc"]))]
-    alike = _mix(r["sig"] ^ _mix((r["token"].astype(np.uint64) << np.uint64(32)) | r["same"]) ^ (r["n"].astype(np.uint64) * np.uint64(_BASE)))
+    mine = _ref(r) % r["parts"].astype(np.uint64) == r["part"]
+    if only is not None:
+        mine &= only
+    order = np.lexsort((r["line"], r["doc"]))
+    r, mine = r[order], mine[order]
+    lists = (r["token"].astype(np.uint64) << np.uint64(16)) | r["part"]  # lines are compared within a word, and a part of it
+    alike = _mix(r["sig"] ^ _mix(lists ^ (r["same"].astype(np.uint64) << np.uint64(32)) * _ODD) ^ (r["n"].astype(np.uint64) * _ODD))
     order = np.argsort(alike, kind="stable")  # repeats of a line side by side, the earliest first
-    alike = alike[order]
-    twin = np.r_[False, alike[1:] == alike[:-1]] if len(r) else np.empty(0, bool)
+    twin = np.r_[False, alike[order[1:]] == alike[order[:-1]]] if len(r) else np.empty(0, bool)
     source = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(r))))]
     t = r[order]
-    # A repeat is told once, by its line's rarest word.
+    # A repeat is told by its line's rarest word only.
     moved = twin & ((t["doc"] != r["doc"][source]) | (t["line"] != r["line"][source])) & (t["pos"] == 0)
     out = [(t[moved], r[source[moved]], np.zeros(int(moved.sum()), np.int8))]
-    r = r[np.sort(order[~twin])]
-    r = r[np.argsort(r["token"], kind="stable")]
-    head = np.r_[True, r["token"][1:] != r["token"][:-1]] if len(r) else np.empty(0, bool)
-    begin = np.flatnonzero(head)
-    begin_of = begin[np.cumsum(head) - 1] if len(r) else begin
-    place = np.arange(len(r)) - begin_of  # how many earlier lines the word has
-    n, pos, sig, sig2 = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"], r["sig2"]
+    stay = np.sort(order[~twin])
+    r, mine, lists = r[stay], mine[stay], lists[stay]
+    # By word, length class and place: similar lines' classes differ by one at most, as the base is over 5 / 4.
+    kind = np.floor(np.log(np.maximum(r["n"], 1)) / np.log(1.26)).astype(np.uint64)
+    group = np.unique(lists, return_inverse=True)[1].astype(np.uint64) << np.uint64(7) | kind
+    order = np.argsort(group, kind="stable")
+    r, mine, group = r[order], mine[order], group[order].astype(np.int64)
+    rank = order.astype(np.int64)  # places in the order of lines
+    both = group * max(1, len(r)) + rank
+    n, pos, sig = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"]
+    most = n // 4  # words by which similar lines differ
     found = np.zeros(len(r), np.int64)
-    active = np.flatnonzero(place > 0)
-    if only is not None:
-        active = active[np.isin(_ref(r[active]), only)]
-    step = 0
-    while len(active):
-        i, j = active, begin_of[active] + step
-        a, b = n[i], n[j]
-        need = -(-(a + b) * p // (p + q))
-        ok = (q * np.minimum(a, b) >= p * np.maximum(a, b)) & (1 + np.minimum(a - pos[i] - 1, b - pos[j] - 1) >= need - np.minimum(pos[i], pos[j]))
-        ok &= np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64) + np.bitwise_count(sig2[i] ^ sig2[j]) <= a + b - 2 * need
-        ok &= (r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j])
-        found[i[ok]] += 1
-        full = ok & (found[i] > first)
-        hit = ok & ~full
-        out.append((r[i[hit]], r[j[hit]], np.ones(int(hit.sum()), np.int8)))
-        out.append((r[i[full]], r[j[full]], np.full(int(full.sum()), 2, np.int8)))
-        step += 1
-        active = active[(place[active] > step) & ~full]
+    for beside in (0, -1, 1):
+        begin = np.searchsorted(group, group + beside)
+        count = np.searchsorted(both, (group + beside) * max(1, len(r)) + rank) - begin
+        active = np.flatnonzero(mine & (count > 0) & (found <= first))
+        step = 0
+        while len(active):
+            i, j = active, begin[active] + step
+            near = np.bitwise_count(sig[i] ^ sig[j]) <= most[i]
+            i, j = i[near], j[near]
+            a, b = n[i], n[j]
+            need = -(-(a + b) * p // (p + q))
+            ok = (q * np.minimum(a, b) >= p * np.maximum(a, b)) & (1 + np.minimum(a - pos[i] - 1, b - pos[j] - 1) >= need - np.minimum(pos[i], pos[j]))
+            ok &= (np.bitwise_count(sig[i] ^ sig[j]) <= a + b - 2 * need) & ((r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j]))
+            i, j = i[ok], j[ok]
+            found[i] += 1
+            full = found[i] > first
+            out.append((r[i[~full]], r[j[~full]], np.ones(int((~full).sum()), np.int8)))
+            out.append((r[i[full]], r[j[full]], np.full(int(full.sum()), 2, np.int8)))
+            step += 1
+            active = active[(count[active] > step) & (found[active] <= first)]
     late, early, state = (np.concatenate([o[k] for o in out]) for k in range(3))
-    made = np.zeros(len(late), [("d", "<i8"), ("l", "<i8"), ("d0", "<i8"), ("l0", "<i8"), ("s", "i1")])
+    made = np.zeros(len(late), [("d", "<i8"), ("l", "<i8"), ("d0", "<i8"), ("l0", "<i8"), ("s", "<i4")])
     made["d"], made["l"], made["d0"], made["l0"], made["s"] = late["doc"], late["line"], early["doc"], early["line"], state
     more = state == 2  # here the word is told instead of an earlier line
     made["d0"][more], made["l0"][more] = late["token"][more], 0
-    return np.unique(made)
-
-
-def _ref(r: np.ndarray) -> np.ndarray:
-    return _mix(r["doc"].astype(np.uint64) * np.uint64(_BASE) + r["line"].astype(np.uint64))
+    made["d0"][state == 0], made["l0"][state == 0] = 0, 0
+    return made
 
 
 PAIRS = "d long, l long, d0 long, l0 long, s int"
@@ -352,60 +395,51 @@ def candidates(rows: DataFrame, first: int, only=None) -> DataFrame:
     """Candidate and settled pairs of all buckets. only: a broadcast Bloom table of the lines to compare."""
 
     def of(key, table):
-        packed = np.frombuffer(b"".join(table.column("rows").to_pylist()), ROW)
-        if key[0].as_py() < 0:
-            made = {"d": packed["doc"], "l": packed["line"].astype(np.int64), "d0": packed["doc"], "l0": np.full(len(packed), -1), "s": np.zeros(len(packed), np.int32)}
-            return pa.table(made)
-        some = None
-        if only is not None:
-            ref = np.unique(_ref(packed))
-            some = ref[_in_bloom(only.value, ref)]
-        m = compare(packed, first, some)
-        m["l0"][m["s"] == 2] = key[0].as_py()
-        return pa.table({k: m[k].astype(np.int32 if k == "s" else np.int64) for k in ("d", "l", "d0", "l0", "s")})
-
-    # Settled repeats need no common bucket; they are spread by their content.
-    spread = rows.withColumn("part", F.when(F.col("bucket") < 0, F.xxhash64("rows") % 64).otherwise(F.lit(0)))
-    return spread.groupBy("bucket", "part").applyInArrow(of, PAIRS)
+        parts, settled = table.column("rows").to_pylist(), table.column("settled").to_pylist()
+        gone = unpack([p for p, s in zip(parts, settled, strict=True) if s], PLACE)
+        packed = unpack([p for p, s in zip(parts, settled, strict=True) if not s], ROW)
+        m = compare(packed, first, None if only is None else _in_bloom(only.value, _ref(packed)))
+        none = np.zeros(len(gone), np.int64)
+        ends = {"d": gone["doc"], "l": gone["line"].astype(np.int64), "d0": none, "l0": none, "s": none.astype(np.int32)}
+        return pa.table({k: np.concatenate([m[k], ends[k]]) for k in ends})
+
+    return rows.groupBy("bucket").applyInArrow(of, PAIRS)
 
 
 def _in_bloom(bits: np.ndarray, ref: np.ndarray) -> np.ndarray:
     ok = np.ones(len(ref), bool)
-    for k in (0, 20, 39):
-        at = (ref >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1)
+    for k in (0, 17, 34):
+        at = (ref >> np.uint64(k)) & np.uint64(len(bits) * 8 - 1)
         ok &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     return ok
 
 
-def bloom(lines: DataFrame) -> np.ndarray:
-    """Bloom filter of fixed size over rows (d, l)."""
+def bloom(refs: DataFrame) -> np.ndarray:
+    """Bloom filter over rows (d, l): two bytes for each row, ``BLOOM_BYTES`` (32 MB) at most."""
+    size = min(BLOOM_BYTES, max(1 << 10, 1 << (2 * refs.count()).bit_length()))
+    each = min(size * 8, CHUNK)
+    chunks = size * 8 // each
 
     def mark(batches):
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
         for b in batches:
-            r = np.zeros(b.num_rows, [("doc", "<i8"), ("line", "<i8")])
-            r["doc"], r["line"] = b.column(0).to_numpy(), b.column(1).to_numpy()
-            ref = _ref(r)
-            for k in (0, 20, 39):
-                at = (ref >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1)
-                np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        for k in range(CHUNKS):
-            part = bits[k * len(bits) // CHUNKS : (k + 1) * len(bits) // CHUNKS]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "bits"])
+            ref = _ref_of(b.column(0).to_numpy(), b.column(1).to_numpy())
+            at = np.unique(np.concatenate([(ref >> np.uint64(k)) & np.uint64(size * 8 - 1) for k in (0, 17, 34)])).astype(np.int64)
+            cut = np.searchsorted(at, np.arange(chunks + 1) * each)
+            rows = [(k, at[x:y] - k * each) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.astype("<u4").tobytes() for _, x in rows], pa.binary())], names=["chunk", "bits"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(bits, np.uint8)
-                total[k] = total[k] | x if k in total else x
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.setdefault(k, np.zeros(each, bool))[np.frombuffer(x, "<u4")] = True
         for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in lines.select("d", "l").mapInArrow(mark, "chunk int, bits binary").repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk int, bits binary").collect():
-        at = r.chunk * len(out) // CHUNKS
+    out = np.zeros(size, np.uint8)
+    schema = "chunk int, bits binary"
+    for r in refs.select("d", "l").mapInArrow(mark, schema).repartition(chunks, "chunk").mapInArrow(merge, schema).toLocalIterator():
+        at = r.chunk * each // 8
         out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -424,11 +458,7 @@ def sets_of(docs: DataFrame, counts, wanted, id_col: str, text_col: str) -> Data
                 ends = np.append(start, len(h)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ldoc, pa.int64()), pa.array(lline, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["d", "l", "words"])
 
-    return docs.select(id_col, text_col).mapInArrow(of, "d long, l long, words array<long>")
-
-
-def _ref_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return _mix(doc.astype(np.uint64) * np.uint64(_BASE) + line.astype(np.uint64))
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(of, "d long, l long, words array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, counts, id_col: str, text_col: str) -> DataFrame:
@@ -436,7 +466,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, counts, id_col: str, text_col:
     spark = docs.sparkSession
     p, q = SIMILARITY
     ends = pairs.select("d", "l").union(pairs.select("d0", "l0")).distinct()
-    ends = ends.union(ends.select("d", F.lit(-1).cast("long")).distinct())  # and their documents
+    ends = written(ends.union(ends.select("d", F.lit(-1).cast("long")).distinct()), "line-ends")  # and their documents
     wanted = spark.sparkContext.broadcast(bloom(ends))
     sets = written(sets_of(docs, counts, wanted, id_col, text_col), "line-sets")
     late, early = sets.withColumnRenamed("words", "a"), sets.toDF("d0", "l0", "b")
@@ -449,22 +479,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, counts, id_col: str, text_col:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove: d (document id), l (line number from 0)."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(sketch(docs, id_col, text_col))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_buckets = max(8, int(size / 30 / BUCKET_ROWS) + 1)
-    rows = prefix_rows(docs, counts, n_buckets, id_col, text_col)
-    found = written(candidates(rows, FIRST), "line-candidates")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    size = text_bytes(docs, text_col)
+    counts = spark.sparkContext.broadcast(sketch(docs, id_col, text_col, counters_for(size)))
+    n_buckets = max(LEAST_BUCKETS, size // 30 // BUCKET_ROWS + 1)
+    found = written(candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col), FIRST), "line-candidates")
     settled = found.where("s = 0").select("d", "l").distinct()
     near = written(found.where("s > 0").join(settled, ["d", "l"], "left_anti").distinct(), "line-near")
-    pairs = written(near.where("s = 1").select("d", "l", "d0", "l0"), "line-pairs")
+    pairs = near.where("s = 1").select("d", "l", "d0", "l0")
     gone = written(settled.union(_verified(pairs, docs, counts, id_col, text_col)), "lines-gone")
     # Lines with words that had more candidates, none of them confirmed: compared with all that have the word.
     open_ = written(near.where("s = 2").join(gone, ["d", "l"], "left_anti"), "lines-open")
     if not open_.limit(1).count():
         return gone
     only = spark.sparkContext.broadcast(bloom(open_))
-    tokens = spark.sparkContext.broadcast(bloom(open_.select(F.col("d0").alias("d"), F.col("l0").alias("l"))))
-    more = candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col, tokens).where("bucket >= 0"), 1 << 40, only)
+    tokens = spark.sparkContext.broadcast(bloom(open_.select(F.lit(0).cast("long").alias("d"), F.col("d0").alias("l")).distinct()))
+    more = candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col, tokens).where("not settled"), 1 << 40, only)
     pairs = written(more.where("s = 1").join(open_.select("d", "l").distinct(), ["d", "l"]).select("d", "l", "d0", "l0").distinct(), "lines-more")
     return gone.union(_verified(pairs, docs, counts, id_col, text_col))
 
@@ -472,22 +503,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of their texts, and column ``removed_lines`` (a count)."""
     lines = removed_lines(docs, id_col, text_col)
-    gone = written(lines.groupBy(F.col("d").alias("ld_id")).agg(F.collect_set(F.col("l").cast("int")).alias("ld_gone")), "lines-by-document")
-    hit = docs.sparkSession.sparkContext.broadcast(bloom(gone.select(F.col("ld_id").alias("d"), F.lit(0).cast("long").alias("l"))))
-
-    @F.pandas_udf("boolean")
-    def may_have(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return known & _in_bloom(hit.value, _ref_of(ids.fillna(0).to_numpy().astype(np.int64), np.zeros(len(ids), np.int64)))
-
-    # Only documents that a Bloom filter of fixed size lets through are shuffled with their texts.
-    marked = docs.withColumn("ld_hit", may_have(F.col(id_col).cast("long")))
-    some = marked.where("ld_hit")
-    out = some.join(gone, some[id_col] == gone.ld_id, "left").withColumn("ld_lines", F.split(text_col, "\n"))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(ld_lines) - 1), ld_gone), i -> get(ld_lines, i)), '\n')")
-    out = out.withColumn("removed_lines", F.when(F.col("ld_gone").isNull(), 0).otherwise(F.size("ld_gone")).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("ld_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns, "removed_lines")
-    return out.union(marked.where("not ld_hit").select(*docs.columns, F.lit(0).cast("long")))
+    id_, gone_, hit_ = (free_name(n, docs.columns) for n in ("ld_id", "ld_gone", "ld_hit"))
+    count = free_name("removed_lines", docs.columns)
+    gone = written(lines.groupBy(F.col("d").alias(id_)).agg(F.collect_set(F.col("l").cast("int")).alias(gone_)), "lines-by-document")
+    hit = docs.sparkSession.sparkContext.broadcast(bloom(gone.select(F.col(id_).alias("d"), F.lit(0).cast("long").alias("l"))))
+
+    @F.arrow_udf("boolean")
+    def may_have(ids: pa.Array) -> pa.Array:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        return pa.array(known & _in_bloom(hit.value, _ref_of(ids, np.zeros(len(ids), np.int64))))
+
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    # Only documents that the Bloom filter lets through are shuffled with their texts.
+    marked = docs.withColumn(hit_, may_have(F.col(f"`{id_col}`").cast("long")))
+    out = marked.where(F.col(hit_)).join(gone, F.col(f"`{id_col}`") == F.col(id_), "left")
+    split = F.split(F.col(f"`{text_col}`"), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone_))
+    kept = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    taken = F.when(F.col(gone_).isNull(), 0).otherwise(F.size(gone_)).cast("long").alias(count)
+    out = out.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], taken)
+    return out.union(marked.where(~F.col(hit_)).select(*every, F.lit(0).cast("long")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,7 +537,7 @@ LINES_SQL = """
 l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs0 WHERE text IS NOT NULL),
 l1 AS (SELECT doc_id, unnest(ls) AS tx, generate_subscripts(ls, 1) - 1 AS line FROM l0),
 l2 AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(tx, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS ws FROM l1),
-l3 AS (SELECT ws, min((doc_id, line)) AS fst, row_number() OVER (ORDER BY ws) AS cls FROM l2 WHERE len(ws) >= 5 GROUP BY ws),
+l3 AS (SELECT ws, min((doc_id, line)) AS fst, row_number() OVER (ORDER BY ws) AS cls FROM l2 WHERE len(ws) >= 1 GROUP BY ws),
 l4 AS (SELECT cls, len(ws) AS n, unnest(ws) AS w FROM l3),
 l5 AS (SELECT *, count(*) OVER (PARTITION BY w) AS df FROM l4),
 l6 AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY df, w) AS pos FROM l5),

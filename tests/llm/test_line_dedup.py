@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from corvane.llm import line_dedup as ld
 
@@ -9,7 +10,7 @@ from corvane.llm import line_dedup as ld
 def slow(rows):
     """{(doc, line)} to remove, by comparing each line with all earlier ones."""
     lines = sorted((d, i, frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", x) if w)) for d, t in rows if t is not None and d is not None for i, x in enumerate(t.split("\n")))
-    lines = [x for x in lines if len(x[2]) >= ld.MIN_TOKENS]
+    lines = [x for x in lines if x[2]]
     out = set()
     for k, (d, i, s) in enumerate(lines):
         for d0, i0, s0 in lines[:k]:
@@ -21,7 +22,7 @@ def slow(rows):
 
 def made(seed, n, edits):
     rng = random.Random(seed)
-    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 40))] for _ in range(12)]
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 9, 20, 40]))] for _ in range(16)]
     rows = []
     for d in range(n):
         lines = []
@@ -52,6 +53,31 @@ def test_second_round(spark, monkeypatch):
     assert removed(spark, rows) == slow(rows)
 
 
+def test_hot_words_in_parts(spark, monkeypatch):
+    """Words that count as hot are dealt into parts, with the same result; also in the second round."""
+    rows = made(6, 140, 5)
+    monkeypatch.setattr(ld, "HOT", 3)
+    assert removed(spark, rows) == slow(rows)
+    monkeypatch.setattr(ld, "FIRST", 1)
+    assert removed(spark, rows) == slow(rows)
+
+
+def test_words_of_any_blanks():
+    """Hashes don't depend on where a long text is cut, nor on the words beside."""
+    rng = random.Random(9)
+    parts = ["x" * n for n in (1, 7, 8, 9, 16, 17, 255, 256, 257, 3000)] + [f"k{rng.randrange(50)}" for _ in range(400)]
+    rng.shuffle(parts)
+    data = "".join(w + rng.choice(["\t", "\r", " ", "\x0b", "\x0c", "\t\t"]) for w in parts).encode()
+    whole = ld.words(data)[0].tolist()
+    assert len({w: h for w, h in zip(parts, whole, strict=True)}) == len(set(whole)) and whole == [ld.words(w.encode())[0][0] for w in parts]
+    before = ld.LONG_BLOCK
+    try:
+        ld.LONG_BLOCK = 100
+        assert ld._long(1, data)[0].tolist() == whole
+    finally:
+        ld.LONG_BLOCK = before
+
+
 def test_blocks_of_long_texts():
     import pyarrow as pa
 
@@ -73,13 +99,17 @@ def test_blocks_of_long_texts():
 
 
 def test_edge_cases(spark):
-    schema = "doc_id long, text string, l int, d string, words string"
+    schema = "doc_id long, text string, l int, d string, words string, removed_lines int, ld_gone int, `a.b` int"
     assert ld.dedup_lines(spark.createDataFrame([], schema)).count() == 0
     line = "one two three four five"
-    rows = [(1, None), (2, ""), (3, f"{line}\n\n{line}\nshort line"), (4, f"short line\n{line}"), (4, f"short line\n{line}"), (None, line), (9, "q" * 300_000 + "\n" + line)]
-    out = ld.dedup_lines(spark.createDataFrame([(d, t, 1, "", "") for d, t in rows], schema))
-    got = sorted(((r.doc_id or 0), r.text, r.removed_lines) for r in out.select("doc_id", F_text(out), "removed_lines").collect())
-    assert got == [(0, line, 0), (1, "-", 0), (2, "", 0), (3, f"{line}\n\nshort line", 1), (4, "short line", 1), (4, "short line", 1), (9, "q" * 300_000, 1)]
+    rows = [(1, None), (2, ""), (3, f"{line}\n\n{line}\nshort line"), (4, f"short line\n{line}\n\n"), (4, f"short line\n{line}"), (None, line), (9, "q" * 300_000 + "\n" + line)]
+    docs = spark.createDataFrame([(d, t, 1, "", "", 7, 8, 9) for d, t in rows], schema)
+    out = ld.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "removed_lines_"]
+    got = sorted(((r.doc_id or 0), r.text or "-", r.removed_lines_, r.removed_lines, r.ld_gone, r["a.b"]) for r in out.collect())
+    assert got == [(0, line, 0, 7, 8, 9), (1, "-", 0, 7, 8, 9), (2, "-", 0, 7, 8, 9), (3, f"{line}\n\nshort line", 1, 7, 8, 9), (4, "\n", 2, 7, 8, 9), (4, "-", 2, 7, 8, 9), (9, "q" * 300_000, 1, 7, 8, 9)]
+    with pytest.raises(TypeError):
+        ld.dedup_lines(spark.createDataFrame([("a", line)], "doc_id string, text string"))
 
 
 def test_repeated_rows_of_one_id(spark):
@@ -92,14 +122,8 @@ def test_repeated_rows_of_one_id(spark):
     assert got == slow(rows) == {(8, 2), (9, 0)}
 
 
-def F_text(df):
-    from pyspark.sql import functions as F
-
-    return F.coalesce(df.text, F.lit("-")).alias("text")
-
-
 def test_bloom(spark):
     rows = [(i * 3, i % 7) for i in range(2000)]
     bits = ld.bloom(spark.createDataFrame(rows, "d long, l long"))
     ref = ld._ref_of(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
-    assert ld._in_bloom(bits, ref).all() and ld._in_bloom(bits, ref + np.uint64(1)).mean() < 0.05
+    assert ld._in_bloom(bits, ref).all() and ld._in_bloom(bits, ld._mix(ref)).mean() < 0.05
