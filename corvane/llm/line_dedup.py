@@ -462,18 +462,26 @@ def sets_of(docs: DataFrame, counts, wanted, id_col: str, text_col: str) -> Data
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, counts, id_col: str, text_col: str) -> DataFrame:
-    """Later lines (d, l) of the pairs whose Jaccard similarity is high enough."""
+    """Later lines (d, l) of the pairs (d, l, d0, l0, votes) whose Jaccard similarity is high enough.
+
+    A line's pair with most votes (words that tell it) is checked first; the others of a line only if that
+    one isn't similar.
+    """
     spark = docs.sparkSession
     p, q = SIMILARITY
     ends = pairs.select("d", "l").union(pairs.select("d0", "l0")).distinct()
     ends = written(ends.union(ends.select("d", F.lit(-1).cast("long")).distinct()), "line-ends")  # and their documents
     wanted = spark.sparkContext.broadcast(bloom(ends))
     sets = written(sets_of(docs, counts, wanted, id_col, text_col), "line-sets")
-    late, early = sets.withColumnRenamed("words", "a"), sets.toDF("d0", "l0", "b")
-    # Lines' sets are joined by place; the earlier line's set goes along with the pair.
-    both = pairs.join(early, ["d0", "l0"]).join(late, ["d", "l"])
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(q * common >= p * (F.size("a") + F.size("b") - common)).select("d", "l").distinct()
+
+    def similar(some: DataFrame) -> DataFrame:
+        both = some.select("d", "l", "d0", "l0").join(sets.toDF("d0", "l0", "b"), ["d0", "l0"]).join(sets.withColumnRenamed("words", "a"), ["d", "l"])
+        common = F.size(F.array_intersect("a", "b"))
+        return both.where(q * common >= p * (F.size("a") + F.size("b") - common)).select("d", "l")
+
+    best = pairs.groupBy("d", "l").agg(F.max_by(F.struct("d0", "l0"), F.struct("votes", -F.col("d0"), -F.col("l0"))).alias("e")).select("d", "l", "e.d0", "e.l0")
+    first = written(similar(best).distinct(), "lines-similar")
+    return first.union(similar(pairs.join(first, ["d", "l"], "left_anti")).distinct())
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -486,8 +494,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_buckets = max(LEAST_BUCKETS, size // 30 // BUCKET_ROWS + 1)
     found = written(candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col), FIRST), "line-candidates")
     settled = found.where("s = 0").select("d", "l").distinct()
-    near = written(found.where("s > 0").join(settled, ["d", "l"], "left_anti").distinct(), "line-near")
-    pairs = near.where("s = 1").select("d", "l", "d0", "l0")
+    votes = F.count("*").alias("votes")
+    near = written(found.where("s > 0").join(settled, ["d", "l"], "left_anti").groupBy("d", "l", "d0", "l0", "s").agg(votes), "line-near")
+    pairs = near.where("s = 1").drop("s")
     gone = written(settled.union(_verified(pairs, docs, counts, id_col, text_col)), "lines-gone")
     # Lines with words that had more candidates, none of them confirmed: compared with all that have the word.
     open_ = written(near.where("s = 2").join(gone, ["d", "l"], "left_anti"), "lines-open")
@@ -496,7 +505,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     only = spark.sparkContext.broadcast(bloom(open_))
     tokens = spark.sparkContext.broadcast(bloom(open_.select(F.lit(0).cast("long").alias("d"), F.col("d0").alias("l")).distinct()))
     more = candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col, tokens).where("not settled"), 1 << 40, only)
-    pairs = written(more.where("s = 1").join(open_.select("d", "l").distinct(), ["d", "l"]).select("d", "l", "d0", "l0").distinct(), "lines-more")
+    pairs = written(more.where("s = 1").join(open_.select("d", "l").distinct(), ["d", "l"]).groupBy("d", "l", "d0", "l0").agg(votes), "lines-more")
     return gone.union(_verified(pairs, docs, counts, id_col, text_col))
 
 
