@@ -8,7 +8,7 @@ they are in the input. Lines without a word stay.
    every ``TEXT_PER_COUNTER`` bytes of text, ``COUNTERS`` (64 MB) at most, so it is broadcast. (count,
    hash) is one global order of all words, whatever collides.
 2. Each line's words are sorted, rarest first. Two similar lines share a word among their first
-   n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and 64
+   n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and 128
    parity bits. A word counted once can't be shared and isn't sent. Tasks send packed arrays,
    one row per bucket of words; exact repeats within a block are settled before. A word counted more
    than ``HOT`` times is dealt into parts: each of its lines is the later one in one of them only.
@@ -248,12 +248,13 @@ def _prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-p * n // q) + 1
 
 
-def _signature(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A line's 64 parity bits: a word flips one bit, so two lines differ by at least as many words as bits."""
-    return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h >> np.uint64(58)), start)
+def _signature(h: np.ndarray, start: np.ndarray, half: int) -> np.ndarray:
+    """One half of a line's 128 parity bits: a word flips one bit, so two lines differ by at least as many words as bits."""
+    bit = np.left_shift(np.uint64(1), h >> np.uint64(58))
+    return np.bitwise_xor.reduceat(np.where((h >> np.uint64(57)) & np.uint64(1) == half, bit, np.uint64(0)), start)
 
 
-ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("part", "<u2"), ("parts", "<u2")])
+ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("part", "<u2"), ("parts", "<u2")])
 PLACE = np.dtype([("doc", "<i8"), ("line", "<u4")])
 
 
@@ -293,7 +294,7 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             h, c, key, ldoc, lline, start, n = line_sets(h, doc, line, table)
             if not len(h):
                 continue
-            sig, same = _signature(h, start), np.add.reduceat(_mix(h), start)
+            sig, sig2, same = _signature(h, start, 0), _signature(h, start, 1), np.add.reduceat(_mix(h), start)
             # Exact repeats within the block: the earliest line stands for them. The same place in another row of its document is no repeat.
             o = np.lexsort((lline, ldoc, n, sig, same))
             alike = np.r_[False, (same[o[1:]] == same[o[:-1]]) & (sig[o[1:]] == sig[o[:-1]]) & (n[o[1:]] == n[o[:-1]])]
@@ -312,7 +313,7 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             k, t, at, parts = (np.repeat(x, parts) for x in (k, t, pos[use], parts))
             out = np.zeros(len(k), ROW)
             out["token"], out["n"], out["pos"], out["same"] = t & np.uint64(0xFFFFFFFF), n[k], at, same[k] >> np.uint64(32)
-            out["sig"], out["doc"], out["line"], out["part"], out["parts"] = sig[k], ldoc[k], lline[k], copy, parts
+            out["sig"], out["sig2"], out["doc"], out["line"], out["part"], out["parts"] = sig[k], sig2[k], ldoc[k], lline[k], copy, parts
             bucket = (np.where(copy == 0, t >> np.uint64(32), _mix(t + copy.astype(np.uint64)) >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
@@ -356,7 +357,7 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     r, mine, group = r[order], mine[order], group[order].astype(np.int64)
     rank = order.astype(np.int64)  # places in the order of lines
     both = group * max(1, len(r)) + rank
-    n, pos, sig = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"]
+    n, pos, sig, sig2 = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"], r["sig2"]
     most = n // 4  # words by which similar lines differ
     found = np.zeros(len(r), np.int64)
     for beside in (0, -1, 1):
@@ -371,7 +372,7 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
             a, b = n[i], n[j]
             need = -(-(a + b) * p // (p + q))
             ok = (q * np.minimum(a, b) >= p * np.maximum(a, b)) & (1 + np.minimum(a - pos[i] - 1, b - pos[j] - 1) >= need - np.minimum(pos[i], pos[j]))
-            ok &= (np.bitwise_count(sig[i] ^ sig[j]) <= a + b - 2 * need) & ((r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j]))
+            ok &= (np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64) + np.bitwise_count(sig2[i] ^ sig2[j]) <= a + b - 2 * need) & ((r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j]))
             i, j = i[ok], j[ok]
             found[i] += 1
             full = found[i] > first
