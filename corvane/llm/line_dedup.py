@@ -291,6 +291,11 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
     def send(batches):
         table = counts.value
         for h, doc, line in blocks(batches):
+            if tokens is not None and len(h):  # lines with one of the words only
+                fresh = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
+                some = np.logical_or.reduceat(_in_bloom(tokens.value, _mix(h & np.uint64(0xFFFFFFFF))), fresh)
+                some = np.repeat(some, np.diff(np.append(fresh, len(h))))
+                h, doc, line = h[some], doc[some], line[some]
             h, c, key, ldoc, lline, start, n = line_sets(h, doc, line, table)
             if not len(h):
                 continue
@@ -506,7 +511,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     only = spark.sparkContext.broadcast(bloom(open_))
     tokens = spark.sparkContext.broadcast(bloom(open_.select(F.lit(0).cast("long").alias("d"), F.col("d0").alias("l")).distinct()))
     more = candidates(prefix_rows(docs, counts, n_buckets, id_col, text_col, tokens).where("not settled"), 1 << 40, only)
-    pairs = written(more.where("s = 1").join(open_.select("d", "l").distinct(), ["d", "l"]).groupBy("d", "l", "d0", "l0").agg(votes), "lines-more")
+    pairs = written(more.where("s = 1").groupBy("d", "l", "d0", "l0").agg(votes), "lines-more")
     return gone.union(_verified(pairs, docs, counts, id_col, text_col))
 
 
@@ -525,12 +530,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.array(known & _in_bloom(hit.value, _ref_of(ids, np.zeros(len(ids), np.int64))))
 
     every = [F.col(f"`{c}`") for c in docs.columns]
-    # Only documents that the Bloom filter lets through are shuffled with their texts.
+    # Only documents that the Bloom filter lets through are shuffled with their texts, at every size: lists of lines grow with the input.
     marked = docs.withColumn(hit_, may_have(F.col(f"`{id_col}`").cast("long")))
-    out = marked.where(F.col(hit_)).join(gone, F.col(f"`{id_col}`") == F.col(id_), "left")
-    split = F.split(F.col(f"`{text_col}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone_))
-    kept = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    out = marked.where(F.col(hit_)).join(gone.hint("shuffle_merge"), F.col(f"`{id_col}`") == F.col(id_), "left")
+    left = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains(gone_, i))
+    kept = F.when(F.col(gone_).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))
     taken = F.when(F.col(gone_).isNull(), 0).otherwise(F.size(gone_)).cast("long").alias(count)
     out = out.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], taken)
     return out.union(marked.where(~F.col(hit_)).select(*every, F.lit(0).cast("long")))
