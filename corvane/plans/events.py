@@ -27,7 +27,7 @@ def delta_merge(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     base = e.where(F.col("ts") < half).select("user_id", "event_id")
-    ops = e.where((F.col("ts") >= half) & (F.col("user_id") % 3 == 0)).select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), F.col("event_id").alias("seq"))
+    ops = e.where(F.col("ts") >= half).select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), F.col("event_id").alias("seq"))
     return state.merge_on_read(base, ops, "user_id", "seq")
 
 
@@ -36,8 +36,8 @@ def ttl_prune(spark, d):
 
 
 def cache_similarity(spark, d):
-    q = table(spark, d, "conversations").where("turn % 2 = 0").select(F.concat_ws("/", "conv_id", "turn").alias("query"), F.slice(T.task_tokens("text"), 1, 6).alias("q_tokens"), F.array().cast("array<string>").alias("q_changed"))
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("created"), F.slice(T.task_tokens("text"), 1, 6).alias("tokens"), F.array().cast("array<string>").alias("changed"))
+    q = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("query"), T.task_tokens("text").alias("q_tokens"), F.array().cast("array<string>").alias("q_changed"))
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("created"), T.task_tokens("text").alias("tokens"), F.array().cast("array<string>").alias("changed"))
     return state.similar_entry(q, c).select("query", "entry", F.round("score", 6).alias("score"), "hit")
 
 
@@ -135,11 +135,11 @@ def fingerprints(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (delta_merge, ttl_prune, cache_similarity, cache_miss_reason, lease_recovery, receipt_transitions, receipt_list, event_summary, event_tail, stall_gaps, eta_progress, failure_kinds, fail_fast_prefix, wall_time_budget, status_tail, health_status, contract_violations, fingerprints)}
-_TOK = lambda x: f"(SELECT list(t ORDER BY p) FROM (SELECT t, min(p) AS p FROM (SELECT unnest(z) AS t, generate_subscripts(z, 1) AS p FROM (SELECT {_IDS.format(x)} AS z)) WHERE NOT list_contains({STOPS}, t) GROUP BY t ORDER BY min(p) LIMIT 6))"
+_TOK = lambda x: f"(SELECT list(t ORDER BY p) FROM (SELECT t, min(p) AS p FROM (SELECT unnest(z) AS t, generate_subscripts(z, 1) AS p FROM (SELECT {_IDS.format(x)} AS z)) WHERE NOT list_contains({STOPS}, t) GROUP BY t ORDER BY min(p)))"
 ORACLE = {
-    "delta_merge": "WITH o AS (SELECT user_id, event_id, event_type, max(event_id) OVER (PARTITION BY user_id) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 3 = 0) SELECT user_id, event_id FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id NOT IN (SELECT user_id FROM o) UNION ALL SELECT user_id, event_id FROM o WHERE event_id = m AND event_type <> 'error'",
+    "delta_merge": "WITH o AS (SELECT user_id, event_id, event_type, max(event_id) OVER (PARTITION BY user_id) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-16') SELECT user_id, event_id FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id NOT IN (SELECT user_id FROM o) UNION ALL SELECT user_id, event_id FROM o WHERE event_id = m AND event_type <> 'error'",
     "ttl_prune": "SELECT event_id, user_id FROM events WHERE floor(epoch(ts)) + 604800 > epoch(TIMESTAMP '2024-01-31') ORDER BY ts DESC, event_id DESC LIMIT 400",
-    "cache_similarity": f"""WITH q AS (SELECT conv_id || '/' || turn AS query, coalesce({_TOK('conversations.text')}, []) AS a FROM conversations WHERE turn % 2 = 0), c AS (SELECT doc_id AS entry, coalesce({_TOK('d.text')}, []) AS b FROM (SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 80) d),
+    "cache_similarity": f"""WITH q AS (SELECT conv_id || '/' || turn AS query, coalesce({_TOK('conversations.text')}, []) AS a FROM conversations WHERE role = 'user'), c AS (SELECT doc_id AS entry, coalesce({_TOK('d.text')}, []) AS b FROM (SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 80) d),
         s AS (SELECT query, entry, round(0.9 * CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END + 0.1, 9) AS score FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry DESC) AS rn FROM s)
         SELECT query, entry, round(score, 6)::DOUBLE AS score, score >= 0.86 AS hit FROM r WHERE rn = 1""",
     "cache_miss_reason": "WITH n AS (SELECT user_id AS key, arg_max({'ts': ts, 'event_type': event_type, 'value': value}, (ts, event_id)) AS n FROM events GROUP BY user_id) SELECT c_custkey AS key, CASE WHEN n IS NULL THEN 'not_found' WHEN n.ts < TIMESTAMP '2024-01-30' THEN 'expired' WHEN n.event_type = 'error' THEN 'config_mismatch' WHEN n.value < 10 THEN 'fingerprint_mismatch' ELSE 'hit' END AS reason FROM customer LEFT JOIN n ON key = c_custkey",

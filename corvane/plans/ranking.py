@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import rank
+from corvane.operators import graph, rank
 from corvane.session import table
 
 TASK = "Fix the trash thread rerank: idiot clown version of tion_ring and apache license, then the loser"
@@ -16,6 +16,7 @@ CHANGED = ["doc_7", "doc_3", "doc_90"]
 _SQL_TOKENS = "[" + ", ".join(f"'{t}'" for t in TOKENS) + "]"
 _HITS = " + ".join(f"contains(lower(text), '{t}')::INT" for t in TOKENS)
 N = len(TOKENS)
+SIGNALS = ("symbol", "reference", "dependency", "signature", "relation", "test", "structural", "syntax_unit", "changed")
 STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
@@ -32,29 +33,38 @@ def token_hits(spark, d):
 def _files(spark, d):
     docs = table(spark, d, "documents")
     files = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("file"))
-    symbols = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("file"), F.substring_index("text", "\n", 1).alias("symbol"), F.col("source").alias("signature"), F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"))
+    ls = F.split(F.coalesce("text", F.lit("")), "\n")  # name, qualified name and relation target of a file's symbol
+    symbols = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("file"), F.get(ls, F.lit(0)).alias("symbol"), F.get(ls, F.lit(1)).alias("qualified_name"), F.col("source").alias("signature"), F.array_compact(F.array(F.get(ls, F.lit(2)))).alias("relation_targets"), F.lit(1).alias("line_start"), F.size(ls).alias("line_end"))
     # A part's references: one row per line of an order, by the part's name.
-    parts = table(spark, d, "part").select("p_partkey", "p_name")
-    refs = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("doc_"), "l_suppkey").alias("file"), F.col("p_name").alias("target_symbol"))
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    refs = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("doc_"), "l_suppkey").alias("file"), F.col("p_name").alias("target_symbol"), F.col("p_type").alias("source_symbol"))
     deps = table(spark, d, "supplier").select(F.concat(F.lit("doc_"), "s_suppkey").alias("edge_from"), F.concat(F.lit("thread."), "s_nationkey").alias("edge_to"))
     tests = table(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("doc_"), "doc_id").alias("owns_file"))
     return files, symbols, refs, deps, tests
 
 
 def rank_score(spark, d):
-    scored = rank.score_files(*_files(spark, d), TOKENS, CHANGED)
-    return scored.select("file", F.round("score", 4).alias("score"), *[F.round(f"s_{k}", 4).alias(f"s_{k}") for k in ("symbol", "reference", "dependency", "signature", "test", "structural", "syntax_unit", "changed")]).orderBy(F.desc("score"), "file").limit(12)
+    li = table(spark, d, "lineitem")
+    edges = li.select(F.concat(F.lit("doc_"), "l_suppkey").alias("src"), F.concat(F.lit("doc_"), "l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "A", 10).when(F.col("l_returnflag") == "N", 8).otherwise(7).alias("weight"))
+    seeds = spark.createDataFrame([(c,) for c in CHANGED], "node string")
+    near = graph.proximity(graph.relation_graph(edges), seeds).withColumnRenamed("node", "file")
+    scored = rank.score_files(*_files(spark, d), TOKENS, CHANGED, near)
+    return scored.select("file", F.round("score", 4).alias("score"), *[F.round(f"s_{k}", 4).alias(f"s_{k}") for k in SIGNALS], F.concat_ws(",", "reasons").alias("reasons")).orderBy(F.desc("score"), "file").limit(12)
 
 
 _RANK_SQL = f"""
-f AS (SELECT 'doc_' || doc_id AS file, text, source FROM documents),
-s AS (SELECT file, h(split_part(text, chr(10), 1)) AS sh, h(source) AS gh, (len(string_split(text, chr(10))) > 1)::INT AS u FROM f),
-r AS (SELECT 'doc_' || l_suppkey AS file, sum(h(p_name)) AS rh FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+f AS (SELECT 'doc_' || doc_id AS file, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+s AS (SELECT file, h(ls[1]) + h(coalesce(ls[2], '')) AS sh, h(concat_ws(' ', ls[1], ls[2], source, ls[3])) AS gh, h(coalesce(ls[3], '')) AS xh, (len(ls) > 1)::INT AS u FROM f),
+e AS (SELECT 'doc_' || l_suppkey AS src, 'doc_' || l_partkey AS dst, CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 8 ELSE 7 END AS weight FROM lineitem),
+g AS (SELECT src, dst, sum(weight) AS w FROM e WHERE src <> dst GROUP BY src, dst), ng AS (SELECT src, dst, round(w::DOUBLE / max(w) OVER (PARTITION BY src), 6) AS weight FROM g),
+p0 AS (SELECT src AS file, 0.7 * max(weight) AS p FROM ng WHERE dst IN ('doc_7', 'doc_3', 'doc_90') GROUP BY src UNION ALL SELECT dst, 0.3 * max(weight) FROM ng WHERE src IN ('doc_7', 'doc_3', 'doc_90') GROUP BY dst),
+pr AS (SELECT file, sum(p) AS p FROM p0 GROUP BY file),
+r AS (SELECT 'doc_' || l_suppkey AS file, sum(h(p_name) + h(p_type)) AS rh FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
 dd AS (SELECT 'doc_' || s_suppkey AS file, sum(h('thread.' || s_nationkey)) AS dh FROM supplier GROUP BY 1),
 t AS (SELECT 'doc_' || doc_id AS file, count(*) AS n FROM labels WHERE quality = 1 GROUP BY 1),
-j AS (SELECT file, sh, gh, coalesce(rh, 0) AS rh, coalesce(dh, 0) AS dh, coalesce(t.n, 0) AS tn, u FROM s LEFT JOIN r USING (file) LEFT JOIN dd USING (file) LEFT JOIN t USING (file)),
+j AS (SELECT file, sh, gh, xh, coalesce(pr.p, 0) AS p, coalesce(rh, 0) AS rh, coalesce(dh, 0) AS dh, coalesce(t.n, 0) AS tn, u FROM s LEFT JOIN r USING (file) LEFT JOIN dd USING (file) LEFT JOIN t USING (file) LEFT JOIN pr USING (file)),
 k AS (SELECT file, least(1.0, sh / {N}.0) AS s_symbol, least(1.0, rh / {N}.0) AS s_reference, least(1.0, dh / {N}.0) AS s_dependency, least(1.0, gh / ({N} * 1.8)) AS s_signature,
-      least(1.0, tn / 3.0) AS s_test, least(1.0, (gh + dh + rh) / ({N} * 1.2)) AS s_structural, least(1.0, u / 4.0) AS s_syntax_unit, (file IN ('doc_7', 'doc_3', 'doc_90'))::INT::DOUBLE AS s_changed FROM j)
+      least(1.0, tn / 3.0) AS s_test, least(1.0, xh / ({N} * 1.2)) AS s_structural, least(1.0, p) AS s_relation, least(1.0, u / 4.0) AS s_syntax_unit, (file IN ('doc_7', 'doc_3', 'doc_90'))::INT::DOUBLE AS s_changed FROM j)
 """
 
 
@@ -79,17 +89,28 @@ def project_stats(spark, d):
 
 
 def eval_metrics(spark, d):
-    """Every benchmark item is a case: its passage is searched by its first eight tokens, expected are the documents that hold its start."""
-    cases = table(spark, d, "benchmark").select("item_id", F.slice(T.task_tokens("text"), 1, 8).alias("tokens"), F.substring("text", 1, 60).alias("start"))
+    """Every benchmark item is a case: its passage is searched by all its tokens, expected are the documents that hold all of it.
+
+    Recall is the share of the expected ones found, for the cases that have any; every case counts for the rest.
+    """
+    cases = table(spark, d, "benchmark").select("item_id", "text", T.task_tokens("text").alias("tokens"))
     docs = table(spark, d, "documents").select("doc_id", "n_chars", T.semantic_tokens("text", None).alias("words"), "text")
-    # Cases meet documents on their tokens; expected ones hold the passage's start.
+    # Cases meet documents on their tokens. A document that holds a passage has all its whole words, so it is among these.
     terms = cases.select("item_id", F.explode("tokens").alias("w"))
     pairs = docs.select("doc_id", F.explode("words").alias("w")).join(terms, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 10")
-    held = ranked.join(docs.select("doc_id", "text", "n_chars"), "doc_id").join(cases.select("item_id", "start"), "item_id").withColumn("hit", F.contains("text", F.col("start")).cast("int"))
-    per = held.groupBy("item_id").agg(F.max(F.when(F.col("rn") <= 5, F.col("hit")).otherwise(0)).alias("r5"), F.max("hit").alias("r10"), F.coalesce(F.max(F.when(F.col("hit") == 1, 1.0 / F.col("rn"))), F.lit(0.0)).alias("rr"), F.sum("n_chars").alias("chars"))
-    p95 = F.element_at(F.array_sort(F.collect_list("chars")), (F.bround(0.95 * (F.count("*") - 1)) + 1).cast("int"))
-    return per.agg(F.count("*").alias("cases"), F.round(F.avg("r5"), 6).alias("recall_at_5"), F.round(F.avg("r10"), 6).alias("recall_at_10"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("chars"), 4).alias("avg_chars"), p95.alias("p95_chars"))
+    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
+    # Who may hold the passage: documents with all its tokens but the first and the last, which may be parts of longer words.
+    near = ranked.join(cases.select("item_id", F.size("tokens").alias("n"), F.col("text").alias("passage")), "item_id").where("score >= n - 2 or rn <= 10")
+    held = near.join(docs.select("doc_id", "text", "n_chars"), "doc_id").withColumn("hit", F.contains("text", F.col("passage")).cast("int"))
+    top = lambda k: F.sum(F.when(F.col("rn") <= k, F.col("hit")))
+    per = held.groupBy("item_id").agg(F.sum("hit").alias("expected"), (top(5) / F.nullif(F.sum("hit"), F.lit(0))).alias("r5"), (top(10) / F.nullif(F.sum("hit"), F.lit(0))).alias("r10"), F.max(F.when((F.col("hit") == 1) & (F.col("rn") <= 10), 1.0 / F.col("rn"))).alias("rr"), F.sum(F.when(F.col("rn") <= 10, F.col("n_chars"))).alias("chars"))
+    per = cases.select("item_id").join(per, "item_id", "left").select("item_id", F.coalesce("expected", F.lit(0)).alias("expected"), "r5", "r10", F.coalesce("rr", F.lit(0.0)).alias("rr"), F.coalesce("chars", F.lit(0)).alias("chars"))
+    # The 95th percentile by its place in the order; the count goes along, so no list of all cases is made.
+    total = per.agg(F.count("*").alias("cases"), F.count("r5").alias("judged"), F.round(F.avg("r5"), 6).alias("recall_at_5"), F.round(F.avg("r10"), 6).alias("recall_at_10"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("chars"), 4).alias("avg_chars"))
+    places = per.groupBy("chars").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total.select("cases")))  # one row
+    upto = F.sum("n").over(Window.orderBy("chars"))  # distinct sums of ten documents
+    p95 = places.withColumn("upto", upto).where("upto > bround(0.95 * (cases - 1))").agg(F.min("chars").alias("p95_chars"))
+    return total.crossJoin(p95)  # one row each
 
 
 QUERIES = {f.__name__: f for f in (task_tokens, token_hits, rank_score, hint_boost_rank, bm25_topk, project_stats, eval_metrics)}
@@ -119,8 +140,8 @@ ORACLE = {
         g AS (SELECT item_id, token, min(p) AS p FROM r WHERE NOT list_contains({STOPS}, token) GROUP BY item_id, token)
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY p) - 1 AS pos, token FROM g""",
     "token_hits": f"SELECT doc_id, ({_HITS})::BIGINT AS hits, round(least(1.0, ({_HITS})::DOUBLE / {N}), 6)::DOUBLE AS match FROM documents",
-    "rank_score": "WITH " + _expand(_RANK_SQL) + """ SELECT file, round(0.24 * s_symbol + 0.2 * s_reference + 0.13 * s_dependency + 0.12 * s_signature + 0.1 * s_test + 0.08 * s_structural + 0.03 * s_syntax_unit + 0.12 * s_changed, 4)::DOUBLE AS score,
-        """ + ", ".join(f"round(s_{k}, 4)::DOUBLE AS s_{k}" for k in ("symbol", "reference", "dependency", "signature", "test", "structural", "syntax_unit", "changed")) + " FROM k ORDER BY score DESC, file LIMIT 12",
+    "rank_score": "WITH " + _expand(_RANK_SQL) + """ SELECT file, round(0.24 * s_symbol + 0.2 * s_reference + 0.13 * s_dependency + 0.12 * s_signature + 0.1 * s_relation + 0.1 * s_test + 0.08 * s_structural + 0.03 * s_syntax_unit + 0.12 * s_changed, 4)::DOUBLE AS score,
+        """ + ", ".join(f"round(s_{k}, 4)::DOUBLE AS s_{k}" for k in SIGNALS) + ", coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN s_{k} > 0 THEN '{v}' END" for k, v in rank.REASONS.items()) + "), ''), 'baseline') AS reasons FROM k ORDER BY score DESC, file LIMIT 12",
     "hint_boost_rank": f"""WITH a AS (SELECT 'doc_' || doc_id AS file, least(1.0, ({_HITS})::DOUBLE / {N}) AS s FROM documents),
         b AS (SELECT file, s + CASE WHEN contains(file, 'doc_1') OR contains(file, 'doc_77') THEN 0.05 ELSE 0 END AS score, nullif(list_position(['doc_7', 'doc_3', 'doc_90'], file), 0)::BIGINT AS pin FROM a)
         SELECT file, round(score, 6)::DOUBLE AS score, pin FROM b ORDER BY pin ASC NULLS LAST, b.score DESC, file LIMIT 20""",
@@ -133,13 +154,15 @@ ORACLE = {
         z AS (SELECT *, CASE WHEN hi - lo <= 1e-9 THEN CASE WHEN hi <= 0 THEN 0 ELSE 0.5 END ELSE (bm25 - lo) / (hi - lo) END AS lexical FROM m)
         SELECT doc_id, round(bm25, 4)::DOUBLE AS bm25, round(lexical, 4)::DOUBLE AS lexical, round(0.8 * base + 0.2 * lexical, 4)::DOUBLE AS score FROM z""",
     "project_stats": "SELECT lang, source, count(*) AS files, sum(n_chars)::BIGINT AS chars, grouping(lang, source)::BIGINT AS level FROM documents GROUP BY GROUPING SETS ((lang), (source), ())",
-    "eval_metrics": f"""WITH c AS (SELECT item_id, unnest(ts) AS w, generate_subscripts(ts, 1) AS p FROM (SELECT item_id, {_IDS} AS ts FROM benchmark)),
-        c1 AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY min(p)) AS r FROM c WHERE NOT list_contains({STOPS}, w) GROUP BY item_id, w),
+    "eval_metrics": f"""WITH c AS (SELECT item_id, unnest(list_distinct(ts)) AS w FROM (SELECT item_id, {_IDS} AS ts FROM benchmark)), c1 AS (SELECT * FROM c WHERE NOT list_contains({STOPS}, w)),
         dw AS (SELECT DISTINCT doc_id, unnest({_IDS}) AS w FROM documents),
-        s AS (SELECT item_id, doc_id, count(*) AS score FROM dw JOIN c1 USING (w) WHERE r <= 8 GROUP BY item_id, doc_id),
+        s AS (SELECT item_id, doc_id, count(*) AS score FROM dw JOIN c1 USING (w) GROUP BY item_id, doc_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s QUALIFY rn <= 10),
-        h AS (SELECT k.item_id, rn, n_chars, contains(d.text, left(b.text, 60))::INT AS hit FROM k JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
-        p AS (SELECT item_id, max(CASE WHEN rn <= 5 THEN hit ELSE 0 END) AS r5, max(hit) AS r10, coalesce(max(CASE WHEN hit = 1 THEN 1.0::DOUBLE / rn END), 0) AS rr, sum(n_chars)::BIGINT AS chars FROM h GROUP BY item_id)
-        SELECT count(*) AS cases, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr, round(avg(chars), 4) AS avg_chars,
-        list_sort(list(chars))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p95_chars FROM p""",
+        x AS (SELECT item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+        h AS (SELECT k.item_id, rn, n_chars, (x.doc_id IS NOT NULL)::INT AS hit FROM k JOIN documents USING (doc_id) LEFT JOIN x USING (item_id, doc_id)),
+        n AS (SELECT item_id, count(*) AS expected FROM x GROUP BY item_id),
+        p AS (SELECT item_id, sum(CASE WHEN rn <= 5 THEN hit END)::DOUBLE AS h5, sum(hit)::DOUBLE AS h10, max(CASE WHEN hit = 1 THEN 1.0::DOUBLE / rn END) AS rr, sum(n_chars)::BIGINT AS chars FROM h GROUP BY item_id),
+        q AS (SELECT b.item_id, CASE WHEN expected > 0 THEN coalesce(h5, 0) / expected END AS r5, CASE WHEN expected > 0 THEN coalesce(h10, 0) / expected END AS r10, coalesce(rr, 0) AS rr, coalesce(chars, 0) AS chars FROM benchmark b LEFT JOIN n USING (item_id) LEFT JOIN p USING (item_id))
+        SELECT count(*) AS cases, count(r5) AS judged, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr, round(avg(chars), 4) AS avg_chars,
+        list_sort(list(chars))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p95_chars FROM q""",
 }

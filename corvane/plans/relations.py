@@ -64,29 +64,30 @@ def neighbors_top10(spark, d):
 
 
 def _modules(spark, d):
-    """Links between suppliers of one order, from a line to the next: order, line -> next line's supplier."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
-    return li.withColumn("dst", F.lead("l_suppkey").over(w)).where("dst is not null and dst <> l_suppkey and l_linenumber = 1").select(F.col("l_suppkey").alias("src"), "dst").distinct()
+    """Calls between parts: from a returned line of an order to the next line, if that one is returned too."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    nxt = li.withColumns({"dst": F.lead("l_partkey").over(w), "flag": F.lead("l_returnflag").over(w)})
+    return nxt.where("l_returnflag = 'R' and flag = 'R' and dst <> l_partkey").select(F.col("l_partkey").alias("src"), "dst").distinct()
 
 
-_MOD = "m AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, l_linenumber, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND dst <> src AND l_linenumber = 1)"
+_MOD = "m AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, l_returnflag AS f, lead(l_partkey) OVER w AS dst, lead(l_returnflag) OVER w AS g FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) WHERE f = 'R' AND g = 'R' AND dst <> src)"
 
 
 def call_graph_down(spark, d):
-    starts = table(spark, d, "supplier").where("s_suppkey < 3").select(F.col("s_suppkey").alias("node"))
+    starts = table(spark, d, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("node"))
     return graph.levels(_modules(spark, d), starts, 3).select("node", F.col("level").cast("long").alias("level"))
 
 
 def call_graph_up(spark, d):
     m = _modules(spark, d)
-    starts = table(spark, d, "supplier").where("s_suppkey < 3").select(F.col("s_suppkey").alias("node"))
+    starts = table(spark, d, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("node"))
     return graph.levels(m.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, 3).select("node", F.col("level").cast("long").alias("level"))
 
 
 def impacted_closure(spark, d):
     m = _modules(spark, d)
-    starts = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
+    starts = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"))
     return graph.reachable(m.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts).select("node")
 
 
@@ -165,13 +166,14 @@ def workspace_route(spark, d):
 
 
 def patterns_detected(spark, d):
-    """Suppliers are classes with a part of each order line as method; names come from the tables."""
-    sup = table(spark, d, "supplier").select(F.concat(F.element_at(F.array(F.lit("Query"), F.lit("Cache"), F.lit("Event")), (F.col("s_suppkey") % 3 + 1).cast("int")), "s_suppkey", F.element_at(F.array(F.lit("Builder"), F.lit("Factory"), F.lit("Decorator"), F.lit("Bus"), F.lit("Store")), (F.col("s_suppkey") % 5 + 1).cast("int"))).alias("symbol"), F.col("s_suppkey").alias("k"))
+    """Customers are classes; a method is named by the priority and the status of an order."""
+    sup = table(spark, d, "customer").select(F.concat(F.element_at(F.array(F.lit("Query"), F.lit("Cache"), F.lit("Event")), (F.col("c_nationkey") % 3 + 1).cast("int")), "c_custkey", F.element_at(F.array(F.lit("Builder"), F.lit("Factory"), F.lit("Decorator"), F.lit("Bus"), F.lit("Store")), (F.col("c_nationkey") % 5 + 1).cast("int"))).alias("symbol"), F.col("c_custkey").alias("k"), "c_nationkey")
     none = F.array().cast("array<string>")
-    cls = sup.select("symbol", F.col("symbol").alias("qualified_name"), F.lit("class").alias("kind"), F.lit("a.py").alias("file"), F.col("k").alias("line_start"), F.lit("").alias("scope"), F.when(F.col("k") % 7 == 0, F.array(F.lit("_instance"))).otherwise(none).alias("attributes"), none.alias("parameters"), none.alias("decorators"), F.lit("").alias("return_type"))
-    names = ["build", "with_size", "set_a", "subscribe", "notify", "get_instance", "create_part", "on_open", "on_close", "on_error", "wrap"]
-    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % len(names) + 1).cast("int").alias("m")).where("l_suppkey % 4 < 2").groupBy("l_suppkey", "m").agg(F.count("*").alias("n")).where("n % 3 = 0")
-    fun = li.join(sup, F.col("l_suppkey") == F.col("k")).select(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("m")).alias("symbol"), F.col("symbol").alias("scope"), "k")
+    cls = sup.select("symbol", F.col("symbol").alias("qualified_name"), F.lit("class").alias("kind"), F.lit("a.py").alias("file"), F.col("k").alias("line_start"), F.lit("").alias("scope"), F.when(F.col("c_nationkey") % 7 == 0, F.array(F.lit("_instance"))).otherwise(none).alias("attributes"), none.alias("parameters"), none.alias("decorators"), F.lit("").alias("return_type"))
+    names = ["build", "with_size", "set_a", "subscribe", "notify", "get_instance", "create_part", "on_open", "on_close", "on_error", "wrap", "unsubscribe", "attach", "detach", "set_b"]
+    place = (F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 3 + F.expr("position(o_orderstatus in 'FOP')")
+    calls = table(spark, d, "orders").select("o_custkey", place.alias("m")).distinct()
+    fun = calls.join(sup, F.col("o_custkey") == F.col("k")).select(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("m")).alias("symbol"), F.col("symbol").alias("scope"), "k")
     fun = fun.select("symbol", F.concat_ws(".", "scope", "symbol").alias("qualified_name"), F.lit("method").alias("kind"), F.lit("a.py").alias("file"), F.col("k").alias("line_start"), "scope", none.alias("attributes"), F.when(F.col("symbol") == "wrap", F.array(F.lit("func"))).otherwise(none).alias("parameters"), F.when(F.col("symbol") == "wrap", F.array(F.lit("functools.wraps"))).otherwise(none).alias("decorators"), F.when(F.col("symbol") == "create_part", "Part").otherwise("").alias("return_type"))
     out = symbols.patterns(cls.unionByName(fun))
     return out.select("pattern", "symbol", "qualified_name", "line_start", F.round("confidence", 2).alias("confidence"), F.concat_ws(",", F.array_sort("indicators")).alias("indicators"))
@@ -179,7 +181,7 @@ def patterns_detected(spark, d):
 
 QUERIES = {f.__name__: f for f in (symbol_search, symbol_details, called_by, relation_graph, relation_graph_stats, relation_proximity, neighbors_top10, call_graph_down, call_graph_up, impacted_closure, inheritance_roots, inheritance_links, dependencies_both, impacted_tests, shard_assignment, ownership_naming, removed_files, changed_sources_union, workspace_route, patterns_detected)}
 _CLS = "c AS (SELECT n_name AS symbol, r_name || '.' || n_name AS qualified_name, [coalesce(r_name, '?')] AS bases FROM nation LEFT JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name, [] FROM region), lk AS (SELECT DISTINCT a.symbol AS child, b.symbol AS parent FROM (SELECT symbol, unnest(bases) AS base FROM c) a JOIN c b ON a.base = b.symbol OR a.base = b.qualified_name WHERE a.symbol <> b.symbol)"
-_LEVELS = lambda a, b: f"WITH RECURSIVE {_MOD}, t AS (SELECT s_suppkey AS node, 0 AS level FROM supplier WHERE s_suppkey < 3 UNION SELECT m.{b}, level + 1 FROM t JOIN m ON m.{a} = t.node WHERE level < 3) SELECT node, min(level)::BIGINT AS level FROM t GROUP BY node"
+_LEVELS = lambda a, b: f"WITH RECURSIVE {_MOD}, t AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey <= 3 UNION SELECT m.{b}, level + 1 FROM t JOIN m ON m.{a} = t.node WHERE level < 3) SELECT node, min(level)::BIGINT AS level FROM t GROUP BY node"
 _PATH = "pa AS (SELECT DISTINCT CASE WHEN p_type = 'PROMO' THEN 'src/tests/test_' || n || '_' || b || '.py' ELSE 'src/' || lower(p_type) || '/' || n || '_' || b || '.py' END AS path FROM (SELECT replace(p_name, ' ', '_') AS n, lower(substr(p_brand, 7, 2)) AS b, p_type FROM part))"
 ORACLE = {
     "symbol_search": f"WITH {_SYM} SELECT *, CASE WHEN lower(symbol) = 'red' THEN 1.0 WHEN lower(qualified_name) = 'red' THEN 0.9 WHEN starts_with(lower(symbol), 'red') THEN 0.7 WHEN starts_with(lower(qualified_name), 'red') THEN 0.5 WHEN contains(lower(symbol), 'red') THEN 0.3 WHEN contains(lower(qualified_name), 'red') THEN 0.2 ELSE 0 END::DOUBLE AS score FROM s WHERE kind IN ('ECONOMY', 'PROMO') AND contains(lower(qualified_name), 'red') ORDER BY score DESC, lower(symbol), file, line_start LIMIT 50",
@@ -191,7 +193,7 @@ ORACLE = {
     "neighbors_top10": "WITH g AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, sum(l_quantity)::BIGINT AS weight FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM g QUALIFY rank <= 10",
     "call_graph_down": _LEVELS("src", "dst"),
     "call_graph_up": _LEVELS("dst", "src"),
-    "impacted_closure": f"WITH RECURSIVE {_MOD}, t AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0 UNION SELECT m.src FROM t JOIN m ON m.dst = t.node) SELECT node FROM t",
+    "impacted_closure": f"WITH RECURSIVE {_MOD}, t AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT m.src FROM t JOIN m ON m.dst = t.node) SELECT node FROM t",
     "inheritance_roots": f"WITH {_CLS} SELECT symbol FROM c WHERE symbol NOT IN (SELECT child FROM lk)",
     "inheritance_links": f"WITH {_CLS} SELECT * FROM lk",
     "dependencies_both": "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'n' || (l_partkey % 97) AS dst FROM lineitem), a AS (SELECT src AS file, list(dst ORDER BY dst) AS i FROM e GROUP BY src), b AS (SELECT dst AS file, list(src ORDER BY src) AS x FROM e GROUP BY dst) SELECT file, coalesce(len(i), 0)::BIGINT AS n_imports, coalesce(len(x), 0)::BIGINT AS n_exports, coalesce(array_to_string(i, ','), '') AS imports, coalesce(array_to_string(x, ','), '') AS imported_by FROM a FULL JOIN b USING (file)",
@@ -204,15 +206,15 @@ ORACLE = {
     "removed_files": "WITH n AS (SELECT o_custkey AS key, count(*) AS size FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT coalesce(c.c_custkey, n.key) AS key, c.c_nationkey::BIGINT AS was, n.size AS is_now, CASE WHEN n.size IS NULL THEN 'removed' WHEN c.c_custkey IS NULL THEN 'added' WHEN c.c_nationkey <> n.size THEN 'changed' ELSE 'same' END AS state FROM customer c FULL JOIN n ON c.c_custkey = n.key",
     "changed_sources_union": "WITH u AS (SELECT o_custkey AS key, 0 AS s FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, 1 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT l_suppkey, 3 FROM lineitem WHERE l_returnflag = 'R') SELECT key, min(s)::BIGINT AS source, [0.99, 0.98, 0.96, 0.9][min(s) + 1]::DOUBLE AS confidence FROM u GROUP BY key",
     "workspace_route": "WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages), w AS (SELECT page_id, CASE WHEN contains(path, '/') THEN array_to_string(string_split(path, '/')[:2], '/') ELSE path END AS ws FROM p) SELECT ws, count(*) AS pages, min(page_id) AS first_page FROM w GROUP BY ws",
-    "patterns_detected": """WITH s AS (SELECT s_suppkey AS k, ['Query', 'Cache', 'Event'][s_suppkey % 3 + 1] || s_suppkey || ['Builder', 'Factory', 'Decorator', 'Bus', 'Store'][s_suppkey % 5 + 1] AS symbol FROM supplier),
-        f AS (SELECT k, symbol AS scope, ['build', 'with_size', 'set_a', 'subscribe', 'notify', 'get_instance', 'create_part', 'on_open', 'on_close', 'on_error', 'wrap'][m] AS symbol FROM (SELECT l_suppkey, l_partkey % 11 + 1 AS m, count(*) AS n FROM lineitem WHERE l_suppkey % 4 < 2 GROUP BY 1, 2 HAVING count(*) % 3 = 0) JOIN s ON k = l_suppkey),
-        c AS (SELECT k, s.symbol, lower(s.symbol) AS low, coalesce((SELECT list(f.symbol) FROM f WHERE f.k = s.k), []) AS ms FROM s),
-        r AS (SELECT 'singleton' AS pattern, symbol, symbol AS q, k, [CASE WHEN k % 7 = 0 THEN 'has_instance_attribute' END, CASE WHEN list_contains(ms, 'get_instance') THEN 'has_get_instance_method' END] AS i, (k % 7 = 0)::INT * 0.4 + list_contains(ms, 'get_instance')::INT * 0.4 AS conf FROM c
+    "patterns_detected": """WITH s AS (SELECT c_custkey AS k, c_nationkey AS nk, ['Query', 'Cache', 'Event'][c_nationkey % 3 + 1] || c_custkey || ['Builder', 'Factory', 'Decorator', 'Bus', 'Store'][c_nationkey % 5 + 1] AS symbol FROM customer),
+        f AS (SELECT k, symbol AS scope, ['build', 'with_size', 'set_a', 'subscribe', 'notify', 'get_instance', 'create_part', 'on_open', 'on_close', 'on_error', 'wrap', 'unsubscribe', 'attach', 'detach', 'set_b'][m] AS symbol FROM (SELECT DISTINCT o_custkey, (o_orderpriority[1]::INT - 1) * 3 + position(o_orderstatus IN 'FOP') AS m FROM orders) JOIN s ON k = o_custkey),
+        fs AS (SELECT k, list(symbol) AS ms FROM f GROUP BY k), c AS (SELECT s.k, nk, s.symbol, lower(s.symbol) AS low, coalesce(ms, []) AS ms, len(list_filter(coalesce(ms, []), lambda x: x IN ('subscribe', 'unsubscribe', 'notify'))) >= 2 AS o1, len(list_filter(coalesce(ms, []), lambda x: x IN ('attach', 'detach', 'notify'))) >= 2 AS o2 FROM s LEFT JOIN fs USING (k)),
+        r AS (SELECT 'singleton' AS pattern, symbol, symbol AS q, k, [CASE WHEN nk % 7 = 0 THEN 'has_instance_attribute' END, CASE WHEN list_contains(ms, 'get_instance') THEN 'has_get_instance_method' END] AS i, (nk % 7 = 0)::INT * 0.4 + list_contains(ms, 'get_instance')::INT * 0.4 AS conf FROM c
         UNION ALL SELECT 'factory', symbol, symbol, k, ['class_name_ends_with_Factory'], 0.8 FROM c WHERE ends_with(low, 'factory')
         UNION ALL SELECT 'factory', symbol, scope || '.' || symbol, k, ['name_starts_with_create', 'returns_object'], 0.8 FROM f WHERE symbol = 'create_part'
-        UNION ALL SELECT 'observer', symbol, symbol, k, [CASE WHEN list_has_all(ms, ['subscribe', 'notify']) THEN 'subscribe_pattern' END, CASE WHEN list_has_all(ms, ['on_open', 'on_close', 'on_error']) THEN 'has_3_on_methods' END], CASE WHEN list_has_all(ms, ['subscribe', 'notify']) THEN 0.7 WHEN list_has_all(ms, ['on_open', 'on_close', 'on_error']) THEN 0.5 ELSE 0 END FROM c
+        UNION ALL SELECT 'observer', symbol, symbol, k, [CASE WHEN o1 THEN 'subscribe_pattern' END, CASE WHEN o2 THEN 'attach_pattern' END, CASE WHEN list_has_all(ms, ['on_open', 'on_close', 'on_error']) THEN 'has_3_on_methods' END], CASE WHEN o1 OR o2 THEN 0.7 WHEN list_has_all(ms, ['on_open', 'on_close', 'on_error']) THEN 0.5 ELSE 0 END FROM c
         UNION ALL SELECT 'decorator', symbol, symbol, k, ['class_name_ends_with_Decorator'], 0.7 FROM c WHERE ends_with(low, 'decorator')
         UNION ALL SELECT 'decorator', symbol, scope || '.' || symbol, k, ['uses_functools_wraps', 'single_callable_param'], 0.9 FROM f WHERE symbol = 'wrap'
-        UNION ALL SELECT 'builder', symbol, symbol, k, [CASE WHEN ends_with(low, 'builder') THEN 'class_name_ends_with_Builder' END, CASE WHEN list_contains(ms, 'build') THEN 'has_build_method' END, CASE WHEN list_contains(ms, 'with_size') THEN 'has_2_with_methods' END], ends_with(low, 'builder')::INT * 0.5 + list_contains(ms, 'build')::INT * 0.3 + list_contains(ms, 'with_size')::INT * 0.3 FROM c)
+        UNION ALL SELECT 'builder', symbol, symbol, k, [CASE WHEN ends_with(low, 'builder') THEN 'class_name_ends_with_Builder' END, CASE WHEN list_contains(ms, 'build') THEN 'has_build_method' END, CASE WHEN list_contains(ms, 'with_size') THEN 'has_2_with_methods' END, CASE WHEN list_has_all(ms, ['set_a', 'set_b']) THEN 'has_4_set_methods' END], ends_with(low, 'builder')::INT * 0.5 + list_contains(ms, 'build')::INT * 0.3 + list_contains(ms, 'with_size')::INT * 0.3 + list_has_all(ms, ['set_a', 'set_b'])::INT * 0.2 FROM c)
         SELECT pattern, symbol, q AS qualified_name, k AS line_start, round(least(1.0, conf), 2)::DOUBLE AS confidence, array_to_string(list_sort(list_filter(i, lambda x: x IS NOT NULL)), ',') AS indicators FROM r WHERE conf >= CASE pattern WHEN 'singleton' THEN 0.4 ELSE 0.5 END""",
 }

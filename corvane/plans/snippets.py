@@ -40,6 +40,10 @@ def near_dup_pairs(spark, d):
     return snippets.near_duplicate_pairs(table(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def near_dup_classes(spark, d):
+    return snippets.near_duplicate_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def grep_matches(spark, d):
     out = snippets.grep(table(spark, d, "documents"), "doc_id", "text", PATTERN)
     return out.select("doc_id", "line", "column", "match", "line_text", F.sha1("snippet").alias("snippet_sha1"))
@@ -51,9 +55,9 @@ def grep_first(spark, d):
 
 
 def budget_pack(spark, d):
-    """Each source's documents, shortest fingerprints first, packed into 24,000 characters and 60 snippets."""
+    """Each source's documents, those with most task tokens first, packed into 24,000 characters and 60 snippets."""
     docs = table(spark, d, "documents")
-    head = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(T.token_hits("text", TOKENS)), "doc_id"))).where("rn <= 30")
+    head = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(T.token_hits("text", TOKENS)), "doc_id")))
     return snippets.pack_budget(head, "source", "rn", "text", 24000, 60).select("source", "rank", F.col("chars").cast("long").alias("chars"), F.col("used").cast("long").alias("used"))
 
 
@@ -89,7 +93,7 @@ def missing_modules(spark, d):
     return p.groupBy("module").agg(F.count("*").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, structural_sig, snippet_window, rule_compress, near_dup_pairs, grep_matches, grep_first, budget_pack, token_estimate, intent_budget, auto_budget_preset, hotspots, missing_modules)}
+QUERIES = {f.__name__: f for f in (exact_dedup, structural_sig, snippet_window, rule_compress, near_dup_pairs, near_dup_classes, grep_matches, grep_first, budget_pack, token_estimate, intent_budget, auto_budget_preset, hotspots, missing_modules)}
 _IDS = "regexp_extract_all(lower({}), '[A-Za-z_][A-Za-z0-9_]{{1,63}}')"
 _WS = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _LINES = "l0 AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]') AS x FROM documents), l1 AS (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS ls FROM l0)"
@@ -105,18 +109,19 @@ ORACLE = {
         p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, g ORDER BY n) AS place FROM i), q AS (SELECT *, CASE kind WHEN 'i' THEN place > 12 WHEN 'c' THEN place > 8 WHEN 'b' THEN place > 1 ELSE false END AS gone FROM p)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT gone) AS kept_lines, count(*) FILTER (WHERE gone AND kind = 'i') AS dropped_imports, count(*) FILTER (WHERE gone AND kind = 'c') AS dropped_comments, count(*) FILTER (WHERE gone AND kind = 'b') AS dropped_blanks,
         sha1(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS content_sha1 FROM q GROUP BY doc_id""",
-    "near_dup_pairs": f"""WITH s AS (SELECT doc_id, list_sort(list_distinct(({_IDS.format('text')})[:400])) AS s FROM documents), c AS (SELECT s, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY s),
+    "near_dup_pairs": f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({_IDS.format('text')})) AS s FROM documents), c AS (SELECT s, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY s),
         w AS (SELECT id, len(s) AS n, unnest(s) AS w FROM c), f AS (SELECT *, count(*) OVER (PARTITION BY w) AS df FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY df, w) AS pos FROM f),
         p AS (SELECT id, n, w FROM r WHERE df > 1 AND pos <= n - ceil(0.82 * n) + 1), j AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y USING (w) WHERE x.id < y.id),
         k AS (SELECT a, b, len(list_intersect(x.s, y.s))::DOUBLE AS i, len(x.s) + len(y.s) AS t FROM j JOIN c x ON x.id = a JOIN c y ON y.id = b)
         SELECT a, b, round(i / (t - i), 6) AS similarity FROM k WHERE i / (t - i) >= 0.82 - 1e-12""",
+    "near_dup_classes": f"WITH s AS (SELECT doc_id, list_sort(list_distinct({_IDS.format('text')})) AS s FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS members FROM s WHERE len(s) > 0",
     "grep_matches": f"""WITH {_LINES}, a AS (SELECT doc_id, ls, generate_subscripts(ls, 1) AS i, unnest(ls) AS t FROM l1), b AS (SELECT *, regexp_extract_all(t, '(?i)(licen[cs]ed?|apache)', 1) AS ms, string_split_regex(t, '(?i)licen[cs]ed?|apache') AS gaps FROM a WHERE regexp_matches(t, '(?i)licen[cs]ed?|apache')),
         c AS (SELECT *, generate_subscripts(ms, 1) AS k, unnest(ms) AS m FROM b)
         SELECT doc_id, i::BIGINT AS line, (list_sum(list_transform(gaps[:k], lambda z: length(z))) + coalesce(list_sum(list_transform(ms[:k - 1], lambda z: length(z))), 0) + 1)::BIGINT AS "column", m AS match, left(t, 400) AS line_text, sha1(left(array_to_string(ls[greatest(1, i - 1):least(len(ls), i + 1)], chr(10)), 1200)) AS snippet_sha1 FROM c""",
     "grep_first": f"""WITH {_LINES}, a AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS t FROM l1), b AS (SELECT *, regexp_extract_all(t, '(?i)idiot') AS ms, string_split_regex(t, '(?i)idiot') AS gaps FROM a WHERE regexp_matches(t, '(?i)idiot')),
         c AS (SELECT *, generate_subscripts(ms, 1) AS k, unnest(ms) AS m FROM b)
         SELECT doc_id, i::BIGINT AS line, (list_sum(list_transform(gaps[:k], lambda z: length(z))) + 5 * (k - 1) + 1)::BIGINT AS "column", m AS match FROM c ORDER BY doc_id, line, "column" LIMIT 50""",
-    "budget_pack": f"""WITH RECURSIVE h AS (SELECT source, length(text) AS c, row_number() OVER (PARTITION BY source ORDER BY {_CASE('text', TOKENS)} DESC, doc_id) AS rn FROM documents QUALIFY rn <= 30),
+    "budget_pack": f"""WITH RECURSIVE h AS (SELECT source, length(text) AS c, row_number() OVER (PARTITION BY source ORDER BY {_CASE('text', TOKENS)} DESC, doc_id) AS rn FROM documents),
         f AS (SELECT source, 0::BIGINT AS rn, 0::BIGINT AS used, 0::BIGINT AS c, false AS taken FROM (SELECT DISTINCT source FROM documents)
               UNION ALL SELECT h.source, h.rn, CASE WHEN used + h.c <= 24000 THEN used + h.c ELSE used END, h.c, used + h.c <= 24000 FROM f JOIN h ON h.source = f.source AND h.rn = f.rn + 1)
         SELECT source, rn AS rank, c AS chars, used FROM f WHERE taken""",
