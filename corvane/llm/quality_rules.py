@@ -4,10 +4,11 @@ A text's words are what lies between blanks and the control characters 9 to 13.
 permille, are symbols per word character, repeated lines per line and immediate word repeats per
 word. Their distribution in each (language, source) is kept as a histogram of whole permilles: a
 quantile sketch of bounded size (1,001 counts a metric) that merges by adding counts, gives the same
-result whatever the partitioning, and is off by less than one permille. A text fails if a metric is
-over its group's threshold, median + 3 x (median - first decile) + the metric's margin; using the
-lower half only keeps the threshold in place while up to half of a group is junk. A group of fewer
-than ``MIN_GROUP`` rows takes its language's sketch, and that of all rows if the language is rare
+result whatever the partitioning, and is off by less than one permille. Sketches are of the texts that
+pass the base rules. A text fails if a metric is over its group's threshold: an upper quantile of the
+group's sketch and a part of that quantile's distance from the median (``RULES``), but no less than the
+metric's ``least``, so that a group of all zeros doesn't reject a text for one mark. A group of fewer
+than ``MIN_GROUP`` such rows takes its language's sketch, and that of all rows if the language is rare
 too. Base rules, the same for all: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEATED`` percent
 of the words in 5-word windows that occur twice or more in the text.
 
@@ -17,7 +18,7 @@ adaptive execution; a skewed group is split otherwise).
 
 Defined cases: a null or empty text has no words and fails the base rules. Null languages and
 sources form groups of their own. Repeated rows are judged alike and count as often as they occur.
-An empty table gives no rows. Other columns are ignored, or kept by ``filter_quality``.
+An empty table gives no rows. ``filter_quality`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 10, 20
 MIN_GROUP = 30
-MARGINS = {"symbol_pm": 30, "dup_line_pm": 400, "stutter_pm": 150}
-SPREAD = 3
+#: Of each metric: the quantile in hundredths, tenths of its distance from the median to add, and the least threshold.
+RULES = {"symbol_pm": (75, 30, 10), "dup_line_pm": (99, 5, 200), "stutter_pm": (95, 30, 20)}
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -82,8 +83,8 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sketches(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Rows per group, metric and permille: columns lang, source, metric, v, n. Merge by adding n."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"q_{m}").alias("v")) for m in MARGINS])
-    rows = measured.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.explode(pairs).alias("s"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"q_{m}").alias("v")) for m in RULES])
+    rows = measured.where("not q_base_failed").select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.explode(pairs).alias("s"))
     return rows.groupBy("lang", "source", "s.metric", "s.v").agg(F.count("*").alias("n"))
 
 
@@ -95,30 +96,34 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "v").agg(F.sum("n").alias("n"))
         # At most 1,001 values a group and metric: (v, n) pairs are folded in place.
         folded = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("rows"))
-        at = lambda tenths: F.expr(f"aggregate(h, named_struct('c', 0L, 'v', cast(null as int)), (a, x) -> named_struct('c', a.c + x.n, 'v', CASE WHEN a.v IS NULL AND (a.c + x.n) * 10 >= rows * {tenths} THEN x.v ELSE a.v END), a -> a.v)")
-        quantiles = folded.select(*keys, "metric", "rows", at(5).alias("mid"), at(1).alias("low"))
-        margin = F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv])
-        limit = F.col("mid") + SPREAD * (F.col("mid") - F.col("low")) + margin[F.col("metric")]
-        found[name] = quantiles.groupBy(*keys).agg(F.max("rows").alias(f"{name}_rows"), *[F.max(F.when(F.col("metric") == m, limit)).alias(f"{name}_{m}") for m in MARGINS])
+        at = lambda hundredths: F.expr(f"aggregate(h, named_struct('c', 0L, 'v', cast(null as int)), (a, x) -> named_struct('c', a.c + x.n, 'v', CASE WHEN a.v IS NULL AND (a.c + x.n) * 100 >= rows * {hundredths} THEN x.v ELSE a.v END), a -> a.v)")
+        rule = F.create_map(*[x for m, r in RULES.items() for x in (F.lit(m), F.struct(*[F.lit(v).alias(n) for n, v in zip(("q", "tenths", "least"), r, strict=True)]))])[F.col("metric")]
+        folded = folded.withColumn("rule", rule)
+        quantiles = folded.select(*keys, "metric", "rows", "rule", at(50).alias("mid"), at("rule.q").alias("high"))
+        limit = F.greatest(F.col("rule.least"), F.col("high") + F.expr("rule.tenths * (high - mid) div 10").cast("int"))
+        found[name] = quantiles.groupBy(*keys).agg(F.max("rows").alias(f"{name}_rows"), *[F.max(F.when(F.col("metric") == m, limit)).alias(f"{name}_{m}") for m in RULES])
     g, lang, every = found["g"], found["l"].withColumnRenamed("lang", "l_lang"), found["a"]
     out = g.join(lang, g.lang.eqNullSafe(lang.l_lang)).join(F.broadcast(every))  # every: one row
     pick = lambda m: F.when(F.col("g_rows") >= MIN_GROUP, F.col(f"g_{m}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
-    return out.select("lang", "source", *[pick(m).alias(f"t_{m}") for m in MARGINS])
+    return out.select("lang", "source", *[pick(m).alias(f"t_{m}") for m in RULES])
 
 
 def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """measured (see ``metrics``; read twice, so best a written table) with boolean column ``q_kept``."""
-    limits = thresholds(sketches(measured, lang_col, source_col)).select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *[F.col(f"t_{m}").alias(f"q_t_{m}") for m in MARGINS])
-    out = measured.join(limits, measured[lang_col].eqNullSafe(limits.q_lang) & measured[source_col].eqNullSafe(limits.q_source), "left")
+    limits = thresholds(sketches(measured, lang_col, source_col)).select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *[F.col(f"t_{m}").alias(f"q_t_{m}") for m in RULES])
+    out = measured.join(limits, F.col(lang_col).eqNullSafe(F.col("q_lang")) & F.col(source_col).eqNullSafe(F.col("q_source")), "left")
     fine = ~F.col("q_base_failed")
-    for m in MARGINS:
+    for m in RULES:
         fine = fine & (F.col(f"q_{m}") <= F.coalesce(f"q_t_{m}", F.lit(1000)))
     return out.withColumn("q_kept", fine)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that pass, with all their columns. The measured rows are written once."""
-    return judge(written(metrics(docs, text_col), "quality"), lang_col, source_col).where("q_kept").select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"))
+    inside = lambda c: f"q_row.`{c}`"
+    kept = judge(written(metrics(rows, inside(text_col)), "quality"), inside(lang_col), inside(source_col)).where("q_kept")
+    return kept.select("q_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +153,16 @@ q7 AS (SELECT q0.rid, lang, source, len(ws)::BIGINT AS n_words, length(array_to_
 q8 AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          least(n_symbols * 1000 // greatest(word_chars, 1), 1000) AS m1, least(n_dup_lines * 1000 // greatest(n_lines, 1), 1000) AS m2,
          least(stutter * 1000 // greatest(n_words, 1), 1000) AS m3 FROM q7),
-q9 AS (SELECT lang, source, 1 AS m, m1 AS v FROM q8 UNION ALL SELECT lang, source, 2, m2 FROM q8 UNION ALL SELECT lang, source, 3, m3 FROM q8),
+q9 AS (SELECT lang, source, unnest([1, 2, 3]) AS m, unnest([m1, m2, m3]) AS v FROM q8 WHERE NOT base_failed),
 q10 AS (SELECT grouping(lang, source) AS lv, lang, source, m, v, count(*) AS n FROM q9 GROUP BY GROUPING SETS ((lang, source, m, v), (lang, m, v), (m, v))),
 q11 AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, m ORDER BY v) AS c, sum(n) OVER (PARTITION BY lv, lang, source, m) AS t FROM q10),
-q12 AS (SELECT lv, lang, source, m, max(t) AS t, min(v) FILTER (WHERE c * 10 >= t * 5) AS mid, min(v) FILTER (WHERE c * 10 >= t) AS low FROM q11 GROUP BY lv, lang, source, m),
-q13 AS (SELECT *, mid + 3 * (mid - low) + CASE m WHEN 1 THEN 30 WHEN 2 THEN 400 ELSE 150 END AS lim FROM q12),
+q12 AS (SELECT lv, lang, source, m, max(t) AS t, min(v) FILTER (WHERE c * 100 >= t * 50) AS mid, min(v) FILTER (WHERE c * 100 >= t * [75, 99, 95][m]) AS high FROM q11 GROUP BY lv, lang, source, m),
+q13 AS (SELECT *, greatest([10, 200, 20][m], high + [30, 5, 30][m] * (high - mid) // 10) AS lim FROM q12),
 q14 AS (SELECT g.lang, g.source, g.m, CASE WHEN g.t >= 30 THEN g.lim WHEN l.t >= 30 THEN l.lim ELSE a.lim END AS lim
         FROM q13 g JOIN q13 l ON g.m = l.m AND g.lang IS NOT DISTINCT FROM l.lang AND l.lv = 1 JOIN q13 a ON g.m = a.m AND a.lv = 3 WHERE g.lv = 0),
 q15 AS (SELECT lang, source, max(lim) FILTER (WHERE m = 1) AS t1, max(lim) FILTER (WHERE m = 2) AS t2, max(lim) FILTER (WHERE m = 3) AS t3 FROM q14 GROUP BY lang, source),
-judged AS (SELECT q8.*, NOT base_failed AND m1 <= t1 AND m2 <= t2 AND m3 <= t3 AS kept
-           FROM q8 JOIN q15 ON q8.lang IS NOT DISTINCT FROM q15.lang AND q8.source IS NOT DISTINCT FROM q15.source)
+judged AS (SELECT q8.*, NOT base_failed AND m1 <= coalesce(t1, 1000) AND m2 <= coalesce(t2, 1000) AND m3 <= coalesce(t3, 1000) AS kept
+           FROM q8 LEFT JOIN q15 ON q8.lang IS NOT DISTINCT FROM q15.lang AND q8.source IS NOT DISTINCT FROM q15.source)
 """
 ORACLE = {
     "op10_quality_rules": "WITH docs0 AS (SELECT * FROM documents)," + JUDGED_SQL

@@ -450,7 +450,7 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
         return _table(rows, ["shard", "bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def cut(key, table, reply):
-        names, types = ["doc_id", "kept", "spans", "extra"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        names, types = ["doc_id", "kept", "whole", "spans", "extra"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
         ids, texts = _shard(table)
         said = [(b, x) for b, x, kind in zip(*(reply.column(c).to_pylist() for c in ("bucket", "bits", "kind")), strict=True) if kind == 1]
         first_reply = reply.filter(pc.equal(reply.column("kind"), 0))
@@ -484,13 +484,19 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
         rows = []
         for i, (d, text, extra) in enumerate(_rows(table)):
             t = text.encode("utf-8", "surrogatepass")
-            kept, spans = t, []
+            kept, whole, spans = t, None, []
             if i in marks:
                 gone = np.cumsum(marks[i])[:-1] > 0
                 edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
                 spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            rows.append((d, kept, spans, extra))
+                letters = np.frombuffer(t, np.uint8)
+                kept = letters[~gone].tobytes()
+                # Characters that a span cuts into: their other bytes go too.
+                begin = np.flatnonzero((letters & 0xC0) != 0x80)
+                cut_into = np.repeat(np.logical_or.reduceat(gone, begin), np.diff(np.r_[begin, len(letters)]))
+                if (cut_into & ~gone).any():
+                    whole = letters[~cut_into].tobytes()
+            rows.append((d, kept, whole, spans, extra))
         return _table(rows, names, types)
 
     told = "shard long, bucket long, bits binary, hot binary"
@@ -500,11 +506,12 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
     second = by_shard.cogroup(first.groupBy("shard")).applyInArrow(runs, "bucket long, shard long, sizes binary, ids binary, data binary")
     last = second.groupBy("bucket").applyInArrow(smaller, told)
     both = first.withColumn("kind", F.lit(0)).union(last.withColumn("kind", F.lit(1)))
-    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, kept binary, spans array<long>, extra string")
+    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, kept binary, whole binary, spans array<long>, extra string")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None, shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
-    """Every row's id_col, ``kept`` (the remaining bytes), ``spans`` (begin, end, begin, end... in bytes)
+    """Every row's id_col, ``kept`` (the remaining bytes), ``whole`` (the remaining whole characters' bytes,
+    where a span cuts into a character; else null), ``spans`` (begin, end, begin, end... in bytes)
     and ``extra`` (a text that goes along with the row; null unless given)."""
     extra = F.lit(None) if extra is None else extra
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), extra.cast("string").alias("extra"))
@@ -518,14 +525,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with the repeated bytes taken out of their texts; a character that is cut into is dropped.
 
     The other columns travel with their row as JSON, so texts aren't joined again. Null texts become empty.
+    Ids are whole numbers (strings of digits are read as such); columns may have any names.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    out = repeats(docs, id_col, text_col, F.to_json(F.struct(*[F.col(c) for c in rest])) if rest else None)
-    whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    whole = F.replace(whole, F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(whole)
-    columns = {c: F.col(f"x.{c}") for c in rest} | {id_col: F.col(id_col).cast(docs.schema[id_col].dataType), text_col: text}
+    out = repeats(docs, id_col, text_col, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])) if rest else None)
+    text = F.coalesce("whole", "kept").cast("string")
+    columns = {c: F.col(f"x.`{c}`") for c in rest} | {id_col: F.col(id_col).cast(docs.schema[id_col].dataType), text_col: text}
     if rest:
         out = out.withColumn("x", F.from_json("extra", types))
     return out.select(*[columns[c].alias(c) for c in docs.columns])

@@ -157,7 +157,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n) for y, n in ((1, SAMPLE[0]), (0, SAMPLE[1]))]
     ids = picked[0].union(picked[1])
     found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(ids), id_col)
-    return sorted((r.t, r.y) for r in found.dropDuplicates([id_col]).select("t", "y").collect())
+    # Of an id's several texts the smallest is taken, so that a model doesn't depend on partitions.
+    return sorted((r.t, r.y) for r in found.groupBy(id_col).agg(F.min("t").alias("t"), F.first("y").alias("y")).select("t", "y").collect())
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

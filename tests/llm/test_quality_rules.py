@@ -43,3 +43,20 @@ def test_empty_and_repeated(spark):
     assert judge(metrics(spark.createDataFrame([], schema))).count() == 0
     row = (1, "a b c d e f g h i j k", "en", None)
     assert filter_quality(spark.createDataFrame([row, row], schema)).count() == 2
+
+
+def test_columns_of_any_name(spark):
+    schema = "doc_id long, text string, lang string, source string, q_w int, q_kept string, `a.b` int"
+    row = (1, "a b c d e f g h i j k", "en", None, 5, "x", 6)
+    assert filter_quality(spark.createDataFrame([row], schema)).collect() == [row]
+
+
+def test_thresholds_differ_between_groups():
+    """On the given tables the thresholds of most languages and sources aren't the least ones."""
+    import duckdb
+
+    from corvane.llm.quality_rules import JUDGED_SQL
+
+    sql = f"WITH docs0 AS (SELECT * FROM '/root/testdata/sf0.01/documents.parquet'),{JUDGED_SQL} SELECT count(*), count(DISTINCT t3), count(*) FILTER (t1 > 10 OR t2 > 200 OR t3 > 20) FROM q15"
+    groups, stutter, moved = duckdb.sql(sql).fetchall()[0]
+    assert stutter > 5 and moved > groups / 2
