@@ -1,6 +1,6 @@
 """Extraction of symbols, references and dependencies from source text.
 
-Python sources are parsed with the standard ``ast`` module in ``mapInPandas`` tasks, all three
+Python sources are parsed with the standard ``ast`` module in ``mapInArrow`` tasks, all three
 relations in one pass; TypeScript and JavaScript are read line by line with native expressions.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +21,10 @@ IDENT = "[A-Za-z_$][A-Za-z0-9_$]*"
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "function", "return"]
 ROW = (
     "file string, relation string, symbol string, kind string, qualified_name string, scope string, scope_depth int, line_start int, line_end int, signature string, return_type string, "
-    "parameters array<string>, decorators array<string>, bases array<string>, target string, edge_type string, confidence double"
+    "parameters array<string>, decorators array<string>, bases array<string>, relation_targets array<string>, attributes array<string>, target string, edge_type string, confidence double"
 )
-NAMES = [c.split(" ")[0] for c in ROW.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(c.split(" ")[0], _KINDS[c.split(" ")[1]]) for c in ROW.split(", ")])
 
 
 def _unique(items) -> list[str]:
@@ -34,33 +35,48 @@ def _callee(node: ast.expr) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
 
 
+def _names(target: ast.expr) -> list[str]:
+    """Names that an assignment's target binds, those within tuples and lists too."""
+    if isinstance(target, ast.Name):
+        return [target.id]
+    if isinstance(target, ast.Starred):
+        return _names(target.value)
+    return [n for x in target.elts for n in _names(x)] if isinstance(target, ast.Tuple | ast.List) else []
+
+
+def _parameters(a: ast.arguments) -> list[str]:
+    star = [f"*{a.vararg.arg}"] if a.vararg else []
+    return [x.arg for x in [*a.posonlyargs, *a.args]] + star + [x.arg for x in a.kwonlyargs] + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
+
+
 def _symbols(tree: ast.Module, file: str) -> Iterator[dict]:
-    """Classes, functions, methods, and variables outside functions, with their dotted scope."""
-    stack = [(node, (), "module") for node in reversed(tree.body)]
+    """Classes, functions, methods, and variables outside functions, with their dotted scope; blocks of any kind are gone into."""
+    stack = [(node, (), ()) for node in reversed(list(ast.iter_child_nodes(tree)))]
     while stack:
-        node, scope, inside = stack.pop()
+        node, scope, kinds = stack.pop()
         base = {"file": file, "relation": "symbol", "scope": ".".join(scope), "scope_depth": len(scope), "line_start": getattr(node, "lineno", 1), "line_end": getattr(node, "end_lineno", None) or getattr(node, "lineno", 1)}
         if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            row = base | {"symbol": node.name, "qualified_name": ".".join((*scope, node.name)), "decorators": _unique(ast.unparse(x) for x in node.decorator_list)}
+            decorators = _unique(ast.unparse(x) for x in node.decorator_list)
+            row = base | {"symbol": node.name, "qualified_name": ".".join((*scope, node.name)), "decorators": decorators}
+            attributes = ["decorated"] if decorators else []
             if isinstance(node, ast.ClassDef):
-                bases = _unique(ast.unparse(b) for b in node.bases)
-                yield row | {"kind": "class", "bases": bases, "signature": f"class {node.name}({', '.join(bases)})" if bases else f"class {node.name}"}
+                kind, bases = "class", _unique(ast.unparse(b) for b in node.bases)
+                row |= {"bases": bases, "relation_targets": bases, "signature": f"class {node.name}({', '.join(bases)})" if bases else f"class {node.name}"}
             else:
-                a = node.args
-                params = [x.arg for x in [*a.posonlyargs, *a.args]] + ([f"*{a.vararg.arg}"] if a.vararg else []) + [x.arg for x in a.kwonlyargs] + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
-                back = ast.unparse(node.returns) if node.returns else ""
-                head = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-                yield row | {"kind": "method" if inside == "class" else "function", "parameters": _unique(params), "return_type": back, "signature": f"{head} {node.name}({', '.join(params)})" + (f" -> {back}" if back else "")}
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            stack += [(x, (*scope, node.name), kind) for x in reversed(node.body)]
-        elif isinstance(node, ast.Assign | ast.AnnAssign) and inside != "function":
-            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            for t in targets:
-                if isinstance(t, ast.Name):
-                    yield base | {"symbol": t.id, "kind": "variable", "qualified_name": ".".join((*scope, t.id)), "return_type": ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else ""}
-        elif isinstance(node, ast.If | ast.Try | ast.With | ast.For | ast.While):
-            inner = [*node.body, *getattr(node, "orelse", []), *getattr(node, "finalbody", []), *(y for h in getattr(node, "handlers", []) for y in h.body)]
-            stack += [(x, scope, inside) for x in reversed(inner)]
+                kind = "method" if kinds[-1:] == ("class",) else "function"
+                params, back = _parameters(node.args), ast.unparse(node.returns) if node.returns else ""
+                is_async = isinstance(node, ast.AsyncFunctionDef)
+                attributes = ["async"] * is_async + attributes + ["bound_to_class"] * (kind == "method")
+                row |= {"parameters": _unique(params), "return_type": back, "signature": f"{'async ' * is_async}def {node.name}({', '.join(params)})" + (f" -> {back}" if back else "")}
+            yield row | {"kind": kind, "attributes": attributes}
+            stack += [(x, (*scope, node.name), (*kinds, kind)) for x in reversed(list(ast.iter_child_nodes(node)))]
+        elif isinstance(node, ast.Assign | ast.AnnAssign):
+            if not set(kinds) & {"function", "method"}:
+                said = ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else ""
+                for name in _unique(n for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) for n in _names(t)):
+                    yield base | {"symbol": name, "kind": "variable", "qualified_name": ".".join((*scope, name)), "return_type": said, "signature": f"{name}: {said}" if said else name}
+        else:
+            stack += [(x, scope, kinds) for x in reversed(list(ast.iter_child_nodes(node)))]
 
 
 def _links(tree: ast.Module, file: str) -> Iterator[dict]:
@@ -83,23 +99,30 @@ def python_rows(file: str, text: str | None) -> list[dict]:
     return [*_symbols(tree, file), *_links(tree, file)]
 
 
-def extract_python(files: DataFrame, path: str = "file", text: str = "text") -> DataFrame:
-    """Symbols, references and dependencies (column ``relation``) of Python sources, one pass."""
+def extract_python(files: DataFrame, path: str = "file", text: str = "text", max_mb: float = 10.0) -> DataFrame:
+    """Symbols, references and dependencies (column ``relation``) of Python sources, one pass.
+
+    A source over ``max_mb`` gives one row of relation ``error``; one that can't be parsed gives none.
+    Symbols are distinct by qualified name, kind and lines; a line_end before its line_start is lifted to it.
+    """
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [r for p, t in zip(f[path], f[text], strict=True) for r in python_rows(p, t)]
-            out = pd.DataFrame(rows, columns=NAMES)
-            for c in ("scope_depth", "line_start", "line_end"):
-                out[c] = out[c].astype("Int32")
-            yield out.astype({c: object for c in ("parameters", "decorators", "bases")}).where(out.notna(), None)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[dict] = []
+            for file, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if source is not None and len(source) > max_mb * (1 << 20):
+                    rows.append({"file": file, "relation": "error", "symbol": "file_too_large", "line_start": 1, "line_end": 1})
+                    continue
+                found = {(r.get("qualified_name"), r.get("kind"), r["line_start"], r.get("line_end"), r.get("target"), i if r["relation"] != "symbol" else 0): r for i, r in enumerate(python_rows(file, source))}
+                rows += found.values()
+            yield from pa.Table.from_pylist(rows, schema=_ARROW).to_batches()
 
-    return files.select(path, text).mapInPandas(of, ROW)
+    return files.select(path, text).mapInArrow(of, ROW)
 
 
 def ts_symbols(files: DataFrame, key: str, text: str) -> DataFrame:
     """Symbols of TypeScript and JavaScript sources: the first rule that fits a line wins."""
-    rules = [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+({IDENT})"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({IDENT})"), ("interface", rf"^\s*(?:export\s+)?interface\s+({IDENT})"), ("alias", rf"^\s*(?:export\s+)?type\s+({IDENT})\s*="), ("variable", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({IDENT})")]
+    rules = [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+({IDENT})"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({IDENT})"), ("interface", rf"^\s*(?:export\s+)?interface\s+({IDENT})"), ("alias", rf"^\s*(?:export\s+)?type\s+({IDENT})"), ("variable", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({IDENT})")]
     kinds = {"interface": "type", "alias": "type"}
     rows = files.select(key, F.posexplode(lines(text)).alias("n", "line"))
     name = F.coalesce(*[F.nullif(F.regexp_extract("line", rx, 1), F.lit("")) for _, rx in rules])

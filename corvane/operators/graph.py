@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage into the folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """Cuts lineage into the folder of spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in one process (tests)."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-checkpoint-"))
     return df.checkpoint()
 
@@ -47,17 +49,17 @@ def levels(graph: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def reachable(graph: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Everything reached from the starts along src -> dst, with its distance: node, level."""
+def reachable(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Everything reached from the starts along src -> dst, with its distance: node, level. Raises if a path is longer than max_rounds."""
     graph = _checkpoint(graph.select("src", "dst").distinct())
     seen = frontier = _checkpoint(starts.select("node").distinct().withColumn("level", F.lit(0)))
     for k in range(1, max_rounds + 1):
         nxt = graph.join(frontier, graph.src == frontier.node).select(F.col("dst").alias("node")).distinct()
         frontier = _checkpoint(nxt.join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
         if not frontier.limit(1).count():
-            break
+            return seen
         seen = _checkpoint(seen.union(frontier))
-    return seen
+    raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")
 
 
 def inheritance(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,23 +79,50 @@ def dependencies_both(edges: DataFrame) -> DataFrame:
     return out.join(back, "file", "full").select("file", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
 
 
-def resolve_dependencies(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Resolve edge_to to files: the exact path, else a path relative to the importing file (``./``, ``../``), else
-    the longest dotted prefix that names a module. edges: edge_from, edge_to; files: path. Returns edge_from, target.
+# Endings of source files, and names that stand for their folder.
+ENDINGS = [".py", ".ts", ".tsx", ".js", ".jsx"]
+FOLDER_NAMES = ["index", "__init__"]
+
+
+def module_aliases(files: DataFrame) -> DataFrame:
+    """Names by which a file can be imported: alias, path. files: path."""
+    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    name, parent = F.element_at(F.split(stem, "/"), -1), F.regexp_replace(stem, "/?[^/]*$", "")
+    dotted = lambda c: F.replace(c, F.lit("/"), F.lit("."))
+    folder = F.when((name == "__init__") & (parent != ""), F.array(parent, dotted(parent))).when((name == "index") & (parent != ""), F.array(parent))
+    names = F.concat(F.array(stem, F.col("path"), dotted(stem), dotted(F.col("path")), name), F.coalesce(folder, F.array().cast("array<string>")))
+    out = files.select("path", F.explode(names).alias("a")).select(F.btrim("a", F.lit(".")).alias("alias"), "path")
+    return out.where("alias <> ''").distinct()
+
+
+def resolve_dependencies(edges: DataFrame, files: DataFrame, app_root: str = "src/frontend/src/") -> DataFrame:
+    """Resolve edge_to to files: the exact path; else, if it starts with a dot, the paths relative to the importing
+    file (``./``, ``../``, or one dot and one more for each folder up); else ``@/`` below ``app_root``; else all files
+    that the name, or any dotted prefix of it, is an alias of. edges: edge_from, edge_to; files: path. Returns edge_from, target.
     """
-    stem = F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/__init__$", "")
-    alias = files.select("path", F.explode(F.array_distinct(F.array(F.struct(F.col("path").alias("a"), F.lit(0).alias("kind")), F.struct(stem.alias("a"), F.lit(1).alias("kind")), F.struct(F.regexp_replace(stem, "/", ".").alias("a"), F.lit(2).alias("kind"))))).alias("x")).select("path", "x.a", "x.kind")
-    folder = F.regexp_replace("edge_from", "[^/]*$", "")
-    up = F.size(F.regexp_extract_all("edge_to", F.lit(r"\.\./"), F.lit(0)))
-    parts = F.split(F.regexp_replace(folder, "/$", ""), "/")
-    above = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - up, F.lit(0))), "/")
-    rest = F.regexp_replace("edge_to", r"^(\./|\.\./)+", "")
-    relative = F.when(F.col("edge_to").rlike(r"^\.\.?/"), F.when(above == "", rest).otherwise(F.concat(above, F.lit("/"), rest)))
-    dotted = F.when(~F.col("edge_to").contains("/"), F.split("edge_to", r"\."))
-    prefixes = F.when(dotted.isNotNull(), F.expr("transform(sequence(size(split(edge_to, '[.]')), 1), k -> struct(array_join(slice(split(edge_to, '[.]'), 1, k), '.') AS a, 2 + size(split(edge_to, '[.]')) - k AS pr))"))
-    none = F.array().cast("array<struct<a:string,pr:int>>")
-    cands = F.concat(F.array(F.struct(F.col("edge_to").alias("a"), F.lit(0).alias("pr"))), F.when(relative.isNotNull(), F.array(F.struct(relative.alias("a"), F.lit(1).alias("pr")))).otherwise(none), F.coalesce(prefixes, none))
-    tried = edges.select("edge_from", "edge_to", F.explode(cands).alias("c")).select("edge_from", "edge_to", "c.a", "c.pr")
-    found = tried.join(alias, "a").where("path <> edge_from")
-    best = Window.partitionBy("edge_from", "edge_to")
-    return found.withColumn("first", F.min("pr").over(best)).where("pr = first").select("edge_from", F.col("path").alias("target")).distinct()
+    to = F.regexp_replace(F.replace(F.trim("edge_to"), F.lit("\\"), F.lit("/")), r"^\./(?=[^./])", "./")
+    e = edges.select("edge_from", to.alias("to")).where("to <> ''").distinct()
+    parts = F.split(F.regexp_replace("edge_from", "/?[^/]*$", ""), "/")
+    dots = ~F.col("to").contains("/")  # of a name with leading dots: one for the folder itself
+    up = F.when(dots, F.char_length(F.regexp_extract("to", r"^(\.+)", 1)) - 1).otherwise(F.size(F.regexp_extract_all(F.regexp_extract("to", r"^((\.\.?/)+)", 1), F.lit(r"\.\./"), F.lit(0))))
+    rest = F.when(dots, F.replace(F.regexp_replace("to", r"^\.+", ""), F.lit("."), F.lit("/"))).otherwise(F.regexp_replace("to", r"^(\.\.?/)+", ""))
+    base = F.array_join(F.filter(F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - up, F.lit(0))), F.array(rest)), lambda x: x != ""), "/")
+    tails = [*ENDINGS, *(f"/{n}{x}" for n in FOLDER_NAMES for x in ENDINGS)]
+    relative = F.when(base.rlike(r"\.[^./]+$"), F.array(base)).otherwise(F.transform(F.array(*[F.lit(x) for x in tails]), lambda x: F.concat(base, x)))
+    dotted = F.btrim(F.replace("to", F.lit("/"), F.lit(".")), F.lit("."))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split(dotted, r"\."))), lambda k: F.array_join(F.slice(F.split(dotted, r"\."), 1, k), "."))
+    names = F.concat(F.array(F.col("to"), F.replace("to", F.lit("."), F.lit("/")), F.btrim("to", F.lit("/"))), prefixes, F.transform(prefixes, lambda x: F.replace(x, F.lit("."), F.lit("/"))))
+    ranked = lambda xs, n: F.transform(xs, lambda x: F.struct(x.alias("alias"), F.lit(n).alias("pr")))
+    none = F.array().cast("array<struct<alias:string,pr:int>>")
+    tried = F.concat(
+        ranked(F.array(F.col("to")), 0),
+        F.when(F.startswith("to", F.lit(".")), ranked(relative, 1)).otherwise(none),
+        F.when(F.startswith("to", F.lit("@/")), ranked(F.array(F.concat(F.lit(app_root), F.substring("to", 3, 1 << 20))), 2)).otherwise(none),
+        F.when(~F.startswith("to", F.lit(".")), ranked(F.array_distinct(names), 3)).otherwise(none),
+    )
+    tries = e.select("edge_from", "to", F.explode(tried).alias("t")).select("edge_from", "to", "t.alias", "t.pr")
+    # The first two ways name paths themselves, the others aliases.
+    whole = tries.where("pr < 2").join(files.select(F.col("path").alias("alias"), "path").distinct(), "alias")
+    by_name = tries.where("pr >= 2").join(module_aliases(files), "alias")
+    found = whole.unionByName(by_name).withColumn("first", F.min("pr").over(Window.partitionBy("edge_from", "to")))
+    return found.where("pr = first").select("edge_from", F.col("path").alias("target")).distinct()

@@ -39,9 +39,10 @@ def called_by(symbols: DataFrame, references: DataFrame, most: int = 20) -> Data
 
 
 def is_test_file(path: str | Column) -> Column:
-    p = F.lower(F.col(path) if isinstance(path, str) else path)
+    """Below a tests folder, named test_*, *_test.py, or *.test and *.spec of .ts and .tsx."""
+    p = F.lower(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/")))
     name = F.element_at(F.split(p, "/"), -1)
-    return F.contains(p, F.lit("/tests/")) | F.contains(p, F.lit("/__tests__/")) | F.startswith(name, F.lit("test_")) | name.rlike(r"(_test|\.test|\.spec)\.[a-z]+$")
+    return F.contains(p, F.lit("/tests/")) | F.startswith(name, F.lit("test_")) | name.rlike(r"(_test\.py|\.(test|spec)\.tsx?)$")
 
 
 def name_tokens(path: str) -> Column:

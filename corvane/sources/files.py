@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.operators.state import merge_on_read, needs_compaction
 
 # Folders that content search leaves out.
-EXCLUDED_DIRS = [".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache"]
+EXCLUDED_DIRS = [".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache"]
 # Languages by file ending.
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".java": "java", ".go": "go", ".rs": "rust"}
 

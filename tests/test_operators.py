@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import budget, extract, graph, rank, snippets, state, symbols
+from corvane.operators import budget, extract, graph, jobs, rank, relations, snippets, state, symbols
 
 SYM = "symbol string, qualified_name string, kind string, file string, line_start int, line_end int"
 
@@ -30,16 +30,18 @@ def test_score_of_a_file(spark):
     """Nine signals: 0.816111 for the fixture."""
     t = ["payment", "processor", "retry"]
     files = spark.createDataFrame([("p.py",), ("other.py",)], "file string")
-    sy = spark.createDataFrame([("payment_processor", "def payment_processor(retry)", "p.py", 1, 9), ("retry_payment", "def retry_payment(processor)", "p.py", 11, 20)], "symbol string, signature string, file string, line_start int, line_end int")
-    refs = spark.createDataFrame([("p.py", "payment_retry"), ("p.py", "processor")], "file string, target_symbol string")
+    rows = [("PaymentProcessor", "core.PaymentProcessor", "class PaymentProcessor extends BaseProcessor", ["BaseProcessor", "RetryPolicy"], "class", "p.py", 10, 80), ("run_retry", "core.PaymentProcessor.run_retry", "def run_retry(payment_id: str) -> bool", None, "method", "p.py", 90, 110)]
+    sy = spark.createDataFrame(rows, "symbol string, qualified_name string, signature string, relation_targets array<string>, kind string, file string, line_start int, line_end int")
+    refs = spark.createDataFrame([("p.py", "run_retry", "retry"), ("p.py", "run_retry", "processor")], "file string, source_symbol string, target_symbol string")
     deps = spark.createDataFrame([("p.py", "payment.models")], "edge_from string, edge_to string")
     tests = spark.createDataFrame([("t.py", "p.py")], "test_file string, owns_file string")
     got = {r.file: r for r in rank.score_files(files, sy, refs, deps, tests, t, ["p.py"]).collect()}
     r = got["p.py"]
-    assert r.s_symbol == r.s_signature == r.s_reference == 1 and r.s_dependency == pytest.approx(1 / 3) and r.s_syntax_unit == 0.5 and r.s_test == pytest.approx(1 / 3)
-    structural = r.s_structural
-    assert r.score == pytest.approx(0.24 + 0.2 + 0.13 / 3 + 0.12 + 0.1 / 3 + 0.08 * structural + 0.015 + 0.12, abs=1e-6)
-    assert got["other.py"].score == 0
+    assert r.score == 0.816111 and r.s_structural == pytest.approx(2 / 3.6) and r.s_syntax_unit == 0.5
+    assert r.reasons == ["symbol_match", "signature_match", "reference_proximity", "dependency_impact", "structural_match", "syntax_unit_coverage", "test_relevance", "changed_file"]
+    assert got["other.py"].score == 0 and got["other.py"].reasons == ["baseline"]
+    near = spark.createDataFrame([("other.py", 0.7)], "file string, proximity double")
+    assert {r.file: r.score for r in rank.score_files(files, sy, refs, deps, tests, t, [], near).collect()} == {"p.py": 0.696111, "other.py": 0.07}
 
 
 def test_relation_graph_and_proximity(spark):
@@ -67,9 +69,55 @@ def test_inheritance_and_dependencies(spark):
 
 
 def test_resolved_dependencies(spark):
-    files = spark.createDataFrame([("src/a.py",), ("src/pkg/__init__.py",), ("src/pkg/b.py",), ("web/x.ts",), ("web/lib/y.ts",)], "path string")
-    e = spark.createDataFrame([("src/a.py", "src.pkg.b.thing"), ("web/x.ts", "./lib/y"), ("web/lib/y.ts", "../x"), ("src/pkg/b.py", "src/a.py"), ("src/a.py", "nowhere")], "edge_from string, edge_to string")
-    assert {(r.edge_from, r.target) for r in graph.resolve_dependencies(e, files).collect()} == {("src/a.py", "src/pkg/b.py"), ("web/x.ts", "web/lib/y.ts"), ("web/lib/y.ts", "web/x.ts"), ("src/pkg/b.py", "src/a.py")}
+    paths = ["src/a.py", "src/auth.py", "src/auth/login.py", "src/pkg/__init__.py", "src/pkg/b.py", "web/x.ts", "web/lib/y.ts", "web/lib/index.ts", "src/frontend/src/app/z.ts"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = [("src/a.py", "src.pkg.b.thing", {"src/pkg/b.py", "src/pkg/__init__.py"}), ("src/a.py", "src.auth.login", {"src/auth/login.py", "src/auth.py"}), ("web/x.ts", "./lib/y", {"web/lib/y.ts"}), ("web/x.ts", "./lib", {"web/lib/index.ts"}), ("web/lib/y.ts", "../x", {"web/x.ts"}), ("src/pkg/b.py", "..auth", {"src/auth.py"}), ("src/pkg/b.py", ".", {"src/pkg/__init__.py"}), ("src/pkg/b.py", "src/a.py", {"src/a.py"}), ("web/x.ts", "@/app/z", {"src/frontend/src/app/z.ts"}), ("src/a.py", "nowhere", set())]
+    for source, to, want in rows:
+        e = spark.createDataFrame([(source, to)], "edge_from string, edge_to string")
+        assert {r.target for r in graph.resolve_dependencies(e, files).collect()} == want, to
+
+
+def test_relation_links(spark):
+    sym = spark.createDataFrame([("Service", "svc.Service", ["Base"], "svc.py"), ("Base", "core.Base", [], "core.py"), ("run", "main.run", None, "main.py")], "symbol string, qualified_name string, relation_targets array<string>, file string")
+    refs = spark.createDataFrame([("main.py", "Service"), ("main.py", "Service"), ("core.py", "Base")], "file string, target_symbol string")
+    deps = spark.createDataFrame([("main.py", "svc"), ("svc.py", ".core")], "edge_from string, edge_to string")
+    files = spark.createDataFrame([("svc.py",), ("core.py",), ("main.py",)], "path string")
+    got = {(r.src, r.dst): r.w for r in relations.relation_links(sym, refs, deps, files).groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("w")).collect()}
+    assert got == {("main.py", "svc.py"): 2.8, ("svc.py", "core.py"): 1.5, ("core.py", "svc.py"): 1.0}
+    g = graph.relation_graph(relations.relation_links(sym, refs, deps, files))
+    nodes, links = relations.call_graph(g, spark.createDataFrame([("main.py",)], "node string"), 1, "down", sym)
+    assert {(r.node, r.level, r.symbol_count) for r in nodes.collect()} == {("main.py", 0, 1), ("svc.py", 1, 1), ("core.py", 2, 1)} and links.count() == 2
+    c = relations.candidate_files(sym, refs, deps, spark.createDataFrame([], "test_file string, owns_file string"), ["svc.py"])
+    assert [(r.path, r.changed) for r in c.collect()] == [("svc.py", True), ("core.py", False), ("main.py", False)]
+    seeds = relations.seed_files(c, ["svc.py"], ["cor"])
+    assert {r.node for r in seeds.collect()} == {"svc.py", "core.py"}
+    placed = c.withColumn("place", F.col("path"))
+    assert [r.path for r in relations.expand_candidates(placed, g, spark.createDataFrame([("svc.py",)], "node string")).collect()] == ["svc.py", "core.py", "main.py"]
+
+
+def test_inheritance_tree_with_a_cycle(spark):
+    rows = [("Root", "m.Root", []), ("A", "m.A", ["Root", "C"]), ("B", "m.B", ["m.A"]), ("C", "m.C", ["b"]), ("IRepo", "IRepo", ["Protocol"])]
+    tree = relations.inheritance_tree(spark.createDataFrame(rows, "symbol string, qualified_name string, bases array<string>")).collect()
+    assert {(r.root, r.node, r.depth, r.circular) for r in tree} == {("m.Root", "m.Root", 0, False), ("m.Root", "m.A", 1, False), ("m.Root", "m.B", 2, False), ("m.Root", "m.C", 3, False), ("m.Root", "m.A", 4, True), ("IRepo", "IRepo", 0, False)}
+
+
+def test_symbol_context_and_tests(spark):
+    text = "\n".join(f"line {i}" for i in range(1, 31))
+    sym = spark.createDataFrame([("pay", "core.pay", "core.py", 10, 12), ("main", "app.main", "app.py", 2, 3), ("check", "u.check", "u.py", 1, 1), ("test_pay", "t.test_pay", "tests/test_core.py", 5, 6)], "symbol string, qualified_name string, file string, line_start int, line_end int")
+    refs = spark.createDataFrame([("main", "pay"), ("pay", "check")], "source_symbol string, target_symbol string")
+    texts = spark.createDataFrame([(f, text) for f in ("core.py", "app.py", "u.py", "tests/test_core.py")], "file string, text string")
+    got = [(r.type, r.name, r.file, r.line_start, r.line_end) for r in relations.symbol_context(sym, refs, texts, "pay").collect()]
+    assert got == [("definition", "pay", "core.py", 5, 17), ("usage", "main", "app.py", 1, 6), ("callee", "check", "u.py", 1, 4), ("test", "test_pay", "tests/test_core.py", 2, 9)]
+
+
+def test_impact(spark):
+    texts = spark.createDataFrame([("a.py", "x"), ("b.py", "import A_mod.a"), ("c.py", "nothing here")], "path string, text string")
+    none = spark.createDataFrame([], "edge_from string, target string")
+    assert {r.node for r in relations.impacted_files(none, ["a_mod/a.py"], texts).collect()} == {"a_mod/a.py", "b.py"} | {"c.py", "a.py"} - {"a.py", "c.py"} | set()
+    chain = spark.createDataFrame([(f"f{i + 1}", f"f{i}") for i in range(12)], "edge_from string, target string")
+    assert relations.impacted_files(chain, ["f0"]).count() == 13
+    with pytest.raises(RuntimeError):
+        graph.reachable(chain.select(F.col("target").alias("src"), F.col("edge_from").alias("dst")), spark.createDataFrame([("f0",)], "node string"), max_rounds=5)
 
 
 def test_patterns(spark):
@@ -132,3 +180,46 @@ def test_extraction(spark):
     assert got == {"Service": ("class", ["Base", "Runner"], ["T"]), "Runner": ("type", ["Job"], []), "a": ("variable", [], [])}
     assert {(r.target, r.line) for r in extract.ts_calls(t, "k", "t").collect()} == {("require", 3), ("f", 3)}
     assert {(r.target, r.edge_type) for r in extract.ts_dependencies(t, "k", "t").collect()} == {("./z", "import"), ("m", "require")}
+
+
+def test_extraction_of_each_kind_alone(spark):
+    """Files with imports only, symbols only, calls only, and blocks of every kind."""
+    one = lambda src: extract.extract_python(spark.createDataFrame([("f.py", src)], "file string, text string")).collect()
+    assert [(r.relation, r.target) for r in one("import os\n")] == [("dependency", "os")]
+    assert [(r.symbol, r.kind) for r in one("a, (b, *c) = 1, (2, 3)\n")] == [("a", "variable"), ("b", "variable"), ("c", "variable")]
+    assert [r.target for r in one("go(1)\n")] == ["go"]
+    src = "def f():\n    class K:\n        a = 1\n        @dec\n        def m(self): pass\nmatch x:\n    case 1:\n        y = 2\n    case _:\n        def g(): pass\ntry:\n    pass\nexcept* ValueError:\n    z = 3\nasync def h():\n    async with q:\n        class W: pass\n"
+    got = {r.qualified_name: (r.kind, r.attributes) for r in one(src) if r.relation == "symbol"}
+    assert got == {"f": ("function", []), "f.K": ("class", []), "f.K.m": ("method", ["decorated", "bound_to_class"]), "y": ("variable", None), "g": ("function", []), "z": ("variable", None), "h": ("function", ["async"]), "h.W": ("class", [])}
+    big = extract.extract_python(spark.createDataFrame([("f.py", "x" * 200)], "file string, text string"), max_mb=0.0001).collect()
+    assert [(r.relation, r.symbol) for r in big] == [("error", "file_too_large")]
+    ts = extract.ts_symbols(spark.createDataFrame([(1, "export type Pair<A, B> = [A, B]")], "k int, t string"), "k", "t").first()
+    assert (ts.symbol, ts.kind, ts.type_parameters) == ("Pair", "type", ["A", "B"])
+
+
+def test_sessions(spark):
+    """A log replayed: conflicts, leases that run out, and operations on a closed session."""
+    rows = [("a", 1, 0, "heartbeat", "r", "x", "l1", 60), ("a", 2, 0, "open", "r", "x", "l1", 60), ("a", 3, 30, "heartbeat", "r", "x", "l1", 60), ("a", 4, 40, "open", "other", "x", "l2", 60), ("a", 5, 50, "attach", "r", "y", "l3", 60), ("a", 6, 200, "attach", "r", "y", "l3", 1), ("a", 7, 201, "heartbeat", "r", "x", "l1", 60), ("b", 1, 0, "open", "r", "x", "l", 10**9), ("b", 2, 5, "close", "r", "x", "l", 60), ("b", 3, 6, "heartbeat", "r", "x", "l", 60)]
+    log = spark.createDataFrame(rows, "session_id string, seq int, at long, op string, run_id string, owner string, lease_id string, ttl_seconds long").withColumn("at", F.timestamp_seconds("at"))
+    got = {r.session_id: (r.status, r.owner, r.lease_id, r.lease_until, r.errors) for r in jobs.replay_sessions(log).collect()}
+    assert got == {"a": ("open", "y", "l3", 230, ["E_INVALID_STATE", "E_SESSION_CONFLICT", "E_LEASE_CONFLICT", "E_LEASE_MISMATCH"]), "b": ("closed", "x", None, 0, ["E_INVALID_STATE"])}
+
+
+def test_small_job_operators(spark):
+    files = spark.createDataFrame([("package.json",), ("web/app/package.json",), ("web/node_modules/z/package.json",), ("a/b/c/d/e/package.json",)], "path string")
+    spaces = jobs.workspaces(files, ["package.json"])
+    assert [(r.rel, r.depth) for r in spaces.collect()] == [(".", 0), ("web/app", 2)]
+    changed = spark.createDataFrame([(1, "web/app/x.ts"), (1, "web/y.ts"), (2, "lib/z.py")], "set_id int, path string")
+    assert {(r.set_id, r.rel, r.files) for r in jobs.route(changed, spaces).collect()} == {(1, "web/app", 1), (2, ".", 0)}
+    c = spark.createDataFrame([("cd web && npm run test:unit",)], "command string").select(*[v.alias(k) for k, v in jobs.command_parts().items()]).first()
+    assert (c.last, c.folder, c.module, c.script, c.targets) == ("npm run test:unit", "web", None, "test:unit", [])
+    one = spark.range(1)
+    assert one.select(jobs.pytest_command(F.array(F.lit("t/a.py"), F.lit("t/b c.py")))).first()[0] == 'python -m pytest -q t/a.py "t/b c.py"'
+    presets = one.select(*[jobs.verify_preset(F.lit(p), F.lit(e), F.lit(f)).alias(str(i)) for i, (p, e, f) in enumerate([("FAST", True, False), ("x", True, True), (None, False, True), ("", None, None)])]).first()
+    assert list(presets) == ["fast", "full", "fast", "default"]
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, at int, v string")
+    up = jobs.upsert(base, spark.createDataFrame([("b", 3, "new"), ("b", 2, "old"), ("c", 1, "z")], "k string, at int, v string"), "k", "at")
+    assert {(r.k, r.v) for r in up.collect()} == {("a", "x"), ("b", "new"), ("c", "z")}
+    assert {r.k for r in jobs.delete(up, spark.createDataFrame([("b",)], "k string"), "k").collect()} == {"a", "c"}
+    r = spark.createDataFrame([("s", "r", "t", "ok", 1, 7), ("s", "q", "t", "ok", 2, 8)], "session_id string, run_id string, tool string, status string, ts int, job_id int")
+    assert [x.job_id for x in jobs.list_receipts(r, session="s", limit=0).collect()] == [8] and [x.job_id for x in jobs.list_receipts(r, run="r").collect()] == [7]

