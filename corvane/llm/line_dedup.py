@@ -200,14 +200,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, counters: int, read=bloc
                 t = total.setdefault(k.as_py(), np.zeros(each, np.int64))
                 t[np.frombuffer(s.as_buffer(), "<u4")] += np.frombuffer(c.as_buffer(), "<u4")
         for k, t in total.items():
-            slot = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot.astype("<u4").tobytes()], pa.binary()), pa.array([_grade(t[slot]).tobytes()], pa.binary())], names=["chunk", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_grade(t).tobytes()], pa.binary())], names=["chunk", "grades"])
 
     schema = "chunk int, slots binary, counts binary"
-    out = np.zeros(counters, np.uint8)
-    for r in docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(count, schema).repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
-        at = np.frombuffer(r.slots, "<u4").astype(np.int64) + r.chunk * each
-        out[at] = np.frombuffer(r.counts, np.uint8)
+    partial = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(count, schema)
+    out = np.zeros(counters, np.uint8)  # a byte for each counter comes to the driver
+    for r in partial.repartition(chunks, "chunk").mapInArrow(add, "chunk int, grades binary").collect():
+        out[r.chunk * each : (r.chunk + 1) * each] = np.frombuffer(r.grades, np.uint8)
     return out
 
 
@@ -444,7 +443,7 @@ def bloom(refs: DataFrame) -> np.ndarray:
 
     out = np.zeros(size, np.uint8)
     schema = "chunk int, bits binary"
-    for r in refs.select("d", "l").mapInArrow(mark, schema).repartition(chunks, "chunk").mapInArrow(merge, schema).toLocalIterator():
+    for r in refs.select("d", "l").mapInArrow(mark, schema).repartition(chunks, "chunk").mapInArrow(merge, schema).collect():
         at = r.chunk * each // 8
         out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
