@@ -19,8 +19,11 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-stream-")
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in one process (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return found or tempfile.mkdtemp(prefix="corvane-stream-")
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,10 +32,13 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materialize(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is available and returns its last result (``complete``) or all rows (``append``, ``update``)."""
+    """Runs the stream over what is available and returns its last result (``complete``) or all rows (``append``, ``update``).
+
+    A batch has its own folder, so one that is run again after a failure replaces what it wrote.
+    """
     spark = stream.sparkSession
     root = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
-    write: Callable[[DataFrame, int], None] = lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
+    write: Callable[[DataFrame, int], None] = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={n}")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
