@@ -31,7 +31,7 @@ def test_pack(spark):
     assert max(r.used for r in got.values()) == sum(len(r.content) for r in got.values())
 
 
-def test_selection_against_brute_force(spark):
+def test_selection_by_both_rules(spark):
     rows = [(f"f{i}", i, 1, 1, 1, c) for i, c in enumerate(["one two three", "One  two three", "four five six", "seven " * 40, "eight nine", "", "ten eleven twelve thirteen fourteen"], 1)]
     cut = spark.createDataFrame(rows, "file string, rank int, line_start int, line_end int, raw_chars int, content string")
     got = [(r.file, r.used, r.repeats) for r in pack.select_snippets(cut, 60, 3).orderBy("rank").collect()]
