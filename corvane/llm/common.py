@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``written`` or an operator made and that no later table is computed from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """The name, with underscores after it while a column has it (in any case)."""
     low = {c.lower() for c in taken}
