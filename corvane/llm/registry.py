@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules", "quality_classifier", "line_dedup", "suffix_dedup", "anchors", "centroids"]
+MODULES = ["toxicity", "url_filter", "syncmers", "bpe", "packing", "simhash", "quality_rules", "quality_classifier", "line_dedup", "suffix_dedup", "anchors", "alignment", "centroids"]
 
 
 def queries() -> dict:
