@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from corvane.functions.text import jaccard
 
 
-def merge_on_read(base: DataFrame, ops: DataFrame, key: str, seq: str) -> DataFrame:
+def merge_on_read(base: DataFrame, ops: DataFrame, key: str, seq: str, op: str = "op") -> DataFrame:
     """base with the op log applied: the last op per key wins; ``set`` replaces the key's whole group,
-    ``delete`` removes it. ops: the base's columns, ``op`` and seq; all rows of one ``set`` share its seq.
+    ``delete`` removes it. ops: the base's columns, op and seq; all rows of one ``set`` share its seq.
     """
     last = ops.withColumn("last", F.max(seq).over(Window.partitionBy(key))).where(F.col(seq) == F.col("last"))
     untouched = base.join(ops.select(key).distinct(), key, "left_anti")
-    return untouched.select(base.columns).unionByName(last.where("op = 'set'").select(base.columns))
+    return untouched.select(base.columns).unionByName(last.where(F.col(op) == "set").select(base.columns))
 
 
 def needs_compaction(pending: int, every: int = 200) -> bool:
