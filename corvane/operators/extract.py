@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import lines
@@ -31,6 +32,14 @@ def _unique(items) -> list[str]:
     return list(dict.fromkeys(x for x in items if x))[:MOST]
 
 
+def _source(node: ast.AST | None) -> str:
+    """A node's source; empty if there is none or it is nested too deep."""
+    try:
+        return ast.unparse(node) if node else ""
+    except RecursionError:
+        return ""
+
+
 def _callee(node: ast.expr) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
 
@@ -56,15 +65,15 @@ def _symbols(tree: ast.Module, file: str) -> Iterator[dict]:
         node, scope, kinds = stack.pop()
         base = {"file": file, "relation": "symbol", "scope": ".".join(scope), "scope_depth": len(scope), "line_start": getattr(node, "lineno", 1), "line_end": getattr(node, "end_lineno", None) or getattr(node, "lineno", 1)}
         if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            decorators = _unique(ast.unparse(x) for x in node.decorator_list)
+            decorators = _unique(_source(x) for x in node.decorator_list)
             row = base | {"symbol": node.name, "qualified_name": ".".join((*scope, node.name)), "decorators": decorators}
             attributes = ["decorated"] if decorators else []
             if isinstance(node, ast.ClassDef):
-                kind, bases = "class", _unique(ast.unparse(b) for b in node.bases)
+                kind, bases = "class", _unique(_source(b) for b in node.bases)
                 row |= {"bases": bases, "relation_targets": bases, "signature": f"class {node.name}({', '.join(bases)})" if bases else f"class {node.name}"}
             else:
                 kind = "method" if kinds[-1:] == ("class",) else "function"
-                params, back = _parameters(node.args), ast.unparse(node.returns) if node.returns else ""
+                params, back = _parameters(node.args), _source(node.returns)
                 is_async = isinstance(node, ast.AsyncFunctionDef)
                 attributes = ["async"] * is_async + attributes + ["bound_to_class"] * (kind == "method")
                 row |= {"parameters": _unique(params), "return_type": back, "signature": f"{'async ' * is_async}def {node.name}({', '.join(params)})" + (f" -> {back}" if back else "")}
@@ -72,7 +81,7 @@ def _symbols(tree: ast.Module, file: str) -> Iterator[dict]:
             stack += [(x, (*scope, node.name), (*kinds, kind)) for x in reversed(list(ast.iter_child_nodes(node)))]
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             if not set(kinds) & {"function", "method"}:
-                said = ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else ""
+                said = _source(node.annotation) if isinstance(node, ast.AnnAssign) else ""
                 for name in _unique(n for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) for n in _names(t)):
                     yield base | {"symbol": name, "kind": "variable", "qualified_name": ".".join((*scope, name)), "return_type": said, "signature": f"{name}: {said}" if said else name}
         else:
@@ -91,12 +100,12 @@ def _links(tree: ast.Module, file: str) -> Iterator[dict]:
 
 
 def python_rows(file: str, text: str | None) -> list[dict]:
-    """All rows of one source; none if it can't be parsed."""
+    """All rows of one source; none if it can't be parsed or is nested too deep."""
     try:
         tree = ast.parse(text or "")
+        return [*_symbols(tree, file), *_links(tree, file)]
     except (SyntaxError, ValueError, RecursionError):
         return []
-    return [*_symbols(tree, file), *_links(tree, file)]
 
 
 def extract_python(files: DataFrame, path: str = "file", text: str = "text", max_mb: float = 10.0) -> DataFrame:
@@ -110,7 +119,7 @@ def extract_python(files: DataFrame, path: str = "file", text: str = "text", max
         for b in batches:
             rows: list[dict] = []
             for file, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if source is not None and len(source) > max_mb * (1 << 20):
+                if source is not None and 4 * len(source) > max_mb * (1 << 20) and len(source.encode("utf-8", "surrogatepass")) > max_mb * (1 << 20):
                     rows.append({"file": file, "relation": "error", "symbol": "file_too_large", "line_start": 1, "line_end": 1})
                     continue
                 found = {(r.get("qualified_name"), r.get("kind"), r["line_start"], r.get("line_end"), r.get("target"), i if r["relation"] != "symbol" else 0): r for i, r in enumerate(python_rows(file, source))}
@@ -144,3 +153,27 @@ def ts_dependencies(files: DataFrame, key: str, text: str) -> DataFrame:
     """Imports and requires of TypeScript and JavaScript sources: key, target, edge_type."""
     found = lambda rx, kind: files.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(1))).alias("target"), F.lit(kind).alias("edge_type"))
     return found(r"""import\s+[^'";]*?from\s+['"]([^'"]+)['"]""", "import").union(found(r"""require\(\s*['"]([^'"]+)['"]\s*\)""", "require"))
+
+
+def extract_files(files: DataFrame, max_mb: float = 10.0) -> DataFrame:
+    """Rows of all sources by their language, with ``lang``; files: path, lang, text. Other languages give none.
+
+    A source over ``max_mb`` (bytes) gives one row of relation ``error`` in either half.
+    """
+    python = extract_python(files.where("lang = 'python'").select(F.col("path").alias("file"), "text"), max_mb=max_mb).withColumn("lang", F.lit("python"))
+    scripts = files.where(F.col("lang").isin("typescript", "javascript")).select(F.struct(F.col("path").alias("file"), "lang").alias("of"), "text", (F.octet_length("text") > int(max_mb * (1 << 20))).alias("large"))
+    small = scripts.where("large IS NOT TRUE")
+    kinds = dict(c.split(" ") for c in ROW.split(", "))
+
+    def shaped(df: DataFrame, relation: str, **made: Column) -> DataFrame:
+        made |= {"file": F.col("of.file"), "relation": F.lit(relation)}
+        return df.select(*[made.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], F.col("of.lang").alias("lang"))
+
+    line = F.col("line")
+    parts = [
+        shaped(ts_symbols(small, "of", "text"), "symbol", symbol=F.col("symbol"), kind=F.col("kind"), qualified_name=F.col("symbol"), scope=F.lit(""), scope_depth=F.lit(0), line_start=line, line_end=line, signature=F.col("signature"), relation_targets=F.col("relation_targets")),
+        shaped(ts_calls(small, "of", "text"), "reference", target=F.col("target"), edge_type=F.lit("call"), line_start=line, confidence=F.lit(0.5)),
+        shaped(ts_dependencies(small, "of", "text"), "dependency", target=F.col("target"), edge_type=F.col("edge_type"), confidence=F.lit(1.0)),
+        shaped(scripts.where("large"), "error", symbol=F.lit("file_too_large"), line_start=F.lit(1), line_end=F.lit(1)),
+    ]
+    return reduce(DataFrame.unionByName, [python, *parts])
