@@ -25,6 +25,7 @@ documents of their own; null ids are kept. Other columns are ignored. An empty t
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,15 +65,29 @@ class Sides:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none for texts that aren't covered byte by byte."""
-        a = [np.frombuffer(self.a.plain(" " + t), np.uint32).astype(np.int64) if t else np.empty(0, np.int64) for t in texts]
-        b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
-        for i, t in enumerate(texts):
-            raw = b" " + t.encode("utf-8", "surrogatepass")
-            if not t or self.bytes_a(a[i])[0] != raw or self.bytes_b(b[i])[0] != raw:
-                a[i] = b[i] = np.empty(0, np.int64)
+        none = np.empty(0, np.uint32)
+        a = [np.frombuffer(self.a.plain(" " + t), np.uint32) if t else none for t in texts]
+        b = [np.frombuffer(array("I", ids), np.uint32) for ids in self.b.encode(texts, num_threads=1)]
+        raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        whole = b"".join(raw)
+        if self.bytes_a(np.concatenate(a))[0] != whole or self.bytes_b(np.concatenate(b))[0] != whole or not _same_sizes(self, a, b, raw):
+            for i, r in enumerate(raw):
+                if self.bytes_a(a[i])[0] != r or self.bytes_b(b[i])[0] != r:
+                    a[i] = b[i] = none
         return a, b
 
 
+def _same_sizes(sides: Sides, a: list[np.ndarray], b: list[np.ndarray], raw: list[bytes]) -> bool:
+    """Whether each document's tokens have as many bytes as the document."""
+    want = np.fromiter(map(len, raw), np.int64, len(raw))
+    for ids, size in ((a, sides.bytes_a.size), (b, sides.bytes_b.size)):
+        total = np.r_[0, np.cumsum(size[np.concatenate(ids)], dtype=np.int64)]
+        at = np.cumsum([0, *map(len, ids)])
+        if (np.diff(total[at]) != want).any():
+            return False
+    return True
+
+
 def _listed(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
 
@@ -82,18 +97,18 @@ def align(sides: Sides, a: list[np.ndarray], b: list[np.ndarray]) -> dict:
     lists = {"a": _listed(a), "b": _listed(b)}
     tables = {}
     for side, slices in (("a", sides.bytes_a), ("b", sides.bytes_b)):
-        ids = lists[side].flatten()
+        ids = lists[side].flatten().cast(pa.int64())
         ends = pc.cumulative_sum(pa.array(slices.size).take(ids).cast(pa.int64()))
         tables[side] = pa.table({"end": ends, side: ids, f"doc_{side}": pc.list_parent_indices(lists[side]).cast(pa.int64())})
-    places = tables["a"].join(tables["b"], "end", join_type="full outer").sort_by("end")
-    both = pc.and_(pc.is_valid(places.column("a")), pc.is_valid(places.column("b")))
-    group_ends, docs = places.column("end").filter(both), places.column("doc_a").filter(both)
+    places = tables["a"].join(tables["b"], "end", join_type="full outer", use_threads=False).sort_by("end")
+    valid = {side: pc.is_valid(places.column(side)).to_numpy() for side in tables}
+    both = valid["a"] & valid["b"]
+    docs = places.column("doc_a").filter(pa.array(both))
     links = pa.table({"doc": pc.fill_null_backward(places.column("doc_a").combine_chunks()), "pair": pc.add(pc.multiply(pc.fill_null_backward(places.column("a").combine_chunks()), KEY), pc.fill_null_backward(places.column("b").combine_chunks()))})
     times = links.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc")
     n = len(a)
     return {
-        "group_ends": group_ends.to_numpy(),
-        "ends": {side: tables[side].column("end").to_numpy() for side in tables},
+        "last": {side: both[valid[side]] for side in tables},  # whether a token ends its group
         "n_groups": np.bincount(docs.to_numpy(), minlength=n),
         "n_links": np.bincount(links.column("doc").to_numpy(), minlength=n),
         "times": times,
@@ -104,11 +119,10 @@ def align(sides: Sides, a: list[np.ndarray], b: list[np.ndarray]) -> dict:
 def group_texts(sides: Sides, a: list[np.ndarray], b: list[np.ndarray], found: dict) -> list[bytes]:
     """Each document's groups as a text: ``a1,a2|b1;a3|b2,b3``."""
     ids_a, ids_b = np.concatenate(a), np.concatenate(b)
-    ends = found["group_ends"]
-    of_a, of_b = np.searchsorted(ends, found["ends"]["a"]), np.searchsorted(ends, found["ends"]["b"])
-    n_a, n_b = np.bincount(of_a, minlength=len(ends)), np.bincount(of_b, minlength=len(ends))
+    last_a, last_b = found["last"]["a"], found["last"]["b"]
+    of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    n_a, n_b = np.diff(np.flatnonzero(last_a), prepend=-1), np.diff(np.flatnonzero(last_b), prepend=-1)
     text = np.empty(len(ids_a) + len(ids_b), np.int64)
-    last_a, last_b = found["ends"]["a"] == ends[of_a], found["ends"]["b"] == ends[of_b]
     text[np.arange(len(ids_a)) + (np.cumsum(n_b) - n_b)[of_a]] = ids_a + sides.na * last_a
     text[np.arange(len(ids_b)) + np.cumsum(n_a)[of_b]] = ids_b + 2 * sides.na + sides.nb * last_b
     data, at = sides.digits(text)
