@@ -75,7 +75,7 @@ QUERIES = {f.__name__: f for f in (index_update, index_stream, index_by_keys)}
 _BASE = f"""p AS (SELECT *, 'b' || substr(p_brand, 7, 2) AS b, replace(p_name, ' ', '_') || '_' || p_partkey AS fn FROM part), m AS (SELECT 'src/' || b || '/m' || p_partkey // {BLOCK} || '.py' AS file, * FROM p),
     u AS (SELECT DISTINCT 'app/s' || l_suppkey || '.ts' AS file, b, p_partkey FROM lineitem JOIN p ON l_partkey = p_partkey),
     n AS (SELECT file, fn, row_number() OVER (PARTITION BY file ORDER BY 'def ' || fn || '(') AS k FROM m),
-    i AS (SELECT file, count(DISTINCT b) AS imports FROM u GROUP BY file)"""
+    i AS (SELECT file, count(*) AS imports, sum(strlen(b) + 31) AS head FROM (SELECT DISTINCT file, b FROM u) GROUP BY file)"""
 ORACLE = {
     "index_update": f"""WITH {_BASE}
         SELECT 'symbol' AS relation, file, fn AS name, 2 * k AS line FROM n UNION ALL SELECT 'reference', file, 'make', 2 * k + 1 FROM n
@@ -83,6 +83,6 @@ ORACLE = {
         UNION ALL SELECT DISTINCT 'dependency', file, '.parts', 0 FROM m UNION ALL SELECT DISTINCT 'dependency', file, './src/' || b, 0 FROM u""",
     "index_stream": f"""WITH {_BASE}
         SELECT file AS path, (24 + sum(strlen(fn) + 34))::BIGINT AS size, count(*) AS symbols, count(*) AS "references", 1::BIGINT AS dependencies FROM n GROUP BY file
-        UNION ALL SELECT file, (any_value(imports) * 34 + sum(strlen('p_' || p_partkey) + 5))::BIGINT, 0, count(*), any_value(imports) FROM u JOIN i USING (file) GROUP BY file""",
+        UNION ALL SELECT file, (any_value(head) + sum(strlen('p_' || p_partkey) + 5))::BIGINT, 0, count(*), any_value(imports) FROM u JOIN i USING (file) GROUP BY file""",
     "index_by_keys": f"WITH {_BASE} SELECT file, fn AS symbol FROM m WHERE file IN (SELECT file FROM m WHERE p_retailprice = (SELECT max(p_retailprice) FROM part))",
 }
