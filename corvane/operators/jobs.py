@@ -12,6 +12,9 @@ EXECUTOR_MARKS = ["process error:", "threadpool future error:", "threadpool time
 EXECUTOR_REASONS = ["external_cancel", "stall_timeout"]
 # Bounds of a session's time to live in seconds.
 TTL_BOUNDS = (30, 86400)
+DEFAULT_TTL = 1800
+# What a session may be after its close.
+FINAL_STATUSES = ["closed", "canceled", "failed", "succeeded"]
 # Confidence by the source of a change set, in the order of the sources.
 CHANGE_CONFIDENCE = {"status": 0.99, "staged": 0.98, "worktree": 0.98, "head": 0.96, "upstream": 0.9}
 
@@ -105,33 +108,58 @@ def get_cache(cache: DataFrame, queries: DataFrame, now: Column, ttl: int) -> Da
 
 
 def replay_sessions(log: DataFrame) -> DataFrame:
-    """Sessions after their log (session_id, seq, at, op, run_id, owner, lease_id, ttl_seconds): status, run_id, owner, lease_id, lease_until, errors.
-
-    open binds a session to its run (another run: E_SESSION_CONFLICT) and gives a lease; attach takes the lease over
-    once it has run out (before: E_LEASE_CONFLICT, unless its owner asks); heartbeat prolongs the lease it holds
-    (else E_LEASE_MISMATCH); close ends the session. Anything after close but open: E_INVALID_STATE. Times to live
-    are clamped to ``TTL_BOUNDS``. Each session's log is folded in order in its own row: it must fit into a task.
+    """Sessions after their log: status, run_id, owner, lease_owner, lease_id, lease_until (epoch seconds; null: none), ttl, errors.
+
+    log: session_id, seq, at, op, run_id, actor, lease_id, ttl_seconds, readonly, final_status. A refused
+    operation adds its code to errors; a session that never opened keeps its errors with a null status.
+
+    * open needs a run_id (else E_INVALID_STATE) and the session's own, if there is one (else E_SESSION_CONFLICT);
+      it gives the lease to the actor, whatever held it before, and sets the time to live (``TTL_BOUNDS``).
+    * attach needs a session (else E_SESSION_NOT_FOUND), its run_id (else E_SESSION_CONFLICT) and a lease that
+      hasn't run out (else status ``expired`` and E_SESSION_EXPIRED). Read-only, which is the default, changes
+      nothing; otherwise a lease that another actor holds is kept from it (E_SESSION_CONFLICT), else it takes
+      the lease for the session's time to live, status ``active``.
+    * heartbeat needs a lease_id (else E_INVALID_STATE), the session's own (else E_SESSION_CONFLICT) and a lease
+      that hasn't run out (as for attach); it prolongs the lease, status ``active``.
+    * close takes the lease away; status is one of ``FINAL_STATUSES``, ``closed`` if none is given, else E_INVALID_STATE.
+
+    Each session's log is folded in order in its own row: it must fit into a task.
     """
     low, high = TTL_BOUNDS
-    step = F.struct("seq", F.unix_seconds("at").alias("at"), "op", "run_id", "owner", "lease_id", F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce("ttl_seconds", F.lit(1800)))).cast("long").alias("ttl"))
+    clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    ttl = F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce("ttl_seconds", F.lit(DEFAULT_TTL)))).cast("long")
+    final = F.lower(clean("final_status"))
+    final = F.when(final == "", "closed").when(final == "cancelled", "canceled").otherwise(final)
+    actor = F.when(clean("actor") != "", clean("actor")).when(F.col("op") == "open", "codex").otherwise("policy")
+    step = F.struct("seq", F.unix_seconds("at").alias("at"), "op", clean("run_id").alias("run_id"), actor.alias("actor"), clean("lease_id").alias("lease_id"), ttl.alias("ttl"), F.coalesce("readonly", F.lit(True)).alias("readonly"), final.alias("final"))
     logs = log.groupBy("session_id").agg(F.array_sort(F.collect_list(step)).alias("log"))
-    start = F.struct(F.lit("none").alias("status"), F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("lease_id"), F.lit(0).cast("long").alias("lease_until"), F.array().cast("array<string>").alias("errors"))
+    none = F.lit(None).cast("string")
+    names = {"status": none, "run_id": none, "owner": none, "lease_owner": F.lit(""), "lease_id": F.lit(""), "lease_until": F.lit(None).cast("long"), "ttl": F.lit(None).cast("long"), "errors": F.array().cast("array<string>")}
+    start = F.struct(*[c.alias(n) for n, c in names.items()])
 
     def after(s: Column, x: Column) -> Column:
-        state = lambda status, run, owner, lease, until: F.struct(F.lit(status).alias("status"), run.alias("run_id"), owner.alias("owner"), lease.alias("lease_id"), until.alias("lease_until"), s["errors"].alias("errors"))
-        wrong = lambda code: F.struct(s["status"].alias("status"), s["run_id"].alias("run_id"), s["owner"].alias("owner"), s["lease_id"].alias("lease_id"), s["lease_until"].alias("lease_until"), F.array_append(s["errors"], F.lit(code)).alias("errors"))
-        until, is_open = x["at"] + x["ttl"], s["status"] == "open"
-        taken = state("open", x["run_id"], x["owner"], x["lease_id"], until)
+        to = lambda **new: F.struct(*[new.get(n, s[n]).alias(n) for n in names])
+        refused = lambda code, **new: to(errors=F.array_append(s["errors"], F.lit(code)), **new)
+        known, until = s["status"].isNotNull(), x["at"] + F.coalesce(s["ttl"], F.lit(DEFAULT_TTL))
+        ran_out = s["lease_until"].isNotNull() & (s["lease_until"] <= x["at"])
+        held = (s["lease_owner"] != "") & (s["lease_owner"] != x["actor"]) & (s["lease_id"] != "") & (s["lease_until"] > x["at"])
+        opens, attaches, beats, closes = (x["op"] == o for o in ("open", "attach", "heartbeat", "close"))
         return (
-            F.when((x["op"] == "open") & s["run_id"].isNotNull() & (s["run_id"] != x["run_id"]), wrong("E_SESSION_CONFLICT"))
-            .when(x["op"] == "open", taken)
-            .when(~is_open, wrong("E_INVALID_STATE"))
-            .when((x["op"] == "attach") & (s["lease_until"] > x["at"]) & (s["owner"] != x["owner"]), wrong("E_LEASE_CONFLICT"))
-            .when(x["op"] == "attach", state("open", s["run_id"], x["owner"], x["lease_id"], until))
-            .when((x["op"] == "heartbeat") & (s["lease_id"] != x["lease_id"]), wrong("E_LEASE_MISMATCH"))
-            .when(x["op"] == "heartbeat", state("open", s["run_id"], s["owner"], s["lease_id"], until))
-            .when(x["op"] == "close", state("closed", s["run_id"], s["owner"], F.lit(None).cast("string"), F.lit(0).cast("long")))
-            .otherwise(wrong("E_INVALID_STATE"))
+            F.when((opens | attaches) & (x["run_id"] == ""), refused("E_INVALID_STATE"))
+            .when(beats & (x["lease_id"] == ""), refused("E_INVALID_STATE"))
+            .when(closes & ~x["final"].isin(FINAL_STATUSES), refused("E_INVALID_STATE"))
+            .when(opens & known & (s["run_id"] != x["run_id"]), refused("E_SESSION_CONFLICT"))
+            .when(opens, to(status=F.lit("open"), run_id=x["run_id"], owner=x["actor"], lease_owner=x["actor"], lease_id=x["lease_id"], lease_until=x["at"] + x["ttl"], ttl=x["ttl"]))
+            .when((attaches | beats | closes) & ~known, refused("E_SESSION_NOT_FOUND"))
+            .when(closes, to(status=x["final"], lease_owner=F.lit(""), lease_id=F.lit(""), lease_until=F.lit(None).cast("long")))
+            .when(attaches & (s["run_id"] != x["run_id"]), refused("E_SESSION_CONFLICT"))
+            .when(beats & (s["lease_id"] != x["lease_id"]), refused("E_SESSION_CONFLICT"))
+            .when((attaches | beats) & ran_out, refused("E_SESSION_EXPIRED", status=F.lit("expired")))
+            .when(attaches & x["readonly"], s)
+            .when(attaches & F.coalesce(held, F.lit(False)), refused("E_SESSION_CONFLICT"))
+            .when(attaches, to(status=F.lit("active"), lease_owner=x["actor"], lease_id=x["lease_id"], lease_until=until))
+            .when(beats, to(status=F.lit("active"), lease_until=until))
+            .otherwise(refused("E_INVALID_STATE"))
         )
 
     return logs.select("session_id", F.aggregate("log", start, after).alias("s")).select("session_id", "s.*")
@@ -177,18 +205,23 @@ def change_set(parts: dict[str, DataFrame], limit: int = 200) -> DataFrame:
 
 
 def change_fallback(manifest: DataFrame, recent: DataFrame, tokens: list[str], limit: int = 24) -> DataFrame:
-    """Likely changes without version control: recently indexed paths; else paths with most task tokens; else the first eight: path, source, confidence.
+    """Likely changes without version control: path, place, source and one confidence for all rows.
 
-    manifest, recent: path. The first step that finds anything is taken; the checks are on ``limit`` rows.
+    Recently changed paths that the manifest has, in the order they came, each once (0.92); else the paths with
+    most of the tokens (task and hints), the confidence by the best path's share of them; else the manifest's
+    first eight (0.2). manifest: path; recent: path, place. The first step that finds anything is taken.
     """
-    hits = reduce(lambda a, t: a + F.contains(F.lower("path"), F.lit(t)).cast("int"), tokens, F.lit(0))
-    scored = manifest.withColumn("hits", hits).where("hits > 0")
-    conf = F.greatest(F.lit(0.35), F.least(F.lit(0.88), 0.35 + 0.5 * F.col("hits") / max(1, len(tokens))))
-    a = recent.join(manifest, "path", "left_semi").orderBy("path").limit(limit).select("path", F.lit("manifest_recent").alias("source"), F.lit(0.92).alias("confidence"), F.lit(0).alias("step"))
-    b = scored.orderBy(F.desc("hits"), "path").limit(limit).select("path", F.lit("planner_fallback"), conf, F.lit(1))
-    c = manifest.orderBy("path").limit(min(8, limit)).select("path", F.lit("index_head"), F.lit(0.2), F.lit(2))
+    limit, tokens = max(1, limit), list(dict.fromkeys(tokens))
+    first = recent.groupBy("path").agg(F.min("place").alias("place")).join(manifest.select("path"), "path", "left_semi")
+    a = first.orderBy("place", "path").limit(limit).select("path", F.col("place").cast("long").alias("place"), F.lit("manifest_recent").alias("source"), F.lit(0.92).alias("confidence"), F.lit(0).alias("step"))
+    hits = reduce(lambda x, t: x + F.contains(F.lower("path"), F.lit(t)).cast("int"), tokens, F.lit(0))
+    scored = manifest.select("path", hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "path").limit(limit)
+    best = F.max("hits").over(Window.partitionBy())  # at most ``limit`` rows
+    b = scored.select("path", (-F.col("hits")).cast("long"), F.lit("planner_fallback"), F.greatest(F.lit(0.35), F.least(F.lit(0.88), 0.35 + 0.5 * best / max(1, len(tokens)))), F.lit(1))
+    c = manifest.orderBy("path").limit(min(8, limit)).select("path", F.lit(0).cast("long"), F.lit("index_head_fallback"), F.lit(0.2), F.lit(2))
     every = a.union(b).union(c)
-    return every.withColumn("first", F.min("step").over(Window.partitionBy())).where("step = first").select("path", "source", "confidence")  # at most 2 x limit + 8 rows
+    w = Window.orderBy("place", "path")
+    return every.withColumn("first", F.min("step").over(Window.partitionBy())).where("step = first").select("path", F.row_number().over(w).alias("place"), "source", "confidence")  # at most 2 x limit + 8 rows
 
 
 def changed_state(changed: DataFrame, files: DataFrame) -> DataFrame:
@@ -198,7 +231,11 @@ def changed_state(changed: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def fingerprint_of(rows: DataFrame, hash_col: str = "row_hash") -> DataFrame:
-    """One fingerprint of a set of rows that doesn't depend on their order and needs no list of them: n, fingerprint."""
+    """One fingerprint of a set of rows that doesn't depend on their order and needs no list of them: n, fingerprint.
+
+    Halves of the rows' hashes are combined by exclusive or, so it is the same on any number of partitions. It is not
+    the hash of the sorted list of rows, which one task would have to hold.
+    """
     half = lambda a: F.expr(f"bit_xor(cast(conv(substring({hash_col}, {a}, 15), 16, 10) as bigint))")
     return rows.agg(F.count("*").alias("n"), half(1).alias("x"), half(16).alias("y")).select("n", F.sha2(F.concat_ws(",", "n", "x", "y"), 256).alias("fingerprint"))
 

@@ -60,10 +60,15 @@ def receipt_upserts(spark, d):
 
 
 def session_replay(spark, d):
-    """Events of a user are the log of a session: what it is at the end, and how often it was refused."""
+    """Events of a user are the log of a session: what it is at the end, and how often and why it was refused."""
     op = F.create_map(*[F.lit(x) for kv in {"signup": "open", "view": "heartbeat", "click": "heartbeat", "purchase": "attach", "error": "close"}.items() for x in kv])
-    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), op[F.col("event_type")].alias("op"), F.lit("r1").alias("run_id"), F.when(F.col("value") > 20, "a").otherwise("b").alias("owner"), F.lit("L").alias("lease_id"), F.lit(10**6).alias("ttl_seconds"))
-    return jobs.replay_sessions(e).select("session_id", "status", "run_id", "owner", "lease_until", F.size("errors").cast("long").alias("n_errors"), F.size(F.filter("errors", lambda x: x == "E_LEASE_CONFLICT")).cast("long").alias("n_conflicts"))
+    v = F.floor(F.col("value")).cast("long")
+    e = table(spark, d, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), op[F.col("event_type")].alias("op"),
+        F.when(v % 11 == 0, "r2").when(v % 13 == 0, " ").otherwise("r1").alias("run_id"), F.when(v % 2 == 0, "a").when(v % 5 == 0, "").otherwise("b").alias("actor"), F.when(v % 7 == 0, "M").when(v % 17 == 0, "").otherwise("L").alias("lease_id"),
+        F.lit(10**6).alias("ttl_seconds"), (v % 3 == 0).alias("readonly"), F.when(v % 4 == 0, "Cancelled").when(v % 19 == 0, "odd").otherwise("").alias("final_status"),
+    )
+    return jobs.replay_sessions(e).select("session_id", "status", "run_id", "owner", "lease_owner", "lease_id", "lease_until", F.concat_ws(",", "errors").alias("errors"))
 
 
 def selection_evidence(spark, d):
@@ -87,16 +92,22 @@ def change_set(spark, d):
 
 def change_fallback(spark, d):
     m = table(spark, d, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit("/"))).alias("path")).distinct()
-    return jobs.change_fallback(m, m.where("path = 'none'"), ["red", "ring", "bolt"])
+    return jobs.change_fallback(m, m.select("path", F.lit(0).alias("place")).where("path = 'none'"), ["red", "ring", "bolt", "red"]).select("path", F.col("place").cast("long").alias("place"), "source", "confidence")
+
+
+def change_recent(spark, d):
+    """The parts that were ordered first are the recent changes; names that aren't parts don't count."""
+    name = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("/")))
+    p = table(spark, d, "part")
+    recent = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(name("p_name"), F.when(F.col("l_linenumber") == 1, "/gone").otherwise("")).alias("path"), F.col("l_orderkey").alias("place"))
+    return jobs.change_fallback(p.select(name("p_name").alias("path")).distinct(), recent, ["red"]).select("path", F.col("place").cast("long").alias("place"), "source", "confidence")
 
 
 def changed_state(spark, d):
     """Changed customers as files, with the fingerprint of all."""
     files = table(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("path"), F.col("c_nationkey").cast("long").alias("size"), F.col("c_custkey").cast("long").alias("mtime"))
     changed = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("c"), "o_custkey").alias("path"))
-    s = jobs.changed_state(changed, files)
-    same = jobs.fingerprint_of(s.repartition(3)).select("fingerprint").first() == jobs.fingerprint_of(s).select("fingerprint").first()
-    return s.agg(F.count("*").alias("paths"), F.count_if("exists").alias("existing"), F.sum("size").alias("size")).withColumn("stable", F.lit(same))
+    return jobs.fingerprint_of(jobs.changed_state(changed, files))
 
 
 def verify_groups(spark, d):
@@ -157,7 +168,7 @@ def near_misses(spark, d):
     return jobs.near_misses(r, 10).select("task_id", "path", F.col("rank").cast("long").alias("rank"), "selected", "gap")
 
 
-QUERIES = {f.__name__: f for f in (job_status, failure_commands, usable_results, cache_put, cache_get, receipt_upserts, session_replay, selection_evidence, preflight_missing, change_set, change_fallback, changed_state, verify_groups, workspace_choice, command_fields, coerced_values, bench_runs, symbol_hits, index_event_counts, source_size, changed_chars, near_misses)}
+QUERIES = {f.__name__: f for f in (job_status, failure_commands, usable_results, cache_put, cache_get, receipt_upserts, session_replay, selection_evidence, preflight_missing, change_set, change_fallback, change_recent, changed_state, verify_groups, workspace_choice, command_fields, coerced_values, bench_runs, symbol_hits, index_event_counts, source_size, changed_chars, near_misses)}
 _FIRST = lambda ex: f"(SELECT string_agg(command, ';' ORDER BY p) FROM o WHERE o.job = j.job AND ex = {ex})"
 ORACLE = {
     "job_status": """WITH e AS (SELECT user_id AS job, arg_max(event_type, event_id) AS l, count(*) AS t, count(*) FILTER (WHERE event_type <> 'error') AS c, round(avg(value), 3) AS p FROM events GROUP BY 1),
@@ -173,11 +184,27 @@ ORACLE = {
         SELECT hit, reason, count(*) AS n FROM r GROUP BY 1, 2""",
     "receipt_upserts": """WITH a AS (SELECT o_custkey AS job_id, o_orderkey AS seq, o_orderstatus AS status, o_orderpriority = first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ok FROM orders), g AS (SELECT *, lag(status, 1, 'none') OVER (PARTITION BY job_id ORDER BY seq) AS was FROM a WHERE ok)
         SELECT g.job_id, max(seq) AS seq, arg_max(status, seq) AS status, (SELECT count(*) FROM a WHERE a.job_id = g.job_id AND NOT ok) AS rejected, count(*) FILTER (WHERE was <> status) AS moves FROM g GROUP BY g.job_id""",
+    "session_replay": """WITH RECURSIVE a AS (SELECT user_id AS sid, event_id, floor(epoch(ts))::BIGINT AS tm, event_type AS t, floor(value)::BIGINT AS v FROM events),
+        l AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY event_id) AS n, tm, CASE t WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'attach' WHEN 'error' THEN 'close' ELSE 'beat' END AS op, CASE WHEN v % 11 = 0 THEN 'r2' WHEN v % 13 = 0 THEN '' ELSE 'r1' END AS run, CASE WHEN v % 2 = 0 THEN 'a' WHEN v % 5 <> 0 THEN 'b' WHEN t = 'signup' THEN 'codex' ELSE 'policy' END AS who,
+            CASE WHEN v % 7 = 0 THEN 'M' WHEN v % 17 = 0 THEN '' ELSE 'L' END AS lease, v % 3 = 0 AS ro, CASE WHEN v % 4 = 0 THEN 'canceled' WHEN v % 19 = 0 THEN 'odd' ELSE 'closed' END AS fin FROM a),
+        s AS (SELECT DISTINCT sid, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::VARCHAR AS run, NULL::VARCHAR AS owner, '' AS lo, '' AS lid, NULL::BIGINT AS until, ''::VARCHAR AS errs, ''::VARCHAR AS done FROM l
+            UNION ALL SELECT sid, n, CASE done WHEN 'open' THEN 'open' WHEN 'close' THEN fin WHEN 'take' THEN 'active' WHEN 'beat' THEN 'active' WHEN 'E_SESSION_EXPIRED' THEN 'expired' ELSE status END, CASE done WHEN 'open' THEN xrun ELSE run END, CASE done WHEN 'open' THEN who ELSE owner END, CASE WHEN done IN ('open', 'take') THEN who WHEN done = 'close' THEN '' ELSE lo END,
+                CASE WHEN done IN ('open', 'take') THEN lease WHEN done = 'close' THEN '' ELSE lid END, CASE WHEN done IN ('open', 'take', 'beat') THEN tm + 86400 WHEN done = 'close' THEN NULL ELSE until END, CASE WHEN done LIKE 'E_%' THEN errs || CASE WHEN errs = '' THEN '' ELSE ',' END || done ELSE errs END, ''
+            FROM (SELECT s.sid, l.n, s.status, s.run, s.owner, s.lo, s.lid, s.until, s.errs, l.tm, l.run AS xrun, l.who, l.lease, l.fin,
+                CASE l.op WHEN 'open' THEN CASE WHEN l.run = '' THEN 'E_INVALID_STATE' WHEN s.run <> l.run THEN 'E_SESSION_CONFLICT' ELSE 'open' END
+                    WHEN 'close' THEN CASE WHEN l.fin = 'odd' THEN 'E_INVALID_STATE' WHEN s.status IS NULL THEN 'E_SESSION_NOT_FOUND' ELSE 'close' END
+                    WHEN 'beat' THEN CASE WHEN l.lease = '' THEN 'E_INVALID_STATE' WHEN s.status IS NULL THEN 'E_SESSION_NOT_FOUND' WHEN s.lid <> l.lease THEN 'E_SESSION_CONFLICT' WHEN s.until <= l.tm THEN 'E_SESSION_EXPIRED' ELSE 'beat' END
+                    ELSE CASE WHEN l.run = '' THEN 'E_INVALID_STATE' WHEN s.status IS NULL THEN 'E_SESSION_NOT_FOUND' WHEN s.run <> l.run THEN 'E_SESSION_CONFLICT' WHEN s.until <= l.tm THEN 'E_SESSION_EXPIRED' WHEN l.ro THEN 'same' WHEN s.lo <> '' AND s.lo <> l.who AND s.lid <> '' AND s.until > l.tm THEN 'E_SESSION_CONFLICT' ELSE 'take' END END AS done
+                FROM s JOIN l ON l.sid = s.sid AND l.n = s.n + 1))
+        SELECT sid AS session_id, status, run AS run_id, owner, lo AS lease_owner, lid AS lease_id, until AS lease_until, errs AS errors FROM s QUALIFY n = max(n) OVER (PARTITION BY sid)""",
     "selection_evidence": "WITH a AS (SELECT p_name AS command, min(p_partkey) AS place FROM part WHERE p_size = 1 GROUP BY 1), b AS (SELECT p_name AS command, min(p_partkey) AS place FROM part WHERE p_size = 2 GROUP BY 1) SELECT 'safety_baseline' AS layer, * FROM a UNION ALL SELECT 'incremental_acceleration', * FROM b WHERE command NOT IN (SELECT command FROM a)",
     "preflight_missing": "SELECT 'c' || l_suppkey AS command, array_to_string(list_sort(list(DISTINCT 'p' || l_partkey)), ',') AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3) GROUP BY 1",
     "change_set": "WITH u AS (SELECT 'c' || o_custkey AS path, 0 AS o, min(o_orderkey) AS p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 UNION ALL SELECT 'c' || o_custkey, 1, min(o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT 'c' || o_custkey, 2, min(o_orderkey) FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), f AS (SELECT path, min(o) AS o, arg_min(p, o) AS p FROM u GROUP BY path ORDER BY o, p, path LIMIT 200) SELECT path, ['status', 'head', 'upstream'][o + 1] AS source, [0.99, 0.96, 0.9][o + 1]::DOUBLE AS confidence FROM f",
-    "change_fallback": "WITH m AS (SELECT DISTINCT replace(lower(p_name), ' ', '/') AS path FROM part), h AS (SELECT path, contains(path, 'red')::INT + contains(path, 'ring')::INT + contains(path, 'bolt')::INT AS hits FROM m) SELECT path, 'planner_fallback' AS source, greatest(0.35, least(0.88, 0.35 + 0.5 * hits / 3.0))::DOUBLE AS confidence FROM h WHERE hits > 0 ORDER BY hits DESC, path LIMIT 24",
-    "changed_state": "WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT count(*) AS paths, count(*) FILTER (WHERE c_custkey IS NOT NULL) AS existing, coalesce(sum(c_nationkey), 0)::BIGINT AS size, true AS stable FROM c LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = k",
+    "change_fallback": "WITH m AS (SELECT DISTINCT replace(lower(p_name), ' ', '/') AS path FROM part), h AS (SELECT path, contains(path, 'red')::INT + contains(path, 'ring')::INT + contains(path, 'bolt')::INT AS hits FROM m) SELECT path, row_number() OVER (ORDER BY hits DESC, path) AS place, 'planner_fallback' AS source, greatest(0.35, least(0.88, 0.35 + 0.5 * (SELECT max(hits) FROM h) / 3.0))::DOUBLE AS confidence FROM h WHERE hits > 0 ORDER BY hits DESC, path LIMIT 24",
+    "change_recent": "WITH r AS (SELECT replace(lower(p_name), ' ', '/') AS path, min(l_orderkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 1 GROUP BY 1) SELECT path, row_number() OVER (ORDER BY k, path) AS place, 'manifest_recent' AS source, 0.92::DOUBLE AS confidence FROM r ORDER BY k, path LIMIT 24",
+    "changed_state": """WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), f AS (SELECT * FROM customer WHERE c_acctbal > 0),
+        h AS (SELECT sha256('{"path":"c' || k || '","exists":' || (c_custkey IS NOT NULL) || ',"size":' || coalesce(c_nationkey, 0) || ',"mtime":' || coalesce(c_custkey, 0) || '}') AS h FROM c LEFT JOIN f ON c_custkey = k),
+        x AS (SELECT count(*) AS n, bit_xor(('0x' || h[1:15])::BIGINT) AS x, bit_xor(('0x' || h[16:30])::BIGINT) AS y FROM h) SELECT n, sha256(n || ',' || x || ',' || y) AS fingerprint FROM x""",
     "verify_groups": "SELECT DISTINCT ['python', 'node'][p_size % 3 + 1] AS \"group\" FROM part WHERE p_size % 3 < 2",
     "workspace_choice": """WITH p AS (SELECT page_id, contains(html, '<script') AS marked, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+$', '') AS path FROM pages), q AS (SELECT page_id, marked, path, split_part(path, '/', 1) AS set_id, string_split(path, '/') AS ps FROM p WHERE path <> ''),
         s AS (SELECT DISTINCT path AS rel, len(ps) AS depth FROM q WHERE marked AND len(ps) <= 3 AND NOT list_has_any(ps, ['node_modules', 'dist', 'build', '.venv', 'venv', '__pycache__'])),

@@ -198,11 +198,26 @@ def test_extraction_of_each_kind_alone(spark):
 
 
 def test_sessions(spark):
-    """A log replayed: conflicts, leases that run out, and operations on a closed session."""
-    rows = [("a", 1, 0, "heartbeat", "r", "x", "l1", 60), ("a", 2, 0, "open", "r", "x", "l1", 60), ("a", 3, 30, "heartbeat", "r", "x", "l1", 60), ("a", 4, 40, "open", "other", "x", "l2", 60), ("a", 5, 50, "attach", "r", "y", "l3", 60), ("a", 6, 200, "attach", "r", "y", "l3", 1), ("a", 7, 201, "heartbeat", "r", "x", "l1", 60), ("b", 1, 0, "open", "r", "x", "l", 10**9), ("b", 2, 5, "close", "r", "x", "l", 60), ("b", 3, 6, "heartbeat", "r", "x", "l", 60)]
-    log = spark.createDataFrame(rows, "session_id string, seq int, at long, op string, run_id string, owner string, lease_id string, ttl_seconds long").withColumn("at", F.timestamp_seconds("at"))
-    got = {r.session_id: (r.status, r.owner, r.lease_id, r.lease_until, r.errors) for r in jobs.replay_sessions(log).collect()}
-    assert got == {"a": ("open", "y", "l3", 230, ["E_INVALID_STATE", "E_SESSION_CONFLICT", "E_LEASE_CONFLICT", "E_LEASE_MISMATCH"]), "b": ("closed", "x", None, 0, ["E_INVALID_STATE"])}
+    """Each rule of a session's log: conflicts, leases that run out, read-only attaches, closes."""
+    made = {
+        # a lease that has run out isn't prolonged, whoever asks; opening again gives a new one
+        "late": [("open", 0, "r", "x", "l1", 60, None, None), ("heartbeat", 59, None, None, "l1", None, None, None), ("heartbeat", 1000, None, None, "l1", None, None, None), ("attach", 1001, "r", "y", "l2", None, False, None), ("open", 1002, "r", "y", "l3", 5, None, None)],
+        # a live lease is kept from others, not from its owner; another run never gets in
+        "live": [("open", 0, "r", "x", "l1", 600, None, None), ("attach", 1, "r", "y", "l2", None, False, None), ("attach", 2, "q", "x", "l2", None, False, None), ("open", 2, "q", "x", "l9", 60, None, None), ("attach", 3, "r", "x", "l2", None, False, None), ("heartbeat", 4, None, None, "l1", None, None, None)],
+        # without saying so an attach is read-only; no session, no run, no lease
+        "odd": [("attach", 0, "r", "x", "l", None, None, None), ("heartbeat", 0, None, None, "l", None, None, None), ("close", 0, None, None, None, None, None, None), ("open", 0, " ", "x", "l", None, None, None), ("open", 1, "r", None, "l", 10**9, None, None), ("attach", 2, "r", "y", "m", None, None, None), ("heartbeat", 2, None, None, "", None, None, None)],
+        # after a close the lease is free
+        "shut": [("open", 0, "r", "x", "l", 60, None, None), ("close", 1, None, None, None, None, None, "strange"), ("close", 2, None, None, None, None, None, " Cancelled"), ("heartbeat", 3, None, None, "l", None, None, None), ("attach", 4, "r", "y", "m", None, False, None)],
+    }
+    rows = [(k, i, *x) for k, log in made.items() for i, x in enumerate(log)]
+    log = spark.createDataFrame(rows, "session_id string, seq int, op string, at long, run_id string, actor string, lease_id string, ttl_seconds long, readonly boolean, final_status string").withColumn("at", F.timestamp_seconds("at"))
+    got = {r.session_id: (r.status, r.owner, r.lease_owner, r.lease_id, r.lease_until, r.ttl, r.errors) for r in jobs.replay_sessions(log).collect()}
+    assert got == {
+        "late": ("open", "y", "y", "l3", 1032, 30, ["E_SESSION_EXPIRED", "E_SESSION_EXPIRED"]),
+        "live": ("active", "x", "x", "l2", 603, 600, ["E_SESSION_CONFLICT"] * 4),
+        "odd": ("open", "codex", "codex", "l", 86401, 86400, ["E_SESSION_NOT_FOUND"] * 3 + ["E_INVALID_STATE"] * 2),
+        "shut": ("active", "x", "y", "m", 64, 60, ["E_INVALID_STATE", "E_SESSION_CONFLICT"]),
+    }
 
 
 def test_small_job_operators(spark):
