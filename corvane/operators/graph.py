@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+JOINED = 16  # rounds of a search whose tables are read one by one
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage into the folder of spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in one process (tests)."""
     sc = df.sparkSession.sparkContext
@@ -40,8 +43,8 @@ def top_neighbours(graph: DataFrame, n: int = 10) -> DataFrame:
 
 def levels(graph: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """Breadth-first levels up to depth along src -> dst: node, level (the smallest). starts: node."""
-    seen = starts.select("node").distinct().withColumn("level", F.lit(0))
-    frontier = seen
+    graph = _checkpoint(graph.select("src", "dst").distinct())
+    seen = frontier = _checkpoint(starts.select("node").distinct().withColumn("level", F.lit(0)))
     for k in range(1, depth + 1):
         nxt = graph.join(frontier, graph.src == frontier.node).select(F.col("dst").alias("node")).distinct()
         frontier = _checkpoint(nxt.join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
@@ -50,7 +53,10 @@ def levels(graph: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def reachable(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Everything reached from the starts along src -> dst, with its distance: node, level. Raises if a path is longer than max_rounds."""
+    """Everything reached from the starts along src -> dst, with its distance: node, level. Raises if a path is longer than max_rounds.
+
+    A round writes its new nodes only; every ``JOINED`` rounds what was found is put into one table.
+    """
     graph = _checkpoint(graph.select("src", "dst").distinct())
     seen = frontier = _checkpoint(starts.select("node").distinct().withColumn("level", F.lit(0)))
     for k in range(1, max_rounds + 1):
@@ -58,7 +64,9 @@ def reachable(graph: DataFrame, starts: DataFrame, max_rounds: int = 10_000) ->
         frontier = _checkpoint(nxt.join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
         if not frontier.limit(1).count():
             return seen
-        seen = _checkpoint(seen.union(frontier))
+        seen = seen.union(frontier)
+        if k % JOINED == 0:
+            seen = _checkpoint(seen)
     raise RuntimeError(f"nodes are still reached after {max_rounds} rounds")
 
 

@@ -56,8 +56,10 @@ def relation_links(symbols: DataFrame, references: DataFrame, dependencies: Data
     every = by_symbol.union(by_module).distinct()
     raw = references.select(F.col("file").alias("src"), F.trim("target_symbol").alias("raw"), F.lit("reference").alias("kind")).union(dependencies.select("edge_from", F.trim("edge_to"), F.lit("dependency")))
     raw = raw.where("raw <> ''").groupBy("src", "raw", "kind").agg(F.count("*").alias("n"))
+    # A name is resolved once, however many files use it; then the counts are joined and added up.
     tokens = F.array_distinct(F.concat(F.array(F.lower("raw"), _module_name(F.col("raw"))), _words(F.col("raw"))))
-    hit = raw.select("src", "raw", "kind", "n", F.explode(tokens).alias("token")).join(every, "token").select("src", "raw", "kind", "n", F.col("target").alias("dst")).distinct()
+    resolved = raw.select("raw").distinct().select("raw", F.explode(tokens).alias("token")).join(every, "token").select("raw", F.col("target").alias("dst")).distinct()
+    hit = raw.join(resolved, "raw")
     weight = F.create_map(*[F.lit(x) for kv in LINK_WEIGHTS.items() for x in kv])
     out = [hit.groupBy("src", "dst", "kind").agg(F.sum("n").alias("n"))]
     if "relation_targets" in symbols.columns:
@@ -96,7 +98,8 @@ def call_graph(graph: DataFrame, starts: DataFrame, depth: int, direction: str =
     Breadth-first, each link once. Down, only a node's ``most`` heaviest links are followed. Nodes up to
     ``depth`` are gone on from, so the last level is depth + 1. graph: src, dst, weight; starts: node.
     """
-    heavy = G.top_neighbours(graph, most).drop("rank")
+    graph = G._checkpoint(graph.select("src", "dst", "weight"))
+    heavy = G._checkpoint(G.top_neighbours(graph, most).drop("rank"))
     ways = {"down": (heavy, "src", "dst"), "up": (graph, "dst", "src")}
     nodes, links = [starts.select("node", F.lit(0).alias("level"))], []
     for way in ("down", "up"):

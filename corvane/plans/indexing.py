@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, relations
@@ -49,11 +52,25 @@ def impacted_by_change(spark, d):
     return relations.impacted_files(resolved, ["src/promo/b8.py", "src/large/b6.py"])
 
 
+def _calls(spark, d):
+    """Links over four kinds of files: nations' orders use suppliers, those use part files, those their brand's, and that the types it has."""
+    li, o, c, p = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "part"))
+    sold = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    supplier, brand = F.concat(F.lit("app/s"), "l_suppkey", F.lit(".py")), F.concat(F.lit("lib/b"), F.substring("p_brand", 7, 2), F.lit(".py"))
+    ways = [sold.select(F.concat(F.lit("shop/n"), "c_nationkey", F.lit(".py")), supplier), _uses(spark, d).select("file", _part_file()), p.select(_part_file(), brand), p.select(brand, F.concat(F.lit("core/"), F.lower("p_type"), F.lit(".py")))]
+    return reduce(DataFrame.union, ways).toDF("src", "dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
 def call_graph_links(spark, d):
-    """Two levels about the first suppliers, down by a file's heaviest links, and up."""
-    edges = _uses(spark, d).where("p_size <= 2").groupBy(F.col("file").alias("src"), _part_file().alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    starts = table(spark, d, "supplier").where("s_suppkey <= 2").select(F.concat(F.lit("app/s"), "s_suppkey", F.lit(".py")).alias("node"))
-    return relations.call_graph(edges, starts, 1)[1].select("src", "dst", "weight", "direction")
+    """Three levels about two part files, down by a file's heaviest links, and up."""
+    starts = spark.createDataFrame([("src/promo/b8.py",), ("src/large/b6.py",)], "node string")
+    return relations.call_graph(_calls(spark, d), starts, 1)[1].select("src", "dst", "weight", "direction")
+
+
+def call_graph_levels(spark, d):
+    """The nodes of the same search with their levels."""
+    starts = spark.createDataFrame([("src/promo/b8.py",), ("src/large/b6.py",)], "node string")
+    return relations.call_graph(_calls(spark, d), starts, 1)[0].select("node", F.col("level").cast("long").alias("level"))
 
 
 def inheritance_tree(spark, d):
@@ -96,10 +113,14 @@ def file_dependencies(spark, d):
     return out.select("file", F.concat_ws(",", "imports").alias("imports"), F.concat_ws(",", "imported_by").alias("imported_by"), "n_imports", "n_exports", "total_edges")
 
 
-QUERIES = {f.__name__: f for f in (relation_links, resolved_dependencies, impacted_by_change, call_graph_links, inheritance_tree, textual_dependents, test_files, symbol_places, index_inputs, candidate_files, file_dependencies)}
+QUERIES = {f.__name__: f for f in (relation_links, resolved_dependencies, impacted_by_change, call_graph_links, call_graph_levels, inheritance_tree, textual_dependents, test_files, symbol_places, index_inputs, candidate_files, file_dependencies)}
 _BASE = """p AS (SELECT p_partkey, p_size, lower(p_type) AS t, substr(p_brand, 7, 2) AS b, replace(p_name, ' ', '_') AS sym, 'src/' || lower(p_type) || '/b' || substr(p_brand, 7, 2) || '.py' AS file FROM part),
     u AS (SELECT 'app/s' || l_suppkey || '.py' AS src, p.* FROM lineitem JOIN p ON l_partkey = p_partkey),
     dp AS (SELECT DISTINCT src, file, 'src.' || t || '.b' || b || '.' || sym AS edge_to FROM u WHERE p_size <= 2)"""
+_CALLS = """w AS (SELECT 'shop/n' || c_nationkey || '.py' AS src, 'app/s' || l_suppkey || '.py' AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey UNION ALL SELECT src, file FROM u
+        UNION ALL SELECT file, 'lib/b' || b || '.py' FROM p UNION ALL SELECT 'lib/b' || b || '.py', 'core/' || t || '.py' FROM p),
+    e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM w GROUP BY ALL), h AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 10), st AS (SELECT unnest(['src/promo/b8.py', 'src/large/b6.py']) AS node),
+    d1 AS (SELECT * FROM h WHERE src IN (FROM st)), d2 AS (SELECT * FROM h WHERE src IN (SELECT dst FROM d1) AND src NOT IN (FROM st)), u1 AS (SELECT * FROM e WHERE dst IN (FROM st)), u2 AS (SELECT * FROM e WHERE dst IN (SELECT src FROM u1) AND dst NOT IN (FROM st))"""
 ORACLE = {
     "relation_links": f"""WITH {_BASE}, st AS (SELECT DISTINCT unnest(list_distinct([lower(sym), t || '.' || lower(sym), 'b' || p_size])) AS token, file AS dst FROM p),
         mt AS (SELECT DISTINCT unnest(['src.' || t || '.b' || b, 'b' || b]) AS token, file AS dst FROM p UNION SELECT unnest(['app.s' || s_suppkey, 's' || s_suppkey]), 'app/s' || s_suppkey || '.py' FROM supplier),
@@ -111,8 +132,8 @@ ORACLE = {
         SELECT src, dst, round(sum(w::DOUBLE), 4) AS weight FROM x WHERE src <> dst GROUP BY src, dst""",
     "resolved_dependencies": f"WITH {_BASE} SELECT DISTINCT src AS edge_from, file AS target FROM dp",
     "impacted_by_change": f"WITH {_BASE} SELECT DISTINCT src AS node FROM dp WHERE file IN ('src/promo/b8.py', 'src/large/b6.py') UNION SELECT unnest(['src/promo/b8.py', 'src/large/b6.py'])",
-    "call_graph_links": f"""WITH {_BASE}, e AS (SELECT src, file AS dst, count(*)::DOUBLE AS weight FROM u WHERE p_size <= 2 GROUP BY 1, 2), h AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 10)
-        SELECT src, dst, weight, 'down' AS direction FROM h WHERE src IN (SELECT 'app/s' || s_suppkey || '.py' FROM supplier WHERE s_suppkey <= 2)""",
+    "call_graph_links": f"WITH {_BASE}, {_CALLS} SELECT DISTINCT * FROM (SELECT src, dst, weight, 'down' AS direction FROM d1 UNION ALL SELECT src, dst, weight, 'down' FROM d2 UNION ALL SELECT src, dst, weight, 'up' FROM u1 UNION ALL SELECT src, dst, weight, 'up' FROM u2)",
+    "call_graph_levels": f"WITH {_BASE}, {_CALLS} SELECT node, min(level)::BIGINT AS level FROM (SELECT node, 0 AS level FROM st UNION ALL SELECT dst, 1 FROM d1 UNION ALL SELECT dst, 2 FROM d2 UNION ALL SELECT src, 1 FROM u1 UNION ALL SELECT src, 2 FROM u2) GROUP BY node",
     "inheritance_tree": """WITH n AS (SELECT r_name AS root, r_name || '.' || n_name AS q, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
         SELECT r_name AS root, r_name AS node, NULL AS parent, 0::BIGINT AS depth, false AS circular FROM region UNION ALL SELECT root, q, root, 1, false FROM n
         UNION ALL SELECT root, 'supplier.S' || s_suppkey, q, 2, false FROM supplier JOIN n ON s_nationkey = k""",
