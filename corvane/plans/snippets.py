@@ -36,6 +36,16 @@ def rule_compress(spark, d):
     return out.select("doc_id", "n_lines", "kept_lines", "dropped_imports", "dropped_comments", "dropped_blanks", F.sha1("content").alias("content_sha1"))
 
 
+COMPRESS_TOKENS = ["idiot", "license", "import", "thread"]
+
+
+def snippet_compression(spark, d):
+    """All five rules on every document as a snippet of 3,000 characters; those of even n_chars have a symbol."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    out = snippets.compress(docs, "text", F.array(*[F.lit(t) for t in COMPRESS_TOKENS]), 3000, F.col("n_chars") % 2 == 0)
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("trim_import_block", "trim_comment_block", "collapse_blank_runs", "drop_low_signal", "truncate_max_chars", "original_chars", "compressed_chars", "saved_chars")], "dropped", F.round("coverage", 6).alias("coverage"), F.sha1("compressed").alias("content_sha1"))
+
+
 def near_dup_pairs(spark, d):
     return snippets.near_duplicate_pairs(table(spark, d, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -93,7 +103,7 @@ def missing_modules(spark, d):
     return p.groupBy("module").agg(F.count("*").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, structural_sig, snippet_window, rule_compress, near_dup_pairs, near_dup_classes, grep_matches, grep_first, budget_pack, token_estimate, intent_budget, auto_budget_preset, hotspots, missing_modules)}
+QUERIES = {f.__name__: f for f in (exact_dedup, structural_sig, snippet_window, rule_compress, snippet_compression, near_dup_pairs, near_dup_classes, grep_matches, grep_first, budget_pack, token_estimate, intent_budget, auto_budget_preset, hotspots, missing_modules)}
 _IDS = "regexp_extract_all(lower({}), '[A-Za-z_][A-Za-z0-9_]{{1,63}}')"
 _WS = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _LINES = "l0 AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]') AS x FROM documents), l1 AS (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS ls FROM l0)"
@@ -109,6 +119,16 @@ ORACLE = {
         p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, g ORDER BY n) AS place FROM i), q AS (SELECT *, CASE kind WHEN 'i' THEN place > 12 WHEN 'c' THEN place > 8 WHEN 'b' THEN place > 1 ELSE false END AS gone FROM p)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT gone) AS kept_lines, count(*) FILTER (WHERE gone AND kind = 'i') AS dropped_imports, count(*) FILTER (WHERE gone AND kind = 'c') AS dropped_comments, count(*) FILTER (WHERE gone AND kind = 'b') AS dropped_blanks,
         sha1(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS content_sha1 FROM q GROUP BY doc_id""",
+    "snippet_compression": f"""WITH {_LINES}, d AS (SELECT doc_id, text, n_chars % 2 = 0 AS sy, {COMPRESS_TOKENS} AS ts FROM documents), h AS (SELECT *, NOT sy AND length(text) > 1200 AND NOT list_bool_or(list_transform(ts, lambda t: contains(lower(text), t))) AS silent FROM d),
+        a AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, rtrim(unnest(ls)) AS line FROM l1), b AS (SELECT *, trim(line) AS s FROM a),
+        k AS (SELECT *, CASE WHEN s = '' THEN 'b' WHEN (starts_with(s, 'import ') OR starts_with(s, 'from ')) AND NOT contains(s, '(') AND NOT contains(s, ')') THEN 'i' WHEN regexp_matches(s, '^(#|//|/\\*|\\*|"{{3}}|\'\'{{3}})') THEN 'c' ELSE 'o' END AS kind, list_bool_or(list_transform({COMPRESS_TOKENS}, lambda t: contains(lower(line), t))) AND s <> '' AS hit FROM b),
+        i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - row_number() OVER (PARTITION BY doc_id, kind ORDER BY n) AS g FROM k),
+        p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, g ORDER BY n) AS place FROM i), q AS (SELECT *, CASE kind WHEN 'i' THEN place > 12 WHEN 'c' THEN place > 8 WHEN 'b' THEN place > 1 ELSE false END AS gone FROM p),
+        t AS (SELECT doc_id, count(*) FILTER (WHERE gone AND kind = 'i') AS ni, count(*) FILTER (WHERE gone AND kind = 'c') AS nc, count(*) FILTER (WHERE gone AND kind = 'b') AS nb, coalesce(count(*) FILTER (WHERE hit)::DOUBLE / nullif(count(*) FILTER (WHERE s <> ''), 0), 0) AS cov, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS body FROM q GROUP BY doc_id),
+        u AS (SELECT h.*, coalesce(ni, 0) AS ni, coalesce(nc, 0) AS nc, coalesce(nb, 0) AS nb, CASE WHEN silent THEN 0 ELSE coalesce(cov, 0) END AS cov, trim(coalesce(body, '') || CASE WHEN ni > 0 THEN chr(10) || '# ... [omitted ' || ni || ' import lines]' ELSE '' END || CASE WHEN nc > 0 THEN chr(10) || '# ... [omitted ' || nc || ' comment lines]' ELSE '' END, chr(10)) AS c FROM h LEFT JOIN t USING (doc_id)),
+        v AS (SELECT *, silent OR (NOT sy AND cov <= 0 AND length(c) > 1200) AS dropped FROM u), w AS (SELECT *, NOT dropped AND length(c) > 3000 AS long FROM v),
+        x AS (SELECT *, CASE WHEN dropped THEN '' WHEN long THEN rtrim(left(c, 2984)) || chr(10) || '... [truncated]' WHEN c = '' THEN left(text, 3000) ELSE c END AS o FROM w)
+        SELECT doc_id, CASE WHEN silent THEN 0 ELSE ni END AS trim_import_block, CASE WHEN silent THEN 0 ELSE nc END AS trim_comment_block, CASE WHEN silent THEN 0 ELSE nb END AS collapse_blank_runs, dropped::INT::BIGINT AS drop_low_signal, long::INT::BIGINT AS truncate_max_chars, length(text) AS original_chars, length(o) AS compressed_chars, greatest(0, length(text) - length(o)) AS saved_chars, dropped, round(cov, 6)::DOUBLE AS coverage, sha1(o) AS content_sha1 FROM x""",
     "near_dup_pairs": f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({_IDS.format('text')})) AS s FROM documents), c AS (SELECT s, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY s),
         w AS (SELECT id, len(s) AS n, unnest(s) AS w FROM c), f AS (SELECT *, count(*) OVER (PARTITION BY w) AS df FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY df, w) AS pos FROM f),
         p AS (SELECT id, n, w FROM r WHERE df > 1 AND pos <= n - ceil(0.82 * n) + 1), j AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y USING (w) WHERE x.id < y.id),

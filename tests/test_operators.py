@@ -238,3 +238,46 @@ def test_small_job_operators(spark):
     assert {r.k for r in jobs.delete(up, spark.createDataFrame([("b",)], "k string"), "k").collect()} == {"a", "c"}
     r = spark.createDataFrame([("s", "r", "t", "ok", 1, 7), ("s", "q", "t", "ok", 2, 8)], "session_id string, run_id string, tool string, status string, ts int, job_id int")
     assert [x.job_id for x in jobs.list_receipts(r, session="s", limit=0).collect()] == [8] and [x.job_id for x in jobs.list_receipts(r, run="r").collect()] == [7]
+
+
+def slow_compress(content, max_chars, tokens, symbol):
+    """The five rules line by line."""
+    n = {"i": 0, "c": 0, "b": 0}
+    if not symbol and tokens and len(content) > 1200 and not any(t in content.lower() for t in tokens):
+        return "", (0, 0, 0, 1, 0)
+    kept, run, was, hit, full = [], 0, "", 0, 0
+    for line in (x.rstrip(" ") for x in content.splitlines()):
+        s = line.strip(" ")
+        full += s != ""
+        hit += s != "" and any(t in line.lower() for t in tokens)
+        kind = "b" if not s else "i" if s.startswith(("import ", "from ")) and "(" not in s and ")" not in s else "c" if s.startswith(("#", "//", "/*", "*", '"""', "'''")) else "o"
+        run = run + 1 if kind == was else 1
+        was = kind
+        if kind != "o" and run > {"i": 12, "c": 8, "b": 1}[kind]:
+            n[kind] += 1
+        else:
+            kept.append(line)
+    kept += [f"# ... [omitted {n[k]} {w} lines]" for k, w in (("i", "import"), ("c", "comment")) if n[k]]
+    out, cut = "\n".join(kept).strip("\n"), 0
+    if not symbol and not hit and len(out) > 1200:
+        return "", (n["i"], n["c"], n["b"], 1, 0)
+    if len(out) > max_chars:
+        out, cut = out[: max(0, max_chars - 16)].rstrip(" ") + "\n... [truncated]", 1
+    return out or content[:max_chars], (n["i"], n["c"], n["b"], 0, cut)
+
+
+def test_five_rules_of_compression(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    piece = {"i": "import a.b", "I": "from x import (y)", "c": "  # say", "b": "   ", "o": "value = 1  ", "t": "the Token here"}
+    for i in range(150):
+        ls = [piece[k] for _ in range(rng.randrange(8)) for k in rng.choice("iIcbot") * rng.randrange(1, 20)]
+        rows.append((i, "\n".join(ls) + "\n" * rng.randrange(3), rng.random() < 0.4, ["token"] if rng.random() < 0.6 else [], rng.choice([10, 200, 5000])))
+    rows += [(200, "", False, [], 50), (201, "\n\n\n", False, ["x"], 50), (202, None, True, None, 5), (203, "x" * 1300, False, ["y"], 5000), (204, "x" * 1300, False, [], 5000), (205, "x" * 1300, True, ["y"], 900)]
+    df = spark.createDataFrame(rows, "k int, content string, symbol boolean, tokens array<string>, most int")
+    names = ["trim_import_block", "trim_comment_block", "collapse_blank_runs", "drop_low_signal", "truncate_max_chars"]
+    got = {r.k: (r.compressed, tuple(r[c] for c in names), r.dropped) for r in snippets.compress(df, "content", F.col("tokens"), F.col("most"), F.col("symbol")).collect()}
+    for k, content, symbol, tokens, most in rows:
+        want, counts = slow_compress(content or "", most, tokens or [], symbol)
+        assert got[k] == (want, counts, counts[3] == 1), rows[k] if k < 150 else k
