@@ -58,7 +58,7 @@ def cut_snippets(ranked: DataFrame, symbols: DataFrame, texts: DataFrame, tokens
     """A snippet of each of the first ``top_n`` files with a text: file, rank, line_start, line_end, raw_chars, content.
 
     The lines of the symbol that the task names most; of one longer than ``MAX_UNIT_LINES`` the lines around
-    its start; without symbols the first line with a token. Then compressed by rules and cut to ``most``.
+    its start; without symbols the first line with a token. Then compressed by five rules, cut to ``most``; one without signal is left out.
     texts: file, text.
     """
     top = F.broadcast(ranked.where(F.col("rank") <= top_n).select("file", "rank"))
@@ -72,8 +72,8 @@ def cut_snippets(ranked: DataFrame, symbols: DataFrame, texts: DataFrame, tokens
     d = d.withColumn("at", start).withColumn("to", end).withColumn("whole", F.col("a").isNotNull() & (F.col("to") - F.col("at") < MAX_UNIT_LINES))
     d = d.withColumns({"line_start": F.when(F.col("whole"), F.col("at")).otherwise(clamp(F.col("at") - radius)), "line_end": F.when(F.col("whole"), F.col("to")).otherwise(clamp(F.col("at") + radius))})
     d = d.withColumn("raw", snippets.truncate(F.array_join(F.slice("ls", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"), most))
-    small = snippets.compress_lines(d.select("file", "raw"), "file", "raw").select("file", "content")
-    return d.join(small, "file").select("file", "rank", "line_start", "line_end", F.char_length("raw").alias("raw_chars"), snippets.truncate("content", most).alias("content"))
+    small = snippets.compress(d, "raw", F.array(*[F.lit(t) for t in tokens]).cast("array<string>"), most, F.col("a").isNotNull()).where("not dropped")
+    return small.select("file", "rank", "line_start", "line_end", F.char_length("raw").alias("raw_chars"), F.col("compressed").alias("content"))
 
 
 def _repeats(seen: Column, x: Column, structural: float, semantic: float) -> Column:
