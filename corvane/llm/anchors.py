@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import documents
 from corvane.llm.line_dedup import words
@@ -163,7 +164,7 @@ def _candidates(shard: Shard, reply: pa.Table, buckets: int):
     return first, cls, to[one], doc[one], h[one]
 
 
-def _plan(docs: DataFrame, shards: int, buckets: int, window: int, period: int, cover: tuple, schema: str) -> DataFrame:
+def _plan(docs: DataFrame, shards: int, buckets: int, window: int, period: int, cover: tuple, schema: T.StructType) -> DataFrame:
     """docs: doc_id long, text string, shard, rest. Per row: doc_id, n_words, kept, spans, rest."""
 
     def anchors(key, table):
@@ -254,7 +255,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), rest.alias("rest"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    schema = f"doc_id long, n_words long, n_removed long, kept binary, spans array<long>, rest {base.schema['rest'].dataType.simpleString()}"
+    kinds = {"doc_id": T.LongType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.BinaryType(), "spans": T.ArrayType(T.LongType())}
+    schema = T.StructType([*(T.StructField(n, k) for n, k in kinds.items()), base.schema["rest"]])
     base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)))
     return _plan(base, shards, max(4, shards // 2), window, period, tuple(cover), schema)
 

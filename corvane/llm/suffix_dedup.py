@@ -31,8 +31,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import documents
 
@@ -130,16 +131,17 @@ def blocks(texts: list[bytes]):
         yield Block(parts)
 
 
-def _rows(table: pa.Table) -> list[tuple]:
-    """(id, text, extra) of a shard's documents in a fixed order, those without an id last."""
-    rows = zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "extra")), strict=True)
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or ""))
+def _order(table: pa.Table) -> list[int]:
+    """A shard's rows in an order of their own (id, text), those without an id last; rows that are equal in both are alike here."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
 
 
 def _shard(table: pa.Table) -> tuple[list, list[bytes]]:
     """Ids and bytes of a shard's documents that have an id."""
-    rows = [r for r in _rows(table) if r[0] is not None]
-    return [r[0] for r in rows], [r[1].encode("utf-8", "surrogatepass") for r in rows]
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    order = [i for i in _order(table) if ids[i] is not None]
+    return [ids[i] for i in order], [texts[i].encode("utf-8", "surrogatepass") for i in order]
 
 
 def _keys(owner: np.ndarray, buckets: int) -> np.ndarray:
@@ -384,7 +386,9 @@ def least_ids(runs: list[bytes], ids: np.ndarray) -> np.ndarray:
 
 
 def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFrame:
-    """docs: doc_id long, text string, shard. Per document: doc_id, kept bytes and removed spans."""
+    """docs: doc_id long, text string, rest, shard. Per document: doc_id, kept bytes, removed spans, rest."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("whole", T.BinaryType()), T.StructField("spans", longs), docs.schema["rest"]])
 
     def owners(key, table):
         ids, texts = _shard(table)
@@ -450,7 +454,7 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
         return _table(rows, ["shard", "bucket", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def cut(key, table, reply):
-        names, types = ["doc_id", "kept", "whole", "spans", "extra"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        names, types = ["doc_id", "kept", "whole", "spans"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         ids, texts = _shard(table)
         said = [(b, x) for b, x, kind in zip(*(reply.column(c).to_pylist() for c in ("bucket", "bits", "kind")), strict=True) if kind == 1]
         first_reply = reply.filter(pc.equal(reply.column("kind"), 0))
@@ -482,8 +486,10 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
                     np.add.at(m, p, 1)
                     np.add.at(m, p + LENGTH, -1)
         rows = []
-        for i, (d, text, extra) in enumerate(_rows(table)):
-            t = text.encode("utf-8", "surrogatepass")
+        order = _order(table)
+        all_ids, all_texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        for i, at in enumerate(order):
+            d, t = all_ids[at], all_texts[at].encode("utf-8", "surrogatepass")
             kept, whole, spans = t, None, []
             if i in marks:
                 gone = np.cumsum(marks[i])[:-1] > 0
@@ -496,8 +502,8 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
                 cut_into = np.repeat(np.logical_or.reduceat(gone, begin), np.diff(np.r_[begin, len(letters)]))
                 if (cut_into & ~gone).any():
                     whole = letters[~cut_into].tobytes()
-            rows.append((d, kept, whole, spans, extra))
-        return _table(rows, names, types)
+            rows.append((d, kept, whole, spans))
+        return _table(rows, names, types).append_column("rest", table.column("rest").take(pa.array(order, pa.int64())))
 
     told = "shard long, bucket long, bits binary, hot binary"
     by_shard = docs.groupBy("shard")
@@ -506,15 +512,15 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
     second = by_shard.cogroup(first.groupBy("shard")).applyInArrow(runs, "bucket long, shard long, sizes binary, ids binary, data binary")
     last = second.groupBy("bucket").applyInArrow(smaller, told)
     both = first.withColumn("kind", F.lit(0)).union(last.withColumn("kind", F.lit(1)))
-    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(cut, "doc_id long, kept binary, whole binary, spans array<long>, extra string")
+    return by_shard.cogroup(both.groupBy("shard")).applyInArrow(cut, schema)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None, shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
     """Every row's id_col, ``kept`` (the remaining bytes), ``whole`` (the remaining whole characters' bytes,
     where a span cuts into a character; else null), ``spans`` (begin, end, begin, end... in bytes)
-    and ``extra`` (a text that goes along with the row; null unless given)."""
-    extra = F.lit(None) if extra is None else extra
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), extra.cast("string").alias("extra"))
+    and ``rest`` (a structure of the columns ``carry``, as they are; null without any)."""
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("int")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), rest.alias("rest"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)))
@@ -524,17 +530,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ext
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of their texts; a character that is cut into is dropped.
 
-    The other columns travel with their row as JSON, so texts aren't joined again. Null texts become empty.
+    The other columns travel with their row as they are, so texts aren't joined again. Null texts become empty.
     Ids are whole numbers (strings of digits are read as such); columns may have any names.
     """
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    out = repeats(docs, id_col, text_col, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])) if rest else None)
-    text = F.coalesce("whole", "kept").cast("string")
-    columns = {c: F.col(f"x.`{c}`") for c in rest} | {id_col: F.col(id_col).cast(docs.schema[id_col].dataType), text_col: text}
-    if rest:
-        out = out.withColumn("x", F.from_json("extra", types))
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    carry = [c for c in docs.columns if c != text_col]
+    out = repeats(docs, id_col, text_col, carry)
+    made = {c: F.col(f"rest.c{i}") for i, c in enumerate(carry)} | {text_col: F.coalesce("whole", "kept").cast("string")}
+    return out.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,11 @@ def test_tables(spark):
     for r in sd.op3_suffix_dedup(spark, d).collect():
         kept, spans = want[r.doc_id]
         assert (r.kept_sha256, r.n_spans, r.n_removed, r.n_bytes) == (hashlib.sha256(kept).hexdigest(), len(spans) // 2, sum(spans[1::2]) - sum(spans[::2]), len(dict(rows)[r.doc_id].encode()))
+
+
+def test_other_columns_as_they_are(spark):
+    p = "a passage of more than fifty bytes that two documents share, word by word"
+    docs = spark.sql(f"SELECT 2 AS doc_id, '{p}!' AS text, timestamp'2024-01-02 03:04:05.123456' AS shard, map(1, 'x') AS rest, 'k' AS `a.b` UNION ALL SELECT 1, '{p}', null, null, null")
+    out = sd.remove_repeats(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.dtypes == docs.dtypes and got[2].text == "!" and got[1].text == p and got[2]["a.b"] == "k" and got[2].rest == {1: "x"} and got[2].shard.microsecond == 123456
