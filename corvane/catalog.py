@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE.
-MODULES: list[str] = ["ranking", "snippets", "relations", "events", "extraction", "streams", "context", "indexing", "jobs", "indexes", "contracts", "verify"]
+MODULES: list[str] = ["ranking", "snippets", "relations", "events", "extraction", "streams", "context", "indexing", "jobs", "indexes", "contracts", "verify", "parts"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,8 +15,8 @@ TTL_BOUNDS = (30, 86400)
 DEFAULT_TTL = 1800
 # What a session may be after its close.
 FINAL_STATUSES = ["closed", "canceled", "failed", "succeeded"]
-# Confidence by the source of a change set, in the order of the sources.
-CHANGE_CONFIDENCE = {"status": 0.99, "staged": 0.98, "worktree": 0.98, "head": 0.96, "upstream": 0.9}
+# Sources of a change set in their order, and the confidence in the whole set if they add to it.
+CHANGE_CONFIDENCE = {"status": 0.98, "staged": 0.96, "worktree": 0.96, "head": 0.9, "upstream": 0.99}
 
 
 def _any(column: Column, marks: list[str]) -> Column:
@@ -198,10 +198,29 @@ def ordered_union(parts: list[DataFrame], key: str, names: list[str], limit: int
 
 
 def change_set(parts: dict[str, DataFrame], limit: int = 200) -> DataFrame:
-    """Changed paths of the sources of ``CHANGE_CONFIDENCE`` that are given, in its order: path, source, place, confidence."""
+    """Changed paths of the sources of ``CHANGE_CONFIDENCE`` that are given, in its order: path, source, place, confidence.
+
+    A path counts for the first source that has it. All rows have one confidence, the highest of the sources that add a path.
+    """
     names = [n for n in CHANGE_CONFIDENCE if n in parts]
     conf = F.create_map(*[F.lit(x) for kv in CHANGE_CONFIDENCE.items() for x in kv])
-    return ordered_union([parts[n] for n in names], "path", names, limit).withColumn("confidence", conf[F.col("source")])
+    out = ordered_union([parts[n] for n in names], "path", names, limit)
+    return out.withColumn("confidence", F.max(conf[F.col("source")]).over(Window.partitionBy()))  # ``limit`` rows
+
+
+def status_path(line: str | Column) -> Column:
+    """The path of a line of a version control's status: behind its two marks, of a rename the new name; empty without one."""
+    c = F.rtrim(F.coalesce(F.col(line) if isinstance(line, str) else line, F.lit("")))
+    rest = F.trim(F.substring(c, 4, 1 << 30))
+    renamed = F.trim(F.substring(rest, F.lit(1) + F.locate(" -> ", rest) + 3, F.lit(1 << 30)))
+    return F.replace(F.when(F.char_length(c) < 4, "").when(F.contains(rest, F.lit(" -> ")), renamed).otherwise(rest), F.lit("\\"), F.lit("/"))
+
+
+def missing_python_modules(results: DataFrame) -> DataFrame:
+    """Modules that commands' error texts say aren't there: module, results (how many say so), in order. results: stderr."""
+    found = F.regexp_extract_all("stderr", F.lit(r"""ModuleNotFoundError:\s+No module named ['"]([^'"]+)['"]"""), F.lit(1))
+    rows = results.select(F.explode(F.array_distinct(F.transform(found, lambda m: F.trim(m)))).alias("module")).where("module <> ''")
+    return rows.groupBy("module").agg(F.count("*").alias("results")).orderBy("module")
 
 
 def change_fallback(manifest: DataFrame, recent: DataFrame, tokens: list[str], limit: int = 24) -> DataFrame:

@@ -57,6 +57,31 @@ def recover_leases(receipts: DataFrame, sessions: DataFrame, open_states: list[s
     return hit.withColumns({"old_status": F.col("status"), "status": F.lit(ended)})
 
 
+# States of receipts that are recovered, and what is said of them.
+OPEN_RECEIPTS = ["queued", "running"]
+EXPIRED_CODE, EXPIRED_MESSAGE = "E_SESSION_EXPIRED", "session lease expired while receipt remained running"
+
+
+def recover_expired(receipts: DataFrame, sessions: DataFrame, now: Column, ended: str = "failed") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Receipts, sessions and new events after open receipts of run-out sessions have been ended.
+
+    receipts: job_id, session_id, status, ts, error_code, error_message and more; sessions: session_id, status, lease_until
+    (null: no lease), updated_at and more. Only sessions with such a receipt become ``expired``. events: job_id,
+    session_id, from_status, to_status, ts, error_code, error_message.
+    """
+    if ended not in ("failed", "canceled"):
+        raise ValueError("ended must be failed or canceled")
+    out = sessions.where(F.col("lease_until") < now).select("session_id").distinct().withColumn("_out", F.lit(True))
+    r = receipts.join(out, "session_id", "left").withColumn("_hit", F.coalesce("_out", F.lit(False)) & F.col("status").isin(OPEN_RECEIPTS))
+    new = {"status": F.lit(ended), "ts": now, "error_code": F.lit(EXPIRED_CODE), "error_message": F.lit(EXPIRED_MESSAGE)}
+    after = r.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in receipts.columns])
+    hit = r.where("_hit")
+    events = hit.select("job_id", "session_id", F.col("status").alias("from_status"), F.lit(ended).alias("to_status"), now.alias("ts"), F.lit(EXPIRED_CODE).alias("error_code"), F.lit(EXPIRED_MESSAGE).alias("error_message"))
+    s = sessions.join(hit.select("session_id").distinct().withColumn("_hit", F.lit(True)), "session_id", "left")
+    changed = {"status": F.lit("expired"), "updated_at": now}
+    return after, s.select(*[F.when(F.col("_hit"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in sessions.columns]), events
+
+
 def transitions(log: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     """Rows whose status differs from the one before (``none`` at first), with that one as ``was``."""
     was = F.lag(status, 1, "none").over(Window.partitionBy(key).orderBy(*order))

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import state
+from corvane.operators import jobs, state
 from corvane.plans.snippets import _IDS, STOPS
 from corvane.session import table
 
@@ -62,7 +62,8 @@ def receipt_transitions(spark, d):
 
 
 def receipt_list(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '2-HIGH'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_custkey")
+    o = table(spark, d, "orders").select(F.lit("s").alias("session_id"), F.lit("r").alias("run_id"), F.col("o_orderpriority").alias("tool"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("job_id"), "o_custkey")
+    return jobs.list_receipts(o, tool="2-HIGH", status="F", limit=50).select(F.col("job_id").alias("o_orderkey"), "o_custkey")
 
 
 def event_summary(spark, d):

@@ -199,7 +199,7 @@ ORACLE = {
         SELECT sid AS session_id, status, run AS run_id, owner, lo AS lease_owner, lid AS lease_id, until AS lease_until, errs AS errors FROM s QUALIFY n = max(n) OVER (PARTITION BY sid)""",
     "selection_evidence": "WITH a AS (SELECT p_name AS command, min(p_partkey) AS place FROM part WHERE p_size = 1 GROUP BY 1), b AS (SELECT p_name AS command, min(p_partkey) AS place FROM part WHERE p_size = 2 GROUP BY 1) SELECT 'safety_baseline' AS layer, * FROM a UNION ALL SELECT 'incremental_acceleration', * FROM b WHERE command NOT IN (SELECT command FROM a)",
     "preflight_missing": "SELECT 'c' || l_suppkey AS command, array_to_string(list_sort(list(DISTINCT 'p' || l_partkey)), ',') AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3) GROUP BY 1",
-    "change_set": "WITH u AS (SELECT 'c' || o_custkey AS path, 0 AS o, min(o_orderkey) AS p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 UNION ALL SELECT 'c' || o_custkey, 1, min(o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT 'c' || o_custkey, 2, min(o_orderkey) FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), f AS (SELECT path, min(o) AS o, arg_min(p, o) AS p FROM u GROUP BY path ORDER BY o, p, path LIMIT 200) SELECT path, ['status', 'head', 'upstream'][o + 1] AS source, [0.99, 0.96, 0.9][o + 1]::DOUBLE AS confidence FROM f",
+    "change_set": "WITH u AS (SELECT 'c' || o_custkey AS path, 0 AS o, min(o_orderkey) AS p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 UNION ALL SELECT 'c' || o_custkey, 1, min(o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT 'c' || o_custkey, 2, min(o_orderkey) FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), f AS (SELECT path, min(o) AS o, arg_min(p, o) AS p FROM u GROUP BY path ORDER BY o, p, path LIMIT 200) SELECT path, ['status', 'head', 'upstream'][o + 1] AS source, (max([0.98, 0.9, 0.99][o + 1]) OVER ())::DOUBLE AS confidence FROM f",
     "change_fallback": "WITH m AS (SELECT DISTINCT replace(lower(p_name), ' ', '/') AS path FROM part), h AS (SELECT path, contains(path, 'red')::INT + contains(path, 'ring')::INT + contains(path, 'bolt')::INT AS hits FROM m) SELECT path, row_number() OVER (ORDER BY hits DESC, path) AS place, 'planner_fallback' AS source, greatest(0.35, least(0.88, 0.35 + 0.5 * (SELECT max(hits) FROM h) / 3.0))::DOUBLE AS confidence FROM h WHERE hits > 0 ORDER BY hits DESC, path LIMIT 24",
     "change_recent": "WITH r AS (SELECT replace(lower(p_name), ' ', '/') AS path, min(l_orderkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 1 GROUP BY 1) SELECT path, row_number() OVER (ORDER BY k, path) AS place, 'manifest_recent' AS source, 0.92::DOUBLE AS confidence FROM r ORDER BY k, path LIMIT 24",
     "changed_state": """WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), f AS (SELECT * FROM customer WHERE c_acctbal > 0),
