@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import index
 from corvane.session import table
+from corvane.sources import scan
 from corvane.streaming.jobs import shared
 
 BLOCK = 100
@@ -71,7 +72,16 @@ def index_by_keys(spark, d):
     return store.read("symbols", keys).select("file", "symbol")
 
 
-QUERIES = {f.__name__: f for f in (index_update, index_stream, index_by_keys)}
+def scanned_files(spark, d):
+    """The sources written as files, listed by the scan and read back: those under app/ and src/b1*, and whether their texts are the same."""
+    root, files = f"{shared(spark)}/files-{uuid.uuid4().hex}", _scan(spark, d, True).select("path", "text")
+    scan.write_files(files, root).write.format("noop").mode("overwrite").save()
+    found = scan.with_text(scan.list_files(spark, root, ["app/*", "src/b1*"]), root)
+    both = found.join(files.withColumnRenamed("text", "wrote"), "path", "left")
+    return both.select("path", "size", "lang", F.col("text").eqNullSafe(F.col("wrote")).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (index_update, index_stream, index_by_keys, scanned_files)}
 _BASE = f"""p AS (SELECT *, 'b' || substr(p_brand, 7, 2) AS b, replace(p_name, ' ', '_') || '_' || p_partkey AS fn FROM part), m AS (SELECT 'src/' || b || '/m' || p_partkey // {BLOCK} || '.py' AS file, * FROM p),
     u AS (SELECT DISTINCT 'app/s' || l_suppkey || '.ts' AS file, b, p_partkey FROM lineitem JOIN p ON l_partkey = p_partkey),
     n AS (SELECT file, fn, row_number() OVER (PARTITION BY file ORDER BY 'def ' || fn || '(') AS k FROM m),
@@ -84,5 +94,7 @@ ORACLE = {
     "index_stream": f"""WITH {_BASE}
         SELECT file AS path, (24 + sum(strlen(fn) + 34))::BIGINT AS size, count(*) AS symbols, count(*) AS "references", 1::BIGINT AS dependencies FROM n GROUP BY file
         UNION ALL SELECT file, (any_value(head) + sum(strlen('p_' || p_partkey) + 5))::BIGINT, 0, count(*), any_value(imports) FROM u JOIN i USING (file) GROUP BY file""",
+    "scanned_files": f"""WITH {_BASE} SELECT file AS path, (24 + sum(strlen(fn) + 34))::BIGINT AS size, 'python' AS lang, true AS same FROM n WHERE file LIKE 'src/b1%' GROUP BY file
+        UNION ALL SELECT file, (any_value(head) + sum(strlen('p_' || p_partkey) + 5))::BIGINT, 'typescript', true FROM u JOIN i USING (file) GROUP BY file""",
     "index_by_keys": f"WITH {_BASE} SELECT file, fn AS symbol FROM m WHERE file IN (SELECT file FROM m WHERE p_retailprice = (SELECT max(p_retailprice) FROM part))",
 }

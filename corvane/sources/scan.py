@@ -192,3 +192,44 @@ def with_text(listing: DataFrame, root: str) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema)
     return listing.mapInArrow(of, f"{schema}, text string")
+
+
+def write_files(rows: DataFrame, root: str, mode: str = "overwrite") -> DataFrame:
+    """Writes each row's ``text`` to its ``path`` below root: path, size, status, once the result is read.
+
+    mode: ``overwrite``, ``skip`` (a file that is there stays: status ``kept``) or ``error`` (it fails). A file is written aside
+    and moved, so readers see all of it or none; a task that runs again writes the same files. A path must be relative,
+    without ``..``; null texts are written as empty files.
+    """
+    if mode not in ("overwrite", "skip", "error"):
+        raise ValueError("mode must be overwrite, skip or error")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        fs, base = _fs(root.rstrip("/"))
+        for b in batches:
+            sizes, said = [], []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if not path or path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"not a path below the root: {path}")
+                to, data = f"{base}/{path}", (text or "").encode("utf-8", "surrogatepass")
+                found = fs.get_file_info(to)
+                if found.type != pafs.FileType.NotFound and mode != "overwrite":
+                    if mode == "error":
+                        raise FileExistsError(to)
+                    sizes.append(found.size)
+                    said.append("kept")
+                    continue
+                fs.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                aside = f"{to}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(aside) as f:
+                    f.write(data)
+                fs.move(aside, to)
+                sizes.append(len(data))
+                said.append("written")
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(sizes, pa.int64()), pa.array(said, pa.string())], names=["path", "size", "status"])
+
+    return rows.select("path", "text").mapInArrow(of, "path string, size long, status string")

@@ -281,3 +281,31 @@ def test_five_rules_of_compression(spark):
     for k, content, symbol, tokens, most in rows:
         want, counts = slow_compress(content or "", most, tokens or [], symbol)
         assert got[k] == (want, counts, counts[3] == 1), rows[k] if k < 150 else k
+
+
+def test_budget_overrides(spark):
+    said = ["", None, " XL ", "balanced", '{"max_chars": 7, "x": 1, "top_n_files": 2}', "max_chars=5; Top_N_Files = 3", "tiny"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, said string").select("i", budget.override(F.col("said")).alias("o")).select("i", "o.*")
+    got = {r.i: (r.max_chars, r.max_snippets, r.top_n_files, r.snippet_radius) for r in df.collect()}
+    assert got == {0: (None,) * 4, 1: (None,) * 4, 2: (50000, 120, 20, 50), 3: (24000, 60, 12, 30), 4: (7, None, 2, None), 5: (5, None, 3, None), 6: (6000, 16, 6, 20)}
+    with pytest.raises(Exception, match="unsupported budget preset"):
+        spark.createDataFrame([("odd",)], "said string").select(budget.override(F.col("said"))).collect()
+    one = spark.range(1).select(budget.override(F.lit("max_chars=0")).alias("o"))
+    assert list(one.select(*budget.with_override({k: F.lit(9) for k in budget.BASE}, F.col("o")).values()).first()) == [1, 9, 9, 9]
+
+
+def test_recovered_leases(spark):
+    make = spark.createDataFrame
+    r = make([(1, "s", "running", 0, "", "", "k"), (2, "s", "failed", 0, "", "", "k"), (3, "t", "queued", 0, "", "", "k"), (4, "u", "queued", 0, "", "", "k"), (5, None, "queued", 0, "", "", "k")], "job_id int, session_id string, status string, ts int, error_code string, error_message string, more string")
+    s = make([("s", "active", 5, 0), ("t", "active", 10, 0), ("u", "closed", None, 0), ("v", "active", 1, 0)], "session_id string, status string, lease_until int, updated_at int")
+    after, sessions, events = state.recover_expired(r, s, F.lit(10))
+    assert after.columns == r.columns and {x.job_id: (x.status, x.ts, x.error_code) for x in after.collect()} == {1: ("failed", 10, "E_SESSION_EXPIRED"), 2: ("failed", 0, ""), 3: ("queued", 0, ""), 4: ("queued", 0, ""), 5: ("queued", 0, "")}
+    assert {(x.session_id, x.status, x.updated_at) for x in sessions.collect()} == {("s", "expired", 10), ("t", "active", 0), ("u", "closed", 0), ("v", "active", 0)}
+    assert [(x.job_id, x.from_status, x.to_status) for x in events.collect()] == [(1, "running", "failed")]
+    with pytest.raises(ValueError):
+        state.recover_expired(r, s, F.lit(10), "odd")
+
+
+def test_paths_of_a_status(spark):
+    rows = spark.createDataFrame([(" M a\\b.py ",), ("R  old -> new name",), ("??",), (None,), ("A  x",)], "l string")
+    assert [r[0] for r in rows.select(jobs.status_path("l")).collect()] == ["a/b.py", "new name", "", "", "x"]

@@ -69,3 +69,16 @@ def test_folders_that_cannot_matter_are_not_opened(root, monkeypatch):
     assert run(StringStartsWith(("path",), "src/deep/")) == (["src/deep/er/c.js"], ["", "src", "src/deep", "src/deep/er"])
     assert run(In(("path",), ("gen/f.py", "src/nope.py")), LessThanOrEqual(("size",), 5)) == (["gen/f.py"], ["", "gen", "src"])
     assert run(EqualTo(("lang",), "python"), EqualTo(("path",), "a.py")) == (["a.py"], [""])
+
+
+def test_files_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.py", "é\n"), ("c.txt", None)], "path string, text string")
+    root = str(tmp_path / "out")
+    write = lambda df, mode="overwrite": {r.path: (r.size, r.status) for r in scan.write_files(df, root, mode).collect()}
+    assert write(rows) == {"a/b.py": (3, "written"), "c.txt": (0, "written")} and (tmp_path / "out/a/b.py").read_text() == "é\n"
+    more = spark.createDataFrame([("c.txt", "new"), ("d.txt", "x")], "path string, text string")
+    assert write(more, "skip") == {"c.txt": (0, "kept"), "d.txt": (1, "written")} and write(more) == {"c.txt": (3, "written"), "d.txt": (1, "written")}
+    for bad, mode in ((more, "error"), (spark.createDataFrame([("../x", "")], "path string, text string"), "overwrite")):
+        with pytest.raises(Exception, match="FileExistsError|below the root"):
+            write(bad, mode)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "c.txt", "d.txt"]
