@@ -40,11 +40,13 @@ def similar_entry(queries: DataFrame, cache: DataFrame, threshold: float = 0.86,
     """Best cache entry for each query among the newest ``candidates``: query, entry, score, hit.
 
     queries: query, q_tokens, q_changed; cache: entry, created, tokens, changed (arrays). Token sets count
-    .7 and changed files .3; without changed files on both sides .9 and a flat .1. The newest of equals wins.
+    .7 and changed files .3; without changed files on both sides .9 and a flat .1. The newest of equals wins. Hint
+    tokens (q_hints, hints), where both sides have them, count as tokens.
     """
     newest = cache.orderBy(F.desc("created"), F.desc("entry")).limit(candidates)
     both = queries.crossJoin(F.broadcast(newest))  # at most ``candidates`` rows
-    task = jaccard("q_tokens", "tokens", 1.0)
+    hinted = "q_hints" in queries.columns and "hints" in cache.columns
+    task = jaccard(F.array_union("q_tokens", "q_hints"), F.array_union("tokens", "hints"), 1.0) if hinted else jaccard("q_tokens", "tokens", 1.0)
     blank = (F.size("q_changed") == 0) & (F.size("changed") == 0)
     score = F.when(blank, 0.9 * task + 0.1).otherwise(0.7 * task + 0.3 * jaccard("q_changed", "changed", 1.0))
     best = both.withColumn("score", F.round(score, 9)).groupBy("query").agg(F.max(F.struct("score", "created", "entry")).alias("b"))

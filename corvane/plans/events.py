@@ -41,6 +41,14 @@ def cache_similarity(spark, d):
     return state.similar_entry(q, c).select("query", "entry", F.round("score", 6).alias("score"), "hit")
 
 
+def cache_hybrid(spark, d):
+    """The same with hint tokens and changed files on both sides."""
+    changed = lambda c: F.array(F.concat(F.lit("f"), c % 5), F.lit("g"))
+    q = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("query"), T.task_tokens("text").alias("q_tokens"), F.array(F.lit("license"), F.lit("thread")).alias("q_hints"), changed(F.col("turn")).alias("q_changed"))
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("created"), T.task_tokens("text").alias("tokens"), F.array(F.lower("source"), F.lit("thread")).alias("hints"), changed(F.col("n_chars")).alias("changed"))
+    return state.similar_entry(q, c, 0.3).select("query", "entry", F.round("score", 6).alias("score"), "hit")
+
+
 def cache_miss_reason(spark, d):
     """Why each customer's look-up (a user's newest event is the entry) misses."""
     newest = table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("n"))
@@ -135,7 +143,7 @@ def fingerprints(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("fingerprint"), state.status_of(F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "P", "Running ").otherwise("odd")).alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (delta_merge, ttl_prune, cache_similarity, cache_miss_reason, lease_recovery, receipt_transitions, receipt_list, event_summary, event_tail, stall_gaps, eta_progress, failure_kinds, fail_fast_prefix, wall_time_budget, status_tail, health_status, contract_violations, fingerprints)}
+QUERIES = {f.__name__: f for f in (delta_merge, ttl_prune, cache_similarity, cache_hybrid, cache_miss_reason, lease_recovery, receipt_transitions, receipt_list, event_summary, event_tail, stall_gaps, eta_progress, failure_kinds, fail_fast_prefix, wall_time_budget, status_tail, health_status, contract_violations, fingerprints)}
 _TOK = lambda x: f"(SELECT list(t ORDER BY p) FROM (SELECT t, min(p) AS p FROM (SELECT unnest(z) AS t, generate_subscripts(z, 1) AS p FROM (SELECT {_IDS.format(x)} AS z)) WHERE NOT list_contains({STOPS}, t) GROUP BY t ORDER BY min(p)))"
 ORACLE = {
     "delta_merge": "WITH o AS (SELECT user_id, event_id, event_type, max(event_id) OVER (PARTITION BY user_id) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-16') SELECT user_id, event_id FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id NOT IN (SELECT user_id FROM o) UNION ALL SELECT user_id, event_id FROM o WHERE event_id = m AND event_type <> 'error'",
@@ -143,6 +151,9 @@ ORACLE = {
     "cache_similarity": f"""WITH q AS (SELECT conv_id || '/' || turn AS query, coalesce({_TOK('conversations.text')}, []) AS a FROM conversations WHERE role = 'user'), c AS (SELECT doc_id AS entry, coalesce({_TOK('d.text')}, []) AS b FROM (SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 80) d),
         s AS (SELECT query, entry, round(0.9 * CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END + 0.1, 9) AS score FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry DESC) AS rn FROM s)
         SELECT query, entry, round(score, 6)::DOUBLE AS score, score >= 0.86 AS hit FROM r WHERE rn = 1""",
+    "cache_hybrid": f"""WITH q AS (SELECT conv_id || '/' || turn AS query, list_distinct(list_concat(coalesce({_TOK('conversations.text')}, []), ['license', 'thread'])) AS a, turn % 5 AS x FROM conversations WHERE role = 'user'), c AS (SELECT doc_id AS entry, list_distinct(list_concat(coalesce({_TOK('d.text')}, []), [lower(source), 'thread'])) AS b, n_chars % 5 AS y FROM (SELECT doc_id, text, source, n_chars FROM documents ORDER BY doc_id DESC LIMIT 80) d),
+        s AS (SELECT query, entry, round(0.7::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) + 0.3::DOUBLE * CASE WHEN x = y THEN 1 ELSE 1 / 3.0::DOUBLE END, 9) AS score FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry DESC) AS rn FROM s)
+        SELECT query, entry, round(score, 6)::DOUBLE AS score, score >= 0.3 AS hit FROM r WHERE rn = 1""",
     "cache_miss_reason": "WITH n AS (SELECT user_id AS key, arg_max({'ts': ts, 'event_type': event_type, 'value': value}, (ts, event_id)) AS n FROM events GROUP BY user_id) SELECT c_custkey AS key, CASE WHEN n IS NULL THEN 'not_found' WHEN n.ts < TIMESTAMP '2024-01-30' THEN 'expired' WHEN n.event_type = 'error' THEN 'config_mismatch' WHEN n.value < 10 THEN 'fingerprint_mismatch' ELSE 'hit' END AS reason FROM customer LEFT JOIN n ON key = c_custkey",
     "lease_recovery": "SELECT o_custkey AS session_id, o_orderkey AS job_id, o_orderstatus AS old_status, 'failed' AS status FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('O', 'P') AND TIMESTAMP '1998-01-01' + to_days(c_nationkey * 60) < TIMESTAMP '1999-06-01'",
     "receipt_transitions": "SELECT o_custkey, o_orderkey, was, o_orderstatus AS now FROM (SELECT *, lag(o_orderstatus, 1, 'none') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) WHERE was <> o_orderstatus",
