@@ -52,6 +52,27 @@ def impacted_by_change(spark, d):
     return relations.impacted_files(resolved, ["src/promo/b8.py", "src/large/b6.py"])
 
 
+def resolved_ways(spark, d):
+    """Lines' dependencies written in four ways: a path, relative to the importing file, below the app's root, and a dotted name; some lead nowhere."""
+    files = _files(spark, d).union(table(spark, d, "part").select(F.concat(F.lit("src/frontend/src/x"), "p_size", F.lit(".ts")))).distinct()
+    way = F.when(F.col("l_linenumber") == 1, F.col("part")).when(F.col("l_linenumber") == 2, F.concat(F.lit("./s"), F.col("l_suppkey") + 1)).when(F.col("l_linenumber") == 3, F.concat(F.lit("@/x"), "p_size")).when(F.col("l_linenumber") == 4, F.concat_ws(".", F.lit("src"), F.lower("p_type"), F.concat(F.lit("b"), F.substring("p_brand", 7, 2)))).otherwise(F.concat(F.lit("nowhere/"), "p_size"))
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    e = li.withColumn("part", _part_file()).select(F.concat(F.lit("app/s"), "l_suppkey", F.lit(".py")).alias("edge_from"), way.alias("edge_to")).distinct()
+    return graph.resolve_dependencies(e, files)
+
+
+def impacted_chain(spark, d):
+    """All files that depend on one type's core file, over brands, parts, suppliers and shops."""
+    e = _calls(spark, d).select(F.col("src").alias("edge_from"), F.col("dst").alias("target"))
+    return relations.impacted_files(e, ["core/promo.py", "none.py"])
+
+
+def impacted_by_text(spark, d):
+    """Nothing depends on the changed file, so the documents that mention it are taken."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".py")).alias("path"), "text")
+    return relations.impacted_files(_calls(spark, d).select(F.col("src").alias("edge_from"), F.col("dst").alias("target")), ["lib/license.py"], docs)
+
+
 def _calls(spark, d):
     """Links over four kinds of files: nations' orders use suppliers, those use part files, those their brand's, and that the types it has."""
     li, o, c, p = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "part"))
@@ -113,7 +134,7 @@ def file_dependencies(spark, d):
     return out.select("file", F.concat_ws(",", "imports").alias("imports"), F.concat_ws(",", "imported_by").alias("imported_by"), "n_imports", "n_exports", "total_edges")
 
 
-QUERIES = {f.__name__: f for f in (relation_links, resolved_dependencies, impacted_by_change, call_graph_links, call_graph_levels, inheritance_tree, textual_dependents, test_files, symbol_places, index_inputs, candidate_files, file_dependencies)}
+QUERIES = {f.__name__: f for f in (relation_links, resolved_dependencies, impacted_by_change, resolved_ways, impacted_chain, impacted_by_text, call_graph_links, call_graph_levels, inheritance_tree, textual_dependents, test_files, symbol_places, index_inputs, candidate_files, file_dependencies)}
 _BASE = """p AS (SELECT p_partkey, p_size, lower(p_type) AS t, substr(p_brand, 7, 2) AS b, replace(p_name, ' ', '_') AS sym, 'src/' || lower(p_type) || '/b' || substr(p_brand, 7, 2) || '.py' AS file FROM part),
     u AS (SELECT 'app/s' || l_suppkey || '.py' AS src, p.* FROM lineitem JOIN p ON l_partkey = p_partkey),
     dp AS (SELECT DISTINCT src, file, 'src.' || t || '.b' || b || '.' || sym AS edge_to FROM u WHERE p_size <= 2)"""
@@ -132,6 +153,10 @@ ORACLE = {
         SELECT src, dst, round(sum(w::DOUBLE), 4) AS weight FROM x WHERE src <> dst GROUP BY src, dst""",
     "resolved_dependencies": f"WITH {_BASE} SELECT DISTINCT src AS edge_from, file AS target FROM dp",
     "impacted_by_change": f"WITH {_BASE} SELECT DISTINCT src AS node FROM dp WHERE file IN ('src/promo/b8.py', 'src/large/b6.py') UNION SELECT unnest(['src/promo/b8.py', 'src/large/b6.py'])",
+    "resolved_ways": f"""WITH {_BASE}, l AS (SELECT l_suppkey AS s, l_linenumber AS n, p.* FROM lineitem JOIN p ON l_partkey = p_partkey), f AS (SELECT 'app/s' || s_suppkey || '.py' AS path FROM supplier)
+        SELECT DISTINCT 'app/s' || s || '.py' AS edge_from, CASE n WHEN 1 THEN file WHEN 2 THEN 'app/s' || (s + 1) || '.py' WHEN 3 THEN 'src/frontend/src/x' || p_size || '.ts' ELSE file END AS target FROM l WHERE n IN (1, 3, 4) OR (n = 2 AND 'app/s' || (s + 1) || '.py' IN (FROM f))""",
+    "impacted_chain": f"WITH RECURSIVE {_BASE}, {_CALLS}, r AS (SELECT unnest(['core/promo.py', 'none.py']) AS node UNION SELECT src FROM e JOIN r ON dst = node) SELECT node FROM r",
+    "impacted_by_text": "SELECT 'lib/license.py' AS node UNION ALL SELECT 'doc_' || doc_id || '.py' FROM documents WHERE regexp_matches(lower(text), 'lib\\.license|license') AND strlen(text) <= 1000000",
     "call_graph_links": f"WITH {_BASE}, {_CALLS} SELECT DISTINCT * FROM (SELECT src, dst, weight, 'down' AS direction FROM d1 UNION ALL SELECT src, dst, weight, 'down' FROM d2 UNION ALL SELECT src, dst, weight, 'up' FROM u1 UNION ALL SELECT src, dst, weight, 'up' FROM u2)",
     "call_graph_levels": f"WITH {_BASE}, {_CALLS} SELECT node, min(level)::BIGINT AS level FROM (SELECT node, 0 AS level FROM st UNION ALL SELECT dst, 1 FROM d1 UNION ALL SELECT dst, 2 FROM d2 UNION ALL SELECT src, 1 FROM u1 UNION ALL SELECT src, 2 FROM u2) GROUP BY node",
     "inheritance_tree": """WITH n AS (SELECT r_name AS root, r_name || '.' || n_name AS q, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
