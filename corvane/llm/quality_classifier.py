@@ -117,7 +117,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = measured(docs, id_col, text_col, host_col, path_col)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
-    sample = rows.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"]).select("x", "y").collect()
+    sample = rows.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.x", "r.y").collect()  # of a repeated id the smallest row
     weights, base = fit(sorted((list(r.x), r.y) for r in sample))
     out = combine(evidence(rows, weights, base))
     return out.withColumn("kept", F.col("score") >= KEEP_FROM).withColumnRenamed("doc_id", id_col)

@@ -70,30 +70,34 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
     Returns id_col, host, path, rule (null if none fits), verdict.
     """
+    if id_col.lower() in ("host", "path", "rule", "verdict"):
+        raise ValueError(f"an id column can't be named {id_col}: the result has a column of that name")
     listed = entries.where("rule is not null and instr(rule, '/') > 0").groupBy(F.col("rule").alias("key")).agg(F.max("verdict").alias("verdict"))
-    host, path = split_url(url_col)
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    # Path lengths are at most as many as a url is long; the count is one number.
-    lengths = [r[0] for r in listed.select(F.expr("length(key) - instr(key, '/') + 1").alias("n")).distinct().orderBy("n").collect()]
+    urls = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"))
+    host, path = split_url("url")
+    urls = urls.select("id", host.alias("host"), path.alias("path"))
+    none = lambda rows: rows.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     n_keys = listed.count()
     if not n_keys:
-        return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return none(urls).withColumnRenamed("id", id_col)
     blocks, n_blocks = bloom_blocks(listed.select("key"), n_keys)
-    shapes = urls.where("host <> '' and path <> ''").select("host", "path").distinct()
+    # What has no host or path can't fit a rule; it is many rows of one key, and isn't joined.
+    whole = (F.col("host") != "") & (F.col("path") != "")
+    shapes = urls.where(whole).select("host", "path").distinct()
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 10000), '.'))")
+    # One row with the lengths of the rules' paths; a url meets those up to its own path's.
+    lengths = listed.agg(F.array_sort(F.collect_set(F.expr("length(key) - instr(key, '/') + 1"))).alias("lengths"))
     keys = (
-        shapes.withColumn("suffix", F.explode(suffixes))
-        .withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths])))
-        .where("n <= length(path)")
+        shapes.crossJoin(F.broadcast(lengths))
+        .withColumn("n", F.explode(F.expr("filter(lengths, n -> n <= length(path))")))
+        .withColumn("suffix", F.explode(suffixes))
         .select("host", "path", F.expr("concat(suffix, substring(path, 1, n))").alias("key"))
     )
     possible = bloom_pass(keys, blocks, n_blocks)
     exact = possible.join(listed, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("verdict"))).alias("best"))
-    return (
-        urls.join(best, ["host", "path"], "left")
-        .select(id_col, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    )
+    judged = urls.where(whole).join(best, ["host", "path"], "left").select("id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.union(none(urls.where(~whole))).withColumnRenamed("id", id_col)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,11 @@ def test_bloom_keeps_all_listed_keys(spark):
     assert url_filter.bloom_pass(keys, blocks, n).count() == 5000
     others = spark.range(5000, 25000).selectExpr("concat('k', id) as key")
     assert url_filter.bloom_pass(others, blocks, n).count() < 1000  # 16 bits a key
+
+
+def test_names_and_urls_without_a_host(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None), (3, "none"), (4, "http://a.org")], "`page.id` int, `the url` string")
+    out = url_filter.filter_urls(pages, spark.createDataFrame([("org/", "block")], "rule string, verdict string"), "page.id", "the url")
+    assert {tuple(r) for r in out.collect()} == {(1, "a.org", "/x", "org/", "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "a.org", "", None, "allow")} and out.columns[0] == "page.id"
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages, pages, "HOST")
