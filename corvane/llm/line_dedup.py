@@ -10,8 +10,12 @@ they are in the input. Lines without a word stay.
 2. Each line's words are sorted, rarest first. Two similar lines share a word among their first
    n - ceil(0.8 n) + 1, so only these are sent, with the line's length, the word's position and 128
    parity bits. A word counted once can't be shared and isn't sent. Tasks send packed arrays,
-   one row per bucket of words; exact repeats within a block are settled before. A word counted more
-   than ``HOT`` times is dealt into parts: each of its lines is the later one in one of them only.
+   one row per bucket of words; exact repeats within a block are settled before, those of lines with
+   a hot word (counted more than ``HOT`` times) within a task, as far as ``SEEN`` lines are remembered.
+   A hot word is dealt into up to ``PARTS`` parts: each of its lines is the later one in one of them only.
+   Beyond that its lines are dealt by the words they have: words are divided by hash into one block more
+   than similar lines of that length can differ by, so such lines have all words of some block in common,
+   and meet there. So a line sends no more than a constant number of rows for a word, however often it is counted.
 3. Within a word, later lines are compared with earlier ones of the neighbouring length classes:
    signatures (each differing bit is a differing word), then lengths and positions. A line gets at most
    ``FIRST`` candidates per word; if a word had more and none of the line's is confirmed, a second round
@@ -49,6 +53,8 @@ LONG_BLOCK = 1 << 22
 LONG_WORD = 256
 FIRST = 4
 HOT = 1 << 17
+PARTS = 8
+SEEN = 1 << 18
 BUCKET_ROWS = 200_000
 LEAST_BUCKETS = 64
 BLOOM_BYTES = 1 << 25
@@ -247,6 +253,39 @@ def _prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-p * n // q) + 1
 
 
+def _kind(n: np.ndarray) -> np.ndarray:
+    """Length class: classes of similar lines differ by one at most, as the base is over 5 / 4."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.26)).astype(np.int64)
+
+
+def _blocks_of(kind: np.ndarray) -> np.ndarray:
+    """Blocks for pairs of lines of a length class or the one below: one more than the words by which they can differ."""
+    p, q = SIMILARITY
+    return ((q - p) * 2 * np.ceil(1.26 ** (kind + 1.0)) // (p + q)).astype(np.int64) + 1
+
+
+def shares(h: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks of the lines ``at``, for their length class and the next: key, place in ``at``.
+
+    Two similar lines have a key in common; a key stands for all words of a line that fall into one block.
+    """
+    keys, places = [], []
+    size = n[at]
+    word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[at], size)
+    w = _mix(h[word] + _ODD)
+    for above in (0, 1):
+        kind = _kind(size) + above
+        count = _blocks_of(kind)
+        begin = np.cumsum(count) - count
+        place = np.repeat(np.arange(len(at)), count)
+        block = np.arange(count.sum()) - begin[place]
+        total = _mix((kind[place] << 32 | block).astype(np.uint64) + np.uint64(1))
+        np.add.at(total, np.repeat(begin, size) + (w % np.repeat(count, size).astype(np.uint64)).astype(np.int64), _mix(w))
+        keys.append(_mix(total))
+        places.append(place)
+    return np.concatenate(keys), np.concatenate(places)
+
+
 def _signature(h: np.ndarray, start: np.ndarray, half: int) -> np.ndarray:
     """One half of a line's 128 parity bits: a word flips one bit, so two lines differ by at least as many words as bits."""
     bit = np.left_shift(np.uint64(1), h >> np.uint64(58))
@@ -281,6 +320,25 @@ def _ref(r: np.ndarray) -> np.ndarray:
     return _ref_of(r["doc"], r["line"])
 
 
+def _in_parts(k, t, at, parts, some):
+    """Rows of some words dealt into parts, one for each part: line, word, its position, part, number of parts."""
+    k, t, at, parts = k[some], t[some], at[some], parts[some]
+    copy = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return *(np.repeat(x, parts) for x in (k, t, at)), copy, np.repeat(parts, parts)
+
+
+def _in_blocks(k, t, at, some, h, start, n):
+    """Rows of some words dealt by blocks, one for each block of their line: as ``_in_parts``, with the block's key and 0 parts."""
+    k, t, at = k[some], t[some], at[some]
+    lines, of = np.unique(k, return_inverse=True)
+    keys, place = shares(h, start, n, lines)
+    order = np.argsort(place, kind="stable")
+    keys, each = keys[order], np.bincount(place, minlength=len(lines))
+    begin, count = (np.cumsum(each) - each)[of], each[of]
+    i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    return *(np.repeat(x, count) for x in (k, t, at)), (keys[i] >> np.uint64(1)).astype(np.int64), np.zeros(len(i), np.int64)
+
+
 def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col: str, tokens=None) -> DataFrame:
     """Packed prefix rows by bucket of their word; and exact repeats settled within a block: bucket, settled, rows.
 
@@ -289,6 +347,7 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
 
     def send(batches):
         table = counts.value
+        seen: dict[tuple[int, int], tuple[int, int]] = {}  # the earliest of equal lines with a hot word that this task has had
         for h, doc, line in blocks(batches):
             if tokens is not None and len(h):  # lines with one of the words only
                 fresh = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
@@ -305,19 +364,33 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
             first = o[np.maximum.accumulate(np.where(alike, 0, np.arange(len(o))))]
             again = np.zeros(len(n), bool)
             again[o] = alike & ((ldoc[o] != ldoc[first]) | (lline[o] != lline[first]))
-            gone = np.zeros(int(again.sum()), PLACE)
-            gone["doc"], gone["line"] = ldoc[again], lline[again]
             pos = np.arange(len(h)) - start[key]
             use = ~again[key] & (pos < _prefix(n)[key]) & (c > 1)
+            earlier = []  # places that the task took for the earliest of their lines until now
+            for i in np.unique(key[use & (_AT_MOST[c] > HOT)]).tolist():
+                what, place = (int(same[i]), int(sig[i]) ^ int(n[i])), (int(ldoc[i]), int(lline[i]))
+                known = seen.get(what)
+                if known is None or place < known:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[what] = place
+                    if known is not None:
+                        earlier.append(known)
+                elif place > known:
+                    again[i] = True
+            use &= ~again[key]
+            gone = np.zeros(int(again.sum()) + len(earlier), PLACE)
+            gone["doc"][: len(gone) - len(earlier)], gone["line"][: len(gone) - len(earlier)] = ldoc[again], lline[again]
+            for i, place in enumerate(earlier, len(gone) - len(earlier)):
+                gone[i] = place
             if tokens is not None:
                 use &= _in_bloom(tokens.value, _mix(h & np.uint64(0xFFFFFFFF)))
-            k, t = key[use], h[use]
-            parts = np.minimum(65535, np.ceil(_AT_MOST[c[use]] / HOT)).astype(np.int64)
-            copy = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            k, t, at, parts = (np.repeat(x, parts) for x in (k, t, pos[use], parts))
+            k, t, at = key[use], h[use], pos[use]
+            parts = np.ceil(_AT_MOST[c[use]] / HOT).astype(np.int64)
+            k, t, at, copy, parts = (np.concatenate(x) for x in zip(_in_parts(k, t, at, parts, parts <= PARTS), _in_blocks(k, t, at, parts > PARTS, h, start, n), strict=True))
             out = np.zeros(len(k), ROW)
             out["token"], out["n"], out["pos"], out["same"] = t & np.uint64(0xFFFFFFFF), n[k], at, same[k] >> np.uint64(32)
-            out["sig"], out["sig2"], out["doc"], out["line"], out["part"], out["parts"] = sig[k], sig2[k], ldoc[k], lline[k], copy, parts
+            out["sig"], out["sig2"], out["doc"], out["line"], out["part"], out["parts"] = sig[k], sig2[k], ldoc[k], lline[k], copy & 0xFFFF, parts
             bucket = (np.where(copy == 0, t >> np.uint64(32), _mix(t + copy.astype(np.uint64)) >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
@@ -338,12 +411,12 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     only: whether each row may be the later line.
     """
     p, q = SIMILARITY
-    mine = _ref(r) % r["parts"].astype(np.uint64) == r["part"]
+    mine = (r["parts"] == 0) | (_ref(r) % np.maximum(r["parts"], 1).astype(np.uint64) == r["part"])
     if only is not None:
         mine &= only
     order = np.lexsort((r["line"], r["doc"]))
     r, mine = r[order], mine[order]
-    lists = (r["token"].astype(np.uint64) << np.uint64(16)) | r["part"]  # lines are compared within a word, and a part of it
+    lists = (r["token"].astype(np.uint64) << np.uint64(16)) | r["part"]  # lines are compared within a word, and a part or block of it
     alike = _mix(r["sig"] ^ _mix(lists ^ (r["same"].astype(np.uint64) << np.uint64(32)) * _ODD) ^ (r["n"].astype(np.uint64) * _ODD))
     order = np.argsort(alike, kind="stable")  # repeats of a line side by side, the earliest first
     twin = np.r_[False, alike[order[1:]] == alike[order[:-1]]] if len(r) else np.empty(0, bool)
@@ -354,8 +427,8 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     out = [(t[moved], r[source[moved]], np.zeros(int(moved.sum()), np.int8))]
     stay = np.sort(order[~twin])
     r, mine, lists = r[stay], mine[stay], lists[stay]
-    # By word, length class and place: similar lines' classes differ by one at most, as the base is over 5 / 4.
-    kind = np.floor(np.log(np.maximum(r["n"], 1)) / np.log(1.26)).astype(np.uint64)
+    # By word, length class and place.
+    kind = _kind(r["n"]).astype(np.uint64)
     group = np.unique(lists, return_inverse=True)[1].astype(np.uint64) << np.uint64(7) | kind
     order = np.argsort(group, kind="stable")
     r, mine, group = r[order], mine[order], group[order].astype(np.int64)

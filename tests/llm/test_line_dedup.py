@@ -62,6 +62,56 @@ def test_hot_words_in_parts(spark, monkeypatch):
     assert removed(spark, rows) == slow(rows)
 
 
+def test_hot_words_in_blocks(spark, monkeypatch):
+    """Words with more parts are dealt by blocks of their lines' words, with the same result; also in the second round."""
+    rows = made(6, 140, 5)
+    monkeypatch.setattr(ld, "HOT", 1)
+    monkeypatch.setattr(ld, "PARTS", 1)
+    assert removed(spark, rows) == slow(rows)
+    monkeypatch.setattr(ld, "PARTS", 12)
+    assert removed(spark, rows) == slow(rows)
+    monkeypatch.setattr(ld, "FIRST", 0)
+    assert removed(spark, rows) == slow(rows)
+    monkeypatch.setattr(ld, "SEEN", 2)
+    assert removed(spark, rows) == slow(rows)
+
+
+def test_similar_lines_share_a_block():
+    """Any two lines of a Jaccard similarity of 0.8 have a block's key in common, at every length."""
+    rng = random.Random(5)
+    for n in [*range(1, 60), 140, 500]:
+        for _ in range(12):
+            base = [rng.getrandbits(64) for _ in range(n)]
+            cut = rng.randrange(n // 5 + 1)
+            other = base[cut:] + [rng.getrandbits(64) for _ in range(rng.randrange(n // 4 + 1))]
+            both = len(set(base) & set(other))
+            h = np.array(base + other, np.uint64)
+            keys, place = ld.shares(h, np.array([0, n]), np.array([n, len(other)]), np.array([0, 1]))
+            if 5 * both >= 4 * (n + len(other) - both):
+                assert set(keys[place == 0].tolist()) & set(keys[place == 1].tolist())
+
+
+def test_rows_of_a_hot_word_grow_with_its_lines(spark, monkeypatch):
+    """A word in all lines: rows in proportion to the lines, no list with a large part of them, one row a task for equal lines."""
+    monkeypatch.setattr(ld, "HOT", 8)
+
+    def sent(n, text):
+        docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string").coalesce(1)
+        counts = spark.sparkContext.broadcast(ld.sketch(docs, "doc_id", "text", 1 << 16))
+        rows = ld.prefix_rows(docs, counts, 4, "doc_id", "text").collect()
+        r = ld.unpack([bytes(x.rows) for x in rows if not x.settled], ld.ROW)
+        lists = np.unique((r["token"].astype(np.uint64) << np.uint64(16)) | r["part"], return_counts=True)[1]
+        return len(r), int(lists.max()), sum(len(x.rows) for x in rows if x.settled) // ld.PLACE.itemsize
+
+    rng = random.Random(1)
+    few, many = (sent(n, lambda i: " ".join(["all", *(f"w{rng.randrange(9)}x" for _ in range(12))])) for n in (1000, 4000))
+    assert many[0] < 5 * few[0] and many[1] < 4000 / 2
+    # Equal lines of a task, in several blocks of text: one stands for them, with its three blocks.
+    assert sent(900, lambda i: "all the same" + "\n" * 2000) == (3, 1, 899)
+    turned = sent(9, lambda i: "all the same" + "\n" * 300_000)
+    assert turned[1:] == (1, 8)
+
+
 def test_words_of_any_blanks():
     """Hashes don't depend on where a long text is cut, nor on the words beside."""
     rng = random.Random(9)
