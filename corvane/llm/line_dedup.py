@@ -294,6 +294,7 @@ def _signature(h: np.ndarray, start: np.ndarray, half: int) -> np.ndarray:
 
 ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("same", "<u4"), ("sig", "<u8"), ("sig2", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("part", "<u2"), ("parts", "<u2")])
 PLACE = np.dtype([("doc", "<i8"), ("line", "<u4")])
+MADE = np.dtype([("d", "<i8"), ("l", "<i8"), ("d0", "<i8"), ("l0", "<i8"), ("s", "<i4")])
 
 
 def pack(r: np.ndarray) -> bytes:
@@ -424,7 +425,8 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     t = r[order]
     # A repeat is told by its line's rarest word only.
     moved = twin & ((t["doc"] != r["doc"][source]) | (t["line"] != r["line"][source])) & (t["pos"] == 0)
-    out = [(t[moved], r[source[moved]], np.zeros(int(moved.sum()), np.int8))]
+    repeats = np.zeros(int(moved.sum()), MADE)
+    repeats["d"], repeats["l"] = t["doc"][moved], t["line"][moved]
     stay = np.sort(order[~twin])
     r, mine, lists = r[stay], mine[stay], lists[stay]
     # By word, length class and place.
@@ -437,6 +439,7 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     n, pos, sig, sig2 = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"], r["sig2"]
     most = n // 4  # words by which similar lines differ
     found = np.zeros(len(r), np.int64)
+    late, early, state = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, bool)]  # pairs by their places in r
     for beside in (0, -1, 1):
         begin = np.searchsorted(group, group + beside)
         count = np.searchsorted(both, (group + beside) * max(1, len(r)) + rank) - begin
@@ -452,18 +455,17 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
             ok &= (np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64) + np.bitwise_count(sig2[i] ^ sig2[j]) <= a + b - 2 * need) & ((r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j]))
             i, j = i[ok], j[ok]
             found[i] += 1
-            full = found[i] > first
-            out.append((r[i[~full]], r[j[~full]], np.ones(int((~full).sum()), np.int8)))
-            out.append((r[i[full]], r[j[full]], np.full(int(full.sum()), 2, np.int8)))
+            late.append(i.astype(np.int32))
+            early.append(j.astype(np.int32))
+            state.append(found[i] > first)
             step += 1
             active = active[(count[active] > step) & (found[active] <= first)]
-    late, early, state = (np.concatenate([o[k] for o in out]) for k in range(3))
-    made = np.zeros(len(late), [("d", "<i8"), ("l", "<i8"), ("d0", "<i8"), ("l0", "<i8"), ("s", "<i4")])
-    made["d"], made["l"], made["d0"], made["l0"], made["s"] = late["doc"], late["line"], early["doc"], early["line"], state
-    more = state == 2  # here the word is told instead of an earlier line
-    made["d0"][more], made["l0"][more] = late["token"][more], 0
-    made["d0"][state == 0], made["l0"][state == 0] = 0, 0
-    return made
+    i, j, more = (np.concatenate(x) for x in (late, early, state))
+    made = np.zeros(len(i), MADE)
+    made["d"], made["l"], made["s"] = r["doc"][i], r["line"][i], np.where(more, 2, 1)
+    made["d0"] = np.where(more, r["token"][i], r["doc"][j])  # of state 2 the word is told instead of an earlier line
+    made["l0"] = np.where(more, 0, r["line"][j])
+    return np.concatenate([repeats, made])
 
 
 PAIRS = "d long, l long, d0 long, l0 long, s int"
