@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 MOST_TESTS = 20
 INJECTED = "strict_changed_file_fallback"
 LEAST_CHARS = 200
+MOST_REASONS = 8
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
@@ -69,6 +70,32 @@ def inject_changed(packs: DataFrame, top: DataFrame, snippets: DataFrame, change
     return files, shown.select("pack_id", F.col("_n").alias("rank"), "path", F.lit(1).alias("line_start"), lines.alias("line_end"), F.lit(INJECTED).alias("reason"), content.alias("content"))
 
 
+def plan_and_gate(packs: DataFrame, top: DataFrame, snippets: DataFrame, plans: DataFrame, max_affected_files: int = 12, max_snippets: int = 24) -> DataFrame:
+    """What every pack affects and what gates it, one row a pack: its first files and snippets, tests and checks.
+
+    Files and snippets are cut by their rank (at most 200 and 240, at least 1) before those without a path or content are
+    left out; a snippet's relevance is its file's score in the whole of ``top`` (the last of repeated ones, 0 without one),
+    a file has up to ``MOST_REASONS`` reasons. Columns: pack_id, affected_files, minimal_snippets, target_tests,
+    target_checks, selected_tests_count, selected_checks_count, selection_reason, scope_files_hint. top: pack_id, rank,
+    path, score, reasons; snippets: pack_id, rank, path, line_start, line_end, symbol, content; plans: of ``verify_plan``.
+    """
+    lists = lambda rows, item, name: rows.groupBy("pack_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))), lambda x: x["item"]).alias(name))
+    filled = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    named = top.withColumn("path", F.trim("path")).where("path <> ''")
+    score = F.round(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), 6)
+    first = named.where(F.col("rank") <= max(1, min(200, max_affected_files)))
+    scores = named.groupBy("pack_id", "path").agg(F.max_by(score, F.struct("rank", score.alias("score"))).alias("relevance_score"))
+    files = first.join(scores, ["pack_id", "path"]).withColumn("file", F.struct(F.col("rank").cast("long").alias("rank"), "path", F.col("relevance_score").alias("score"), F.slice(filled(F.col("reasons")), 1, MOST_REASONS).alias("reasons")))
+    shown = snippets.where(F.col("rank") <= max(1, min(240, max_snippets))).withColumn("path", F.trim("path")).where((F.col("path") != "") & F.regexp_like("content", F.lit(r"\S")))
+    begin = F.greatest(F.lit(1), F.coalesce("line_start", F.lit(1))).cast("long")
+    text = F.struct("path", begin.alias("line_start"), F.greatest(begin, F.coalesce(F.col("line_end").cast("long"), begin)).alias("line_end"), F.trim(F.coalesce("symbol", F.lit(""))).alias("symbol"), "content", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"))
+    out = packs.select("pack_id").distinct().join(lists(files, F.col("file"), "affected_files"), "pack_id", "left")
+    out = out.join(lists(shown.join(scores, ["pack_id", "path"], "left"), text, "minimal_snippets"), "pack_id", "left").join(plans, "pack_id", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
+    tests, checks = filled(F.col("target_tests")), filled(F.col("target_checks"))
+    return out.select("pack_id", empty("affected_files").alias("affected_files"), empty("minimal_snippets").alias("minimal_snippets"), tests.alias("target_tests"), checks.alias("target_checks"), F.size(tests).cast("long").alias("selected_tests_count"), F.size(checks).cast("long").alias("selected_checks_count"), F.coalesce("reason", F.lit("")).alias("selection_reason"), F.transform(empty("affected_files"), lambda f: f["path"]).alias("scope_files_hint"))
+
+
 def callers(symbols: DataFrame, references: DataFrame, most: int = 20) -> DataFrame:
     """Who calls each symbol: symbol, file, n_callers, called_by (the first ``most``, in order of first sight).
 

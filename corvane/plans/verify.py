@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.operators import summary, verify
+from corvane.operators import commands, summary, verify
 from corvane.session import table
 from corvane.streaming.jobs import shared
 
@@ -92,7 +93,31 @@ def suite_cases(spark, d):
     return summary.load_suite(spark, f"{path}/part-*").select(F.when(F.startswith("id", F.lit("case_")), "case").otherwise(F.col("id")).alias("id"), F.sha1("task").alias("task_sha1"), F.concat_ws(",", "expected_files").alias("expected_files"), F.size("hints").cast("long").alias("hints"))
 
 
-QUERIES = {f.__name__: f for f in (verify_plans, injected_files, injected_snippets, symbol_callers, verify_events, context_events, health_report, suite_cases)}
+def gated_plans(spark, d):
+    """A pack for each order: its lines are files and snippets, its customer's tests the plan."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = li.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")))
+    pack, rank, path = F.col("l_orderkey").alias("pack_id"), F.col("n").alias("rank"), F.when(F.col("l_quantity") > 45, " ").otherwise(F.concat(F.lit(" f"), "l_partkey"))
+    top = li.select(pack, rank, path.alias("path"), (F.col("l_quantity") / 64).alias("score"), F.array("l_returnflag", F.lit(" "), "l_linestatus").alias("reasons"))
+    shown = li.select(pack, rank, path.alias("path"), (F.col("n") - 2).alias("line_start"), (F.col("l_quantity") - 20).cast("int").alias("line_end"), F.col("p_brand").alias("symbol"), F.when(F.col("l_quantity") < 5, "\n ").otherwise(F.col("p_name")).alias("content"))
+    plans = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("pack_id"), F.array(F.concat(F.lit("t"), "o_custkey"), F.lit(" ")).alias("target_tests"), F.array(F.lit("ruff"), "o_orderpriority").alias("target_checks"), F.lit("run").alias("reason"))
+    out = verify.plan_and_gate(o.select(F.col("o_orderkey").alias("pack_id")), top, shown, plans, 3, 4)
+    file = lambda f: F.concat_ws(":", f["rank"], f["path"], (f["score"] * 64).cast("long"), F.concat_ws("+", f["reasons"]))
+    text = lambda x: F.concat_ws(":", x["path"], x["line_start"], x["line_end"], x["symbol"], x["content"], (x["relevance_score"] * 64).cast("long"))
+    return out.select("pack_id", F.array_join(F.transform("affected_files", file), ";").alias("affected_files"), F.array_join(F.transform("minimal_snippets", text), ";").alias("minimal_snippets"), F.array_join("target_tests", ",").alias("target_tests"), F.array_join("target_checks", ",").alias("target_checks"), "selected_tests_count", "selected_checks_count", "selection_reason", F.array_join("scope_files_hint", ",").alias("scope_files_hint"))
+
+
+def routed_commands(spark, d):
+    """A test command for each line of an order: its part's test by a case with a blank, and the tests' folder of a size that may not exist."""
+    p = table(spark, d, "part")
+    files = p.select(F.concat(F.lit("pkg"), "p_size", F.lit("/tests/t"), "p_partkey", F.lit(".py")).alias("path"))
+    li = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    command = F.concat(F.lit('python -m pytest -q "./pkg'), "p_size", F.lit("/tests/t"), "l_partkey", F.lit('.py::case one" pkg'), F.col("l_quantity").cast("int") + F.col("l_linenumber") % 2 * 100, F.lit("/tests/ none.py"))
+    c = li.select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("command_id"), command.alias("command"), F.when(F.col("l_linenumber") == 4, " ").otherwise(F.concat(F.lit("pkg"), "p_size")).alias("workspace"))
+    return commands.route_commands(c, files)
+
+
+QUERIES = {f.__name__: f for f in (verify_plans, injected_files, injected_snippets, symbol_callers, verify_events, context_events, health_report, suite_cases, gated_plans, routed_commands)}
 _LOG = lambda kinds: f"""e AS (SELECT user_id AS job, event_id AS seq, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items())} END AS ev, floor(value)::BIGINT AS v FROM events),
         l AS (SELECT *, CASE WHEN v % 3 = 0 THEN 'running' END AS st, CASE WHEN v % 4 = 0 THEN 's' || v % 5 END AS sg FROM e WHERE ev <> ''),
         s AS (SELECT c_custkey AS job, CASE c_mktsegment WHEN 'BUILDING' THEN 'Completed' WHEN 'MACHINERY' THEN '' ELSE 'pending' END AS st0, CASE WHEN c_nationkey % 2 = 0 THEN 'done' ELSE '' END AS sg0 FROM customer)"""
@@ -121,5 +146,14 @@ ORACLE = {
         SELECT s.job, coalesce(st1, st0) AS latest_state, coalesce(sg1, sg0) AS latest_stage, CASE WHEN ends THEN 'event_terminal' WHEN st1 IS NOT NULL THEN 'events' ELSE 'job_state' END AS state_source, coalesce(seen, false) AS terminal_event_seen, coalesce(first_seq, 0) AS first_seq, coalesce(last_seq, 0) AS last_seq, coalesce(err, '') AS latest_error, coalesce(progress, 0) AS progress FROM s LEFT JOIN b USING (job)""",
     "health_report": """WITH i AS (SELECT count(*) AS n, (epoch(TIMESTAMP '1998-08-03 06:00:00') - epoch(max(o_orderdate)))::DOUBLE AS age FROM orders), j AS (SELECT count(*) FILTER (WHERE t = 'view') AS active, count(*) FILTER (WHERE t = 'click') AS pending, count(*) AS total FROM (SELECT arg_max(event_type, event_id) AS t FROM events GROUP BY user_id))
         SELECT 'warning' AS status, CASE WHEN age > 86400 THEN 'Index may be stale (>24h old);' ELSE '' END || 'Receipt store not found' AS issues, true AS index_exists, age > 86400 AS stale, round(age / 3600, 2)::DOUBLE AS age_hours, n AS file_count, true AS cache_ok, false AS receipts_ok, active, pending, total FROM i, j""",
+    "gated_plans": """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus) AS n, CASE WHEN l_quantity <= 45 THEN 'f' || l_partkey END AS path, l_quantity::BIGINT AS q, l_returnflag || '+' || l_linestatus AS why, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+        s AS (SELECT k, path, arg_max(q, n) AS q1 FROM l WHERE path IS NOT NULL GROUP BY 1, 2), m AS (SELECT * FROM l JOIN s USING (k, path)),
+        a AS (SELECT k, string_agg(n || ':' || path || ':' || q1 || ':' || why, ';' ORDER BY n) FILTER (WHERE n <= 3) AS files, string_agg(path, ',' ORDER BY n) FILTER (WHERE n <= 3) AS hint,
+        string_agg(path || ':' || greatest(1, n - 2) || ':' || greatest(1, n - 2, q - 20) || ':' || p_brand || ':' || p_name || ':' || q1, ';' ORDER BY n) FILTER (WHERE n <= 4 AND q >= 5) AS texts FROM m GROUP BY k)
+        SELECT o_orderkey AS pack_id, coalesce(files, '') AS affected_files, coalesce(texts, '') AS minimal_snippets, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 't' || o_custkey END AS target_tests, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'ruff,' || o_orderpriority END AS target_checks,
+        CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END::BIGINT AS selected_tests_count, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 2 END::BIGINT AS selected_checks_count, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'run' END AS selection_reason, coalesce(hint, '') AS scope_files_hint FROM orders LEFT JOIN a ON k = o_orderkey""",
+    "routed_commands": """WITH l AS (SELECT l_orderkey || '.' || l_linenumber AS command_id, p_size AS s, l_partkey AS p, l_quantity::INT + l_linenumber % 2 * 100 AS q, l_linenumber = 4 AS root FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT *, q IN (SELECT p_size FROM part) AS there FROM l), m AS (SELECT *, root OR (there AND q <> s) AS stays FROM t)
+        SELECT command_id, CASE WHEN stays THEN 'python -m pytest -q "./pkg' || s || '/tests/t' || p || '.py::case one" pkg' || q || '/tests/ none.py' ELSE 'cd "pkg' || s || '" && python -m pytest -q ''tests/t' || p || '.py::case one'' ' || CASE WHEN q = s THEN 'tests' ELSE 'pkg' || q || '/tests/' END || ' none.py' END AS command,
+        CASE WHEN stays THEN '.' ELSE 'pkg' || s END AS workspace, CASE WHEN stays THEN 0 WHEN q = s THEN 2 ELSE 1 END::BIGINT AS rebased FROM m""",
     "suite_cases": "SELECT CASE WHEN item_id % 2 = 0 THEN 'i' || item_id ELSE 'case' END AS id, sha1(trim(left(text, 1000))) AS task_sha1, 'f' || item_id AS expected_files, 0::BIGINT AS hints FROM benchmark",
 }

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import summary, verify
+from corvane.operators import commands, summary, verify
 
 
 def put(tmp_path, value):
@@ -68,3 +68,54 @@ def test_injection(spark):
     assert [(r.pack_id, r.path, r.score) for r in files.collect()] == [(1, "b/c.py", 1.0)]
     got = sorted((r.pack_id, r.rank, r.path, r.line_end, r.content) for r in snippets.collect())
     assert got == [(1, 1, "b/c.py", 3, "x\ny\n" + "z" * 196), (1, 2, "a.py", 1, "[empty file]"), (2, 1, "a.py", 1, "[empty file]")]
+
+
+def test_commands_in_their_workspaces(spark):
+    """Each rule of routing, by one command; null, blank and odd commands too."""
+    files = spark.createDataFrame([("pkg/tests/test_a.py",), ("pkg/tests/it's b.py",), ("other/test_c.py",), ("top.py",)], "path string")
+    asked = {
+        ("pytest -q pkg/tests/test_a.py::T::case ./pkg", "pkg"): ('cd "pkg" && pytest -q tests/test_a.py::T::case .', "pkg", 2),
+        ("python3 -O -m pytest .\\pkg\\tests/ -k 'a and b'", "pkg"): ("cd \"pkg\" && python3 -O -m pytest tests -k 'a and b'", "pkg", 1),
+        ("pytest \"pkg/tests/it's b.py\"", "pkg"): ("cd \"pkg\" && pytest 'tests/it'\"'\"'s b.py'", "pkg", 1),
+        ("pytest pkg/tests/test_a.py other/test_c.py", "pkg"): ("pytest pkg/tests/test_a.py other/test_c.py", ".", 0),
+        ("pytest pkg", "pkg"): ('cd "pkg" && pytest pkg', "pkg", 0),
+        ("pytest top.py", "pkg"): ("pytest top.py", ".", 0),
+        ("pytest pkg/tests/none.py ../x.py word", "pkg"): ('cd "pkg" && pytest pkg/tests/none.py ../x.py word', "pkg", 0),
+        ("python -m mypy pkg/tests/test_a.py", "pkg"): ('cd "pkg" && python -m mypy pkg/tests/test_a.py', "pkg", 0),
+        ("cd pkg && pytest", "pkg"): ("cd pkg && pytest", "pkg", 0),
+        ("pytest pkg/tests/test_a.py", " "): ("pytest pkg/tests/test_a.py", ".", 0),
+        ("pytest pkg/tests/test_a.py", None): ("pytest pkg/tests/test_a.py", ".", 0),
+        ("", "pkg"): ("", "pkg", 0),
+        (None, "pkg"): (None, "pkg", 0),
+    }
+    rows = [(i, *k) for i, k in enumerate(asked)] + [(0, *next(iter(asked)))]
+    c = spark.createDataFrame(rows, "command_id long, command string, workspace string")
+    got = [(r.command_id, (r.command, r.workspace, r.rebased)) for r in commands.route_commands(c, files).collect()]
+    assert sorted(got, key=str) == sorted(((i, asked[(x, y)]) for i, x, y in rows), key=str)
+    assert commands.route_commands(c.limit(0), files).count() == 0 and commands.route_commands(c, files.limit(0)).count() == len(rows)
+
+
+def test_words_as_a_shell_cuts_them(spark):
+    import shlex
+
+    said = ["pytest -k 'a b' c", 'python "x y"/z\'w\'  q', "one", "  two   three ", "a'b c'd"]
+    df = spark.createDataFrame([(s,) for s in said], "s string").select("s", commands.words(F.col("s")).alias("w"))
+    assert {r.s: r.w for r in df.collect()} == {s: shlex.split(s) for s in said}
+    odd = ["plain", "it's", "a b", "$x", "é", "a@b:c,d=e%f+g/h.i-j_k"]
+    df = spark.createDataFrame([(s,) for s in odd], "s string").select("s", commands.quoted(F.col("s")).alias("q"))
+    assert {r.s: r.q for r in df.collect()} == {s: shlex.quote(s) for s in odd}
+
+
+def test_gate_of_packs(spark):
+    """Ranks cut before blanks go, scores of all files, bounds, and packs without anything."""
+    top = spark.createDataFrame([(1, 1, " a ", 0.12345678, ["r", " "] * 10), (1, 2, " ", 9.0, None), (1, 3, "b", None, None), (1, 4, "a", 0.5, []), (1, 5, "late", 0.25, [])], "pack_id long, rank int, path string, score double, reasons array<string>")
+    shown = spark.createDataFrame([(1, 1, "late", 0, -3, " s ", "x"), (1, 2, "a", 4, 2, None, " \n\t"), (1, 3, "none", None, None, None, "y"), (1, 4, "a", 1, 1, "", "cut")], "pack_id long, rank int, path string, line_start int, line_end int, symbol string, content string")
+    plans = spark.createDataFrame([(1, ["t", " "], None, "why")], "pack_id long, target_tests array<string>, target_checks array<string>, reason string")
+    packs = spark.createDataFrame([(1,), (2,), (2,)], "pack_id long")
+    a, b = verify.plan_and_gate(packs, top, shown, plans, 4, 3).orderBy("pack_id").collect()
+    assert [tuple(f) for f in a.affected_files] == [(1, "a", 0.5, ["r"] * 8), (3, "b", 0.0, []), (4, "a", 0.5, [])] and a.scope_files_hint == ["a", "b", "a"]
+    assert [tuple(s) for s in a.minimal_snippets] == [("late", 1, 1, "s", "x", 0.25), ("none", 1, 1, "", "y", 0.0)]
+    assert (a.target_tests, a.target_checks, a.selected_tests_count, a.selected_checks_count, a.selection_reason) == (["t"], [], 1, 0, "why")
+    assert (b.affected_files, b.minimal_snippets, b.target_tests, b.scope_files_hint, b.selection_reason) == ([], [], [], [], "")
+    least = verify.plan_and_gate(packs, top, shown, plans, 0, -5).orderBy("pack_id").first()
+    assert len(least.affected_files) == len(least.minimal_snippets) == 1
