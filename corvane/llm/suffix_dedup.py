@@ -93,11 +93,9 @@ class Block:
             m = np.minimum(m[:-d], m[d:])
         m = np.minimum(m[: n], m[SPAN - 16 : SPAN - 16 + n])
         valid = np.zeros(n, bool)
-        marks = np.zeros(len(self.bytes) + 1, np.int8)
-        has = self.size >= LENGTH
-        marks[self.begin[has]] += 1
-        marks[self.begin[has] + self.size[has] - LENGTH + 1] -= 1
-        valid = np.cumsum(marks)[:n].astype(bool)
+        for a, size in zip(self.begin.tolist(), self.size.tolist(), strict=True):
+            if size >= LENGTH:
+                valid[a : a + size - LENGTH + 1] = True
         edge = np.r_[True, (m[1:] != m[:-1]) | (valid[1:] != valid[:-1])]
         starts_part = np.zeros(n, bool)
         starts_part[self.begin[self.begin < n]] = True
@@ -202,7 +200,7 @@ def _pieces(ids: list, texts: list[bytes], buckets: int, reply: pa.Table):
     (block, position) where the class is found first.
     """
     scanned = _scan(texts, buckets)
-    keys, _ = _owners(ids, scanned)
+    keys, of = np.unique(np.concatenate([f[3] for f in scanned]) if scanned else np.empty(0, np.uint64), return_inverse=True)
     bucket, at = _by_bucket(keys)
     n_of = {int(b): int(at[i + 1] - at[i]) for i, b in enumerate(bucket)}
     shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
@@ -211,9 +209,10 @@ def _pieces(ids: list, texts: list[bytes], buckets: int, reply: pa.Table):
         if int(b) in told:
             shared[at[i] : at[i + 1]], hot[at[i] : at[i + 1]] = told[int(b)]
     doc = np.array(ids, np.int64)
-    found = []
+    found, done = [], 0
     for b, start, n, key, part in scanned:
-        i = np.searchsorted(keys, key)
+        i = of[done : done + len(key)]
+        done += len(key)
         use = shared[i]
         single = use & hot[i]
         plain = use & ~single
@@ -242,6 +241,16 @@ def _classes(found):
     return cls, first, t[head].astype(np.int64), ids[first]
 
 
+def _eights(text: np.ndarray, n: int) -> np.ndarray:
+    """The eight letters from each of the first n places on as one number; zeros follow the text."""
+    x = np.zeros(n + 8, np.uint8)
+    x[: len(text)] = text
+    for bits, kind in ((8, np.uint16), (16, np.uint32), (32, np.uint64)):
+        k = bits // 8
+        x = (x[:-k].astype(kind) << kind(bits)) | x[k:]
+    return x[:n]
+
+
 def larsson_sadakane(text: np.ndarray) -> np.ndarray:
     """Suffix array of bytes (uint8).
 
@@ -251,10 +260,7 @@ def larsson_sadakane(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
+    key = _eights(text, n)
     sa = np.argsort(key)
     # Zero padding equals zero bytes: the last 7 suffixes are put before longer ones by length below.
     k = key[sa]
@@ -262,19 +268,20 @@ def larsson_sadakane(text: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     first = np.flatnonzero(head)
-    rank[sa] = first[np.cumsum(head) - 1]
+    size = np.diff(np.append(first, n))
+    group = np.repeat(first, size)
+    rank[sa] = group
     # Suffixes shorter than 8 are told from others with the same padded key by their length.
-    short = np.arange(max(0, n - 7), n)
-    step = 1 if len(np.unique(rank[short])) < len(short) or np.isin(rank[short], rank[: max(0, n - 7)]).any() else 8
+    step = 1 if (size[np.searchsorted(first, rank[max(0, n - 7) : n])] > 1).any() else 8
     if step == 1:  # only with zero bytes near the end: refine from single bytes
         key = text.astype(np.int64)
         sa = np.argsort(key)
         k = key[sa]
         head = np.r_[True, k[1:] != k[:-1]]
         first = np.flatnonzero(head)
-        rank[sa] = first[np.cumsum(head) - 1]
-    group = first[np.cumsum(head) - 1]
-    size = np.diff(np.append(first, n))
+        size = np.diff(np.append(first, n))
+        group = np.repeat(first, size)
+        rank[sa] = group
     todo = np.flatnonzero(np.repeat(size, size) > 1)  # places in sa of unsettled groups
     h = step
     while len(todo):
@@ -286,10 +293,10 @@ def larsson_sadakane(text: np.ndarray) -> np.ndarray:
         sa[todo] = suffix
         head = np.r_[True, pair[1:] != pair[:-1]]
         begin = np.flatnonzero(head)
-        new = todo[begin][np.cumsum(head) - 1]
+        size = np.diff(np.append(begin, len(todo)))
+        new = np.repeat(todo[begin], size)
         rank[suffix] = new
         group[todo] = new
-        size = np.diff(np.append(begin, len(todo)))
         todo = todo[np.repeat(size, size) > 1]
         h *= 2
     return sa
@@ -307,16 +314,14 @@ def kasai(text: np.ndarray, sa: np.ndarray, most: int = LENGTH) -> np.ndarray:
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     i = np.arange(n)
-    follows = (i > 0) & (before > 0)
-    follows[follows] = text[i[follows] - 1] == text[before[follows] - 1]
+    left = np.empty_like(text)
+    left[1:], left[0] = text[:-1], 0
+    follows = (i > 0) & (before > 0) & (left == left[before])
     # Comparing stops at most + STRIDE letters, so every STRIDE-th suffix in a row that follows is compared too.
     anchor = np.maximum.accumulate(np.where(follows, 0, i))
     at = np.flatnonzero(~follows | ((i - anchor) % STRIDE == 0))
     other, length = before[at], np.zeros(len(at), np.int64)
-    padded = np.concatenate([text, np.zeros(most + STRIDE + 8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n + most + STRIDE, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + len(key)]
+    key = _eights(text, n + most + STRIDE)
     live = np.flatnonzero(other >= 0)
     for k in range(0, most + STRIDE, 8):  # eight letters at a time
         x = key[at[live] + k] ^ key[other[live] + k]
@@ -455,54 +460,63 @@ def _plan(docs: DataFrame, shards: int, buckets: int, hot_shards: int) -> DataFr
 
     def cut(key, table, reply):
         names, types = ["doc_id", "kept", "whole", "spans"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        ids, texts = _shard(table)
+        order = _order(table)
+        all_ids, all_texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        all_ids, all_texts = [all_ids[i] for i in order], [all_texts[i].encode("utf-8", "surrogatepass") for i in order]
+        ids = [d for d in all_ids if d is not None]  # those without come last
+        texts = all_texts[: len(ids)]
         said = [(b, x) for b, x, kind in zip(*(reply.column(c).to_pylist() for c in ("bucket", "bits", "kind")), strict=True) if kind == 1]
         first_reply = reply.filter(pc.equal(reply.column("kind"), 0))
-        marks: dict[int, np.ndarray] = {}
         found = [f for f in _pieces(ids, texts, buckets, first_reply) if len(f[1])] if first_reply.num_rows else []
-        if found:
-            cls, first, to, least = _classes(found)
-            n_all = np.concatenate([f[2] for f in found])
-            n_cls = n_all[first]
-            at = np.cumsum(n_cls) - n_cls
-            low = np.zeros(int(n_cls.sum()), bool)  # a smaller id elsewhere, by string of each class
-            begin = np.searchsorted(to, [b for b, _ in said])
-            end = np.searchsorted(to, [b for b, _ in said], "right")
-            for (b, x), i, j in zip(said, begin, end, strict=True):
-                if j > i:
-                    a, z = at[i], at[j - 1] + n_cls[j - 1]
-                    low[a:z] = _unpack(x, int(z - a))
-            k = 0
-            for b, start, n, part, _, _, doc in found:
-                c = cls[k : k + len(start)]
-                k += len(start)
-                string = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hit = low[np.repeat(at[c], n) + string - np.repeat(start, n)] | np.repeat(least[c] < doc, n)
-                string, part = string[hit], np.repeat(part, n)[hit]
-                inside = string - b.begin[part] + b.offset[part]
-                for d in np.unique(b.doc[part]).tolist():
-                    m = marks.setdefault(d, np.zeros(len(texts[d]) + 1, np.int32))
-                    p = inside[b.doc[part] == d] if len(np.unique(part)) > 1 else inside
-                    np.add.at(m, p, 1)
-                    np.add.at(m, p + LENGTH, -1)
+        if not found:
+            return _table([(d, t, None, []) for d, t in zip(all_ids, all_texts, strict=True)], names, types).append_column("rest", table.column("rest").take(pa.array(order, pa.int64())))
+        cls, first, to, least = _classes(found)
+        n_all = np.concatenate([f[2] for f in found])
+        n_cls = n_all[first]
+        at = np.cumsum(n_cls) - n_cls
+        low = np.zeros(int(n_cls.sum()), bool)  # a smaller id elsewhere, by string of each class
+        begin = np.searchsorted(to, [b for b, _ in said])
+        end = np.searchsorted(to, [b for b, _ in said], "right")
+        for (b, x), i, j in zip(said, begin, end, strict=True):
+            if j > i:
+                a, z = at[i], at[j - 1] + n_cls[j - 1]
+                low[a:z] = _unpack(x, int(z - a))
+        # All texts one after another, each with a zero byte behind it, so that no span goes from one into the next.
+        flat = b"\0".join([*texts, b""])
+        letters = np.frombuffer(flat, np.uint8)
+        place = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        starts = np.zeros(len(flat), bool)
+        k = 0
+        for b, start, n, part, _, _, doc in found:
+            c = cls[k : k + len(start)]
+            k += len(start)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = low[np.repeat(at[c], n) + inner] | np.repeat(least[c] < doc, n)
+            moved = start + (place[b.doc[part]] + b.offset[part] - b.begin[part])
+            starts[(np.repeat(moved, n) + inner)[hit]] = True
+        gone = np.cumsum(starts, dtype=np.int32)
+        gone[LENGTH:] -= gone[:-LENGTH].copy()
+        gone = gone > 0
+        left = np.cumsum(np.r_[0, ~gone])[place].tolist()
+        kept_bytes = letters[~gone].tobytes()
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))  # begin, end, begin, end...
+        of = np.searchsorted(place, edge, "right") - 1
+        inside = (edge - place[of]).tolist()
+        cut_at = np.searchsorted(edge, place).tolist()
+        # Characters that a span cuts into: their other bytes go too.
+        into = set(of[(letters[edge] & 0xC0) == 0x80].tolist())
         rows = []
-        order = _order(table)
-        all_ids, all_texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        for i, at in enumerate(order):
-            d, t = all_ids[at], all_texts[at].encode("utf-8", "surrogatepass")
-            kept, whole, spans = t, None, []
-            if i in marks:
-                gone = np.cumsum(marks[i])[:-1] > 0
-                edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
-                spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
-                letters = np.frombuffer(t, np.uint8)
-                kept = letters[~gone].tobytes()
-                # Characters that a span cuts into: their other bytes go too.
-                begin = np.flatnonzero((letters & 0xC0) != 0x80)
-                cut_into = np.repeat(np.logical_or.reduceat(gone, begin), np.diff(np.r_[begin, len(letters)]))
-                if (cut_into & ~gone).any():
-                    whole = letters[~cut_into].tobytes()
-            rows.append((d, kept, whole, spans))
+        for i, (d, t) in enumerate(zip(all_ids, all_texts, strict=True)):
+            if i >= len(ids) or cut_at[i] == cut_at[i + 1]:
+                rows.append((d, t, None, []))
+                continue
+            whole = None
+            if i in into:
+                a, z = int(place[i]), int(place[i + 1]) - 1
+                begin = np.flatnonzero((letters[a:z] & 0xC0) != 0x80)
+                part_gone = np.repeat(np.logical_or.reduceat(gone[a:z], begin), np.diff(np.r_[begin, z - a]))
+                whole = letters[a:z][~part_gone].tobytes()
+            rows.append((d, kept_bytes[left[i] : left[i + 1] - 1], whole, inside[cut_at[i] : cut_at[i + 1]]))
         return _table(rows, names, types).append_column("rest", table.column("rest").take(pa.array(order, pa.int64())))
 
     told = "shard long, bucket long, bits binary, hot binary"
