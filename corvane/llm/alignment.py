@@ -39,7 +39,8 @@ from corvane.llm.bpe import Encoder, Slices, _once
 from corvane.llm.common import documents, written
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 20  # characters of texts that are aligned at once
+CHUNK = 1 << 18  # characters of texts that are aligned at once
+WORDS = 300_000  # words whose pieces a task remembers
 PARTIAL = 400_000  # id pairs that a task adds up before it writes their counts
 BROADCAST = 2_000_000
 KEY = 1 << 32  # a pair is A's id times this plus B's id
@@ -62,12 +63,29 @@ class Sides:
         #: Decimal ids with what follows them: A within its group, A at its end, B within, B at its end.
         self.digits = Slices([*(b"%d," % i for i in range(na)), *(b"%d|" % i for i in range(na)), *(b"%d," % i for i in range(nb)), *(b"%d;" % i for i in range(nb))])
         self.na, self.nb = na, nb
+        #: Whether pieces begin with their blank, if any, and so never go beyond a word (only blanks in a row may be a piece too),
+        #: and the model puts a blank before a text.
+        self.by_word = not any("▁" in p[1:] and p.strip("▁") for p in pieces) and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
+        self.words: dict[str, bytes] = {}
+
+    def pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of B. Texts with single blanks between words are looked up word by word; each word gets the blank before it from the model."""
+        split = [t.split(" ") if self.by_word and t and "  " not in t and t[0] != " " != t[-1] else None for t in texts]
+        wanted, known = {w for s in split if s for w in s}, self.words
+        new = [w for w in wanted if w not in known]
+        if len(known) + len(new) > WORDS:
+            known = self.words = {w: known[w] for w in wanted if w in known}
+        whole = [t for t, s in zip(texts, split, strict=True) if s is None]
+        coded = [array("I", ids).tobytes() for ids in self.b.encode(new + whole, num_threads=1)]
+        known.update(zip(new, coded[: len(new)], strict=True))
+        rest = iter(coded[len(new) :])
+        return [np.frombuffer(b"".join(map(known.__getitem__, s)) if s else next(rest), np.uint32) for s in split]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none for texts that aren't covered byte by byte."""
         none = np.empty(0, np.uint32)
         a = [np.frombuffer(self.a.plain(" " + t), np.uint32) if t else none for t in texts]
-        b = [np.frombuffer(array("I", ids), np.uint32) for ids in self.b.encode(texts, num_threads=1)]
+        b = self.pieces(texts)
         raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         whole = b"".join(raw)
         if self.bytes_a(np.concatenate(a))[0] != whole or self.bytes_b(np.concatenate(b))[0] != whole or not _same_sizes(self, a, b, raw):

@@ -7,9 +7,9 @@ entered again, so the work is linear in the piece. Two tokens are compatible if
 both gives just these two, which is read from the merges at their common border and remembered in a
 table. The result is exactly that of applying the merges in order.
 
-Texts are cut into pieces by the pattern of byte-level tokenizers. A blank followed by a non-blank
-always starts a piece, so a text without double or final blanks is looked up blank by blank in
-bounded caches, and the pattern only runs on what isn't there. Added tokens are cut out first.
+Texts are cut into pieces by the pattern of byte-level tokenizers. A blank that isn't within white space
+always starts a piece, so a text without double or final blanks, or blanks between other white space, is looked
+up blank by blank in bounded caches, and the pattern only runs on what isn't there. Added tokens are cut out first.
 
 Decoding joins slices of one byte table at the tokens' offsets; bytes that aren't UTF-8 are replaced.
 
@@ -34,6 +34,9 @@ from corvane.llm.common import byte_letters, documents
 # Fixed value: the pattern that byte-level tokenizers cut text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+BEFORE_SPACE = tuple(" " + c for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+LATIN_END = "\u0250"
+CLOSING = ",.;:!?)"
 CACHE_WORDS = 200_000
 PAIRS = 400_000
 CHUNK = 1 << 22  # bytes of text whose ids are turned into texts at once
@@ -150,19 +153,29 @@ class Encoder:
         self.vocab = _once(Vocabulary, path)
         self.bpe = Backtracker(self.vocab)
         self.cut = regex.compile(PATTERN).findall
+        self.within = regex.compile(r"\s \s").search
         self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.vocab.added, key=len, reverse=True)) + ")")
-        self.pieces = _Recent(lambda p: array("I", self.bpe(p.encode())).tobytes(), limit)
-        self.words = _Recent(self.word, limit)
+        # Most words are a single piece, which is only kept as a word.
+        self.pieces = _Recent(self.piece, max(1, limit // 2))
+        self.words = _Recent(self.word, limit + limit // 2)
+
+    def piece(self, p: str) -> bytes:
+        return array("I", self.bpe(p.encode())).tobytes()
 
     def word(self, w: str) -> bytes:
         """Ids of a blank and what follows it up to the next."""
-        if w.isascii() and w.isalpha():  # one piece
-            return self.pieces[" " + w]
-        return b"".join(map(self.pieces.__getitem__, self.cut(" " + w)))
+        latin = w.isascii() or max(w) < LATIN_END  # letters are the same to Python and to the pattern
+        if latin and w.isalpha():  # one piece
+            return self.piece(" " + w)
+        if latin and w[-1:] in CLOSING and w[:-1].isalpha():  # a word and a piece of its own
+            return self.words[w[:-1]] + self.pieces[w[-1]]
+        first, *more = self.cut(" " + w)
+        begin = self.words[first[1:]] if latin and first[1:].isalpha() else self.pieces[first]
+        return begin + b"".join(map(self.pieces.__getitem__, more))
 
     def plain(self, text: str) -> bytes:
         piece = self.pieces.__getitem__
-        if "  " in text or text[-1:] == " ":
+        if "  " in text or text[-1:] == " " or any(p in text for p in BEFORE_SPACE) and self.within(text):
             return b"".join(map(piece, self.cut(text)))
         first, *words = text.split(" ")
         return b"".join(map(piece, self.cut(first))) + b"".join(map(self.words.__getitem__, words))

@@ -1,8 +1,10 @@
 """Tokenizer alignment against a plain loop over both libraries' tokens."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -94,3 +96,33 @@ def test_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = al.op12_tokenizer_alignment(spark, d)
     assert sorted(map(tuple, got.collect()), key=repr) == slow(rows)
+
+
+def test_pieces_of_words_are_those_of_the_text(monkeypatch):
+    """Pieces looked up by word are the model's for the whole text; words met before aren't encoded again."""
+    sides = al.Sides((public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+    assert sides.by_word
+    monkeypatch.setattr(al, "WORDS", 40)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["a", "the", "ing", "é", "日本", "<s>", "\n", "\t", "<0x41>", "▁", "😀", "\0", "7", ".", " ", "é"]) for _ in range(rng.randrange(1, 5)))
+    model, sent = sides.b, []
+
+    class Counted:
+        def encode(self, texts, **how):
+            sent.extend(texts)
+            return model.encode(texts, **how)
+
+    sides.b = Counted()
+    for _ in range(50):
+        texts = [rng.choice([" ", " ", " ", " ", "  "]).join(word() for _ in range(rng.randrange(12))) for _ in range(8)]
+        texts += ["", " ", " x", "x ", "the"]
+        for t, a, b in zip(texts, *sides.encode(texts), strict=True):
+            want = model.encode(t)
+            fits = sides.bytes_b(np.array(want, np.uint32))[0] == (" " + t).encode() if t else False
+            assert b.tolist() == (want if fits else [])
+            assert a.tolist() == (A.encode(" " + t, add_special_tokens=False).ids if fits else [])
+    monkeypatch.setattr(al, "WORDS", 300)
+    sides.encode(["one two three"])
+    sent.clear()
+    sides.encode(["three one", "two one", "two four"])
+    assert sent == ["four"]
