@@ -313,6 +313,25 @@ def unpack(parts: list[bytes], kind: np.dtype) -> np.ndarray:
     return out
 
 
+def _in_order(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Places of lines by document, then line; lines alike in both in any order."""
+    if len(doc) and int(doc.max()) - int(doc.min()) < 1 << 31:  # one sort key
+        return np.argsort((doc - doc.min()) << 32 | line.astype(np.int64))
+    return np.lexsort((line, doc))
+
+
+def _alike(same: np.ndarray, sig: np.ndarray, n: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of lines that have equal ones (in all of same, sig and n), and of the earliest of each one's equals."""
+    order = np.argsort(same)
+    equal = same[order[1:]] == same[order[:-1]]
+    o = order[(np.r_[False, equal] | np.r_[equal, False])[: len(order)]]  # most lines have a sum of their own
+    o = o[np.lexsort((line[o], doc[o], n[o], sig[o], same[o]))]
+    if not len(o):
+        return o, o
+    alike = np.r_[False, (same[o[1:]] == same[o[:-1]]) & (sig[o[1:]] == sig[o[:-1]]) & (n[o[1:]] == n[o[:-1]])]
+    return o, o[np.maximum.accumulate(np.where(alike, 0, np.arange(len(o))))]
+
+
 def _ref_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return _mix(doc.astype(np.uint64) * _ODD + line.astype(np.uint64))
 
@@ -360,11 +379,9 @@ def prefix_rows(docs: DataFrame, counts, n_buckets: int, id_col: str, text_col:
                 continue
             sig, sig2, same = _signature(h, start, 0), _signature(h, start, 1), np.add.reduceat(_mix(h), start)
             # Exact repeats within the block: the earliest line stands for them. The same place in another row of its document is no repeat.
-            o = np.lexsort((lline, ldoc, n, sig, same))
-            alike = np.r_[False, (same[o[1:]] == same[o[:-1]]) & (sig[o[1:]] == sig[o[:-1]]) & (n[o[1:]] == n[o[:-1]])]
-            first = o[np.maximum.accumulate(np.where(alike, 0, np.arange(len(o))))]
+            o, first = _alike(same, sig, n, ldoc, lline)
             again = np.zeros(len(n), bool)
-            again[o] = alike & ((ldoc[o] != ldoc[first]) | (lline[o] != lline[first]))
+            again[o] = (ldoc[o] != ldoc[first]) | (lline[o] != lline[first])
             pos = np.arange(len(h)) - start[key]
             use = ~again[key] & (pos < _prefix(n)[key]) & (c > 1)
             earlier = []  # places that the task took for the earliest of their lines until now
@@ -415,34 +432,40 @@ def compare(r: np.ndarray, first: int, only: np.ndarray | None = None) -> np.nda
     mine = (r["parts"] == 0) | (_ref(r) % np.maximum(r["parts"], 1).astype(np.uint64) == r["part"])
     if only is not None:
         mine &= only
-    order = np.lexsort((r["line"], r["doc"]))
+    order = _in_order(r["doc"], r["line"])
     r, mine = r[order], mine[order]
     lists = (r["token"].astype(np.uint64) << np.uint64(16)) | r["part"]  # lines are compared within a word, and a part or block of it
     alike = _mix(r["sig"] ^ _mix(lists ^ (r["same"].astype(np.uint64) << np.uint64(32)) * _ODD) ^ (r["n"].astype(np.uint64) * _ODD))
-    order = np.argsort(alike, kind="stable")  # repeats of a line side by side, the earliest first
-    twin = np.r_[False, alike[order[1:]] == alike[order[:-1]]] if len(r) else np.empty(0, bool)
-    source = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(r))))]
-    t = r[order]
+    order = np.argsort(alike)  # repeats of a line side by side
+    head = np.flatnonzero(np.r_[True, alike[order[1:]] != alike[order[:-1]]][: len(r)])
+    source = np.empty(len(r), np.int64)  # the earliest of each row's repeats
+    source[order] = np.repeat(np.minimum.reduceat(order, head) if len(r) else order, np.diff(np.append(head, len(r))))
+    twin = source != np.arange(len(r))
     # A repeat is told by its line's rarest word only.
-    moved = twin & ((t["doc"] != r["doc"][source]) | (t["line"] != r["line"][source])) & (t["pos"] == 0)
-    repeats = np.zeros(int(moved.sum()), MADE)
-    repeats["d"], repeats["l"] = t["doc"][moved], t["line"][moved]
-    stay = np.sort(order[~twin])
+    some = np.flatnonzero(twin & (r["pos"] == 0))
+    some = some[(r["doc"][some] != r["doc"][source[some]]) | (r["line"][some] != r["line"][source[some]])]
+    repeats = np.zeros(len(some), MADE)
+    repeats["d"], repeats["l"] = r["doc"][some], r["line"][some]
+    stay = np.flatnonzero(~twin)
     r, mine, lists = r[stay], mine[stay], lists[stay]
     # By word, length class and place.
-    kind = _kind(r["n"]).astype(np.uint64)
-    group = np.unique(lists, return_inverse=True)[1].astype(np.uint64) << np.uint64(7) | kind
-    order = np.argsort(group, kind="stable")
-    r, mine, group = r[order], mine[order], group[order].astype(np.int64)
-    rank = order.astype(np.int64)  # places in the order of lines
-    both = group * max(1, len(r)) + rank
+    kind = _kind(r["n"])
+    both = (np.unique(lists, return_inverse=True)[1] << 7 | kind) * max(1, len(r)) + np.arange(len(r))
+    order = np.argsort(both)
+    r, mine, both = r[order], mine[order], both[order]
+    rank, group = order.astype(np.int64), both // max(1, len(r))  # rank: places in the order of lines
+    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(r)])
+    size = np.diff(np.append(head, len(r)))
     n, pos, sig, sig2 = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sig"], r["sig2"]
     most = n // 4  # words by which similar lines differ
     found = np.zeros(len(r), np.int64)
     late, early, state = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, bool)]  # pairs by their places in r
     for beside in (0, -1, 1):
-        begin = np.searchsorted(group, group + beside)
-        count = np.searchsorted(both, (group + beside) * max(1, len(r)) + rank) - begin
+        at = np.searchsorted(group[head], group[head] + beside)  # the class beside each one
+        at[at == len(head)] = 0
+        begin, count = np.repeat(head[at], size), np.zeros(len(r), np.int64)
+        there = np.flatnonzero(mine & np.repeat(group[head[at]] == group[head] + beside, size))
+        count[there] = np.searchsorted(both, (group[there] + beside) * max(1, len(r)) + rank[there]) - begin[there]
         active = np.flatnonzero(mine & (count > 0) & (found <= first))
         step = 0
         while len(active):
