@@ -95,6 +95,14 @@ def test_commands_in_their_workspaces(spark):
     assert commands.route_commands(c.limit(0), files).count() == 0 and commands.route_commands(c, files.limit(0)).count() == len(rows)
 
 
+def test_commands_are_cut_once(spark):
+    """Where words are cut in the plan: for the targets and for the commands that change, not again in filters and lambdas."""
+    c = spark.createDataFrame([("1", 'pytest "./a/b c.py::x" a/', "a"), ("2", 'pytest "./a/b c.py::x" a/', "a"), ("3", "pytest .\\a\\t.py ././a//", "a")], "command_id string, command string, workspace string")
+    out = commands.route_commands(c, spark.createDataFrame([("a/b c.py",), ("a/t.py",)], "path string"))
+    assert {r.command_id: (r.command, r.rebased) for r in out.collect()} == {"1": ("cd \"a\" && pytest 'b c.py::x' .", 2), "2": ("cd \"a\" && pytest 'b c.py::x' .", 2), "3": ('cd "a" && pytest t.py .', 2)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
 def test_words_as_a_shell_cuts_them(spark):
     import shlex
 
