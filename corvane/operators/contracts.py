@@ -8,6 +8,7 @@ order. A text that isn't JSON, or has a key twice, has the one violation ``$ inv
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,10 @@ def mode_of(value: str | None, default: str = "warn") -> str:
 
 def kind_of(v: Column) -> Column:
     """object, array, string, integer, number, boolean or null."""
-    s = F.schema_of_variant(v)
+    return _kind(F.schema_of_variant(v))
+
+
+def _kind(s: Column) -> Column:
     return F.when(F.startswith(s, F.lit("OBJECT")), "object").when(F.startswith(s, F.lit("ARRAY")), "array").when(s == "STRING", "string").when(s == "BIGINT", "integer").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number")
 
 
@@ -56,15 +60,42 @@ def _number(value: Any) -> bool:
     return isinstance(value, int | float) and not isinstance(value, bool)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: written into an expression of a lambda, it would be computed wherever it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def violations(v: Column, schema: dict[str, Any], path: str | Column = "$") -> Column:
     """What a value breaks of a schema: an array of messages, in the schema's order. v: a VARIANT, not null."""
     at = F.lit(path) if isinstance(path, str) else path
-    kind = kind_of(v)
+
+    def facts(x: Column) -> Column:
+        v, kind = x["v"], x["kind"]
+        out = {"v": v, "kind": kind}
+        if "enum" in schema or "minLength" in schema:
+            out["text"] = F.when(kind.isin("string", "boolean"), F.try_variant_get(v, "$", "string"))
+        if "enum" in schema or "minimum" in schema:
+            out["number"] = F.when(kind.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
+        if "items" in schema or "minItems" in schema:
+            out["items"] = F.when(kind == "array", F.try_variant_get(v, "$", "array<variant>"))
+        return F.struct(*[c.alias(n) for n, c in out.items()])
+
+    seen = F.struct(v.alias("v"), F.schema_of_variant(v).alias("s"))
+    return _bound(seen, lambda x: _bound(F.struct(x["v"].alias("v"), _kind(x["s"]).alias("kind")), lambda y: _bound(facts(y), lambda f: _broken(f, schema, at))))
+
+
+def _present(schema: dict[str, Any], at: Column) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.isNotNull(), violations(x, schema, at)).otherwise(F.array().cast("array<string>"))
+
+
+def _broken(f: Column, schema: dict[str, Any], at: Column) -> Column:
+    """``violations`` by a value's facts: v, kind and what the schema reads of text, number and items."""
+    v, kind = f["v"], f["kind"]
     say = lambda bad, *text: F.when(bad, F.concat(at, *[F.lit(t) if isinstance(t, str) else t for t in text]))
     marks: list[Column] = []
     parts: list[Column] = []
-    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     if isinstance(enum := schema.get("enum"), list):
+        text, number = f["text"], f["number"]
         strings, numbers = [e for e in enum if isinstance(e, str)], [float(e) for e in enum if _number(e)]
         ok = (kind == "string") & text.isin(strings) if strings else F.lit(False)
         ok = ok | (kind.isin("integer", "number") & number.isin(numbers) if numbers else F.lit(False))
@@ -72,16 +103,16 @@ def violations(v: Column, schema: dict[str, Any], path: str | Column = "$") -> C
         ok = ok | (kind == "null") if None in enum else ok
         marks.append(say(~F.coalesce(ok, F.lit(False)), " enum mismatch: ", F.when(kind == "string", F.concat(F.lit("'"), text, F.lit("'"))).otherwise(F.to_json(v)), f" not in [{', '.join(map(_shown, enum))}]"))
     if isinstance(low := schema.get("minLength"), int):
-        marks.append(say((kind == "string") & (F.char_length(text) < low), " minLength violation: ", F.char_length(text).cast("string"), f" < {low}"))
+        n = F.char_length(f["text"])
+        marks.append(say((kind == "string") & (n < low), " minLength violation: ", n.cast("string"), f" < {low}"))
     if _number(low := schema.get("minimum")):
-        marks.append(say(kind.isin("integer", "number") & (number < float(low)), " minimum violation: ", F.to_json(v), f" < {low}"))
-    items = F.try_variant_get(v, "$", "array<variant>")
+        marks.append(say(kind.isin("integer", "number") & (f["number"] < float(low)), " minimum violation: ", F.to_json(v), f" < {low}"))
     is_array, is_object = kind == "array", kind == "object"
     if isinstance(low := schema.get("minItems"), int):
-        marks.append(say(is_array & (F.size(items) < low), " minItems violation: ", F.size(items).cast("string"), f" < {low}"))
+        marks.append(say(is_array & (F.size(f["items"]) < low), " minItems violation: ", F.size(f["items"]).cast("string"), f" < {low}"))
     none = F.array().cast("array<string>")
     if isinstance(sub := schema.get("items"), dict):
-        each = F.transform(items, lambda x, i: violations(x, sub, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
+        each = F.transform(f["items"], lambda x, i: violations(x, sub, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
         parts.append(F.when(is_array, F.flatten(each)).otherwise(none))
     if isinstance(required := schema.get("required"), list):
         missing = [F.when(F.try_variant_get(v, _step(k), "variant").isNull(), F.concat(at, F.lit(f".{k} missing required field"))) for k in required if isinstance(k, str)]
@@ -90,8 +121,7 @@ def violations(v: Column, schema: dict[str, Any], path: str | Column = "$") -> C
     if isinstance(properties := schema.get("properties"), dict):
         for key, sub in properties.items():
             if isinstance(sub, dict):
-                inner = F.try_variant_get(v, _step(key), "variant")
-                parts.append(F.when(is_object & inner.isNotNull(), violations(inner, sub, F.concat(at, F.lit(f".{key}")))).otherwise(none))
+                parts.append(F.when(is_object, _bound(F.try_variant_get(v, _step(key), "variant"), _present(sub, F.concat(at, F.lit(f".{key}"))))).otherwise(none))
         if schema.get("additionalProperties") is False:
             keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
             more = F.filter(keys, lambda k: ~k.isin(list(properties)) if properties else F.lit(True))
@@ -114,10 +144,10 @@ def enforce(rows: DataFrame, column: str, schema: dict[str, Any], label: str, mo
     mode = mode_of(mode)
     if mode == "off":
         return rows.withColumns({"warnings": none, "repair_count": F.lit(0)})
-    v = F.try_parse_json(F.col(column))
+    v = F.col("_json")
     found = F.when(F.col(column).isNull(), none).when(v.isNull(), F.array(F.lit("$ invalid JSON"))).otherwise(violations(v, schema))
     said = lambda m: F.concat(F.lit(f"{label} schema violation: "), m)
-    marked = rows.withColumn("_found", found)
+    marked = rows.withColumn("_json", F.try_parse_json(F.col(column))).withColumn("_found", found).drop("_json")
     if mode == "strict":
         first = F.when(F.size("_found") > 0, F.raise_error(said(F.get("_found", F.lit(0)))))
         return marked.withColumn("warnings", F.coalesce(first.cast("array<string>"), none)).withColumn("repair_count", F.size("warnings")).drop("_found")

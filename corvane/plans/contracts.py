@@ -32,7 +32,8 @@ def contract_nested(spark, d):
     """Violations of every order's document, by its kind."""
     w = contracts.enforce(_orders(spark, d), "doc", SCHEMA, "order", most=1000).select("o_orderkey", "repair_count", F.explode_outer("warnings").alias("w"))
     kind = F.regexp_extract("w", "(enum mismatch|minimum|minItems|missing|additionalProperties|type mismatch|minLength)", 1)
-    return w.groupBy("o_orderkey").agg(F.max("repair_count").cast("long").alias("repairs"), *[F.count_if(kind == k).alias(n) for k, n in (("additionalProperties", "n_additional"), ("enum mismatch", "n_enum"), ("minItems", "n_items"), ("minimum", "n_minimum"), ("missing", "n_missing"))])
+    w = w.select("o_orderkey", "repair_count", kind.alias("kind"))
+    return w.groupBy("o_orderkey").agg(F.max("repair_count").cast("long").alias("repairs"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in (("additionalProperties", "n_additional"), ("enum mismatch", "n_enum"), ("minItems", "n_items"), ("minimum", "n_minimum"), ("missing", "n_missing"))])
 
 
 def canonical_hashes(spark, d):

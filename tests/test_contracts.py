@@ -84,3 +84,11 @@ def test_canonical_hashes(spark):
     t = spark.createDataFrame([(["Rank ", "", "rank", "x"], [], ["d\\B.py", "", "a.py", " A.py "])], "t array<string>, h array<string>, c array<string>").select(co.task_signature("t", "h"), co.changed_fingerprint("c")).first()
     hashed = lambda v: hashlib.sha256(json.dumps(v, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert list(t) == [hashed({"task_tokens": ["rank", "x"], "hint_tokens": []}), hashed({"changed_files": ["d/b.py", "a.py"]})]
+
+
+def test_a_value_is_read_once(spark):
+    """The kind of a value is told once for all its checks, however deep it lies: else each level reads all below it again."""
+    rows = spark.createDataFrame([(1, "{}")], "i int, j string")
+    plan = co.enforce(rows, "j", SCHEMA, "pack")._jdf.queryExecution().optimizedPlan().toString()
+    values = 11  # of the schema: itself, six properties, items, k, tags and a tag
+    assert 1 <= plan.count("schemaOfVariant") <= values and plan.count("parseJson(") == 1
